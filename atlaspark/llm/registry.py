@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sharding", "warc", "merkle"]
+MODULES = ["sharding", "warc", "merkle", "simhash"]
 
 
 def _gather(name: str) -> dict:
