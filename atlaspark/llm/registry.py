@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sharding", "warc", "merkle", "simhash"]
+MODULES = ["sharding", "warc", "merkle", "simhash", "bpe"]
 
 
 def _gather(name: str) -> dict:

@@ -173,13 +173,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     distinct = materialize(prints.groupBy(*names).agg(F.min("id").alias("node")))
     found = components(links(distinct, len(names), radius, tile_rows))
     labels = distinct.join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
-    same = None
-    for w in names:
-        equal = prints[w] == labels[w]
-        same = equal if same is None else same & equal
-    return prints.join(labels, same, "left").select(
+    return prints.join(labels, names, "left").select(
         F.col("id").alias(id_col),
-        F.concat(*[F.lpad(F.lower(F.hex(prints[w])), 16, "0") for w in names]).alias("fingerprint"),
+        F.concat(*[F.lpad(F.lower(F.hex(w)), 16, "0") for w in names]).alias("fingerprint"),
         "component_id",
     )
 
