@@ -11,7 +11,6 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
-import re
 from collections.abc import Iterator
 
 import duckdb
@@ -22,9 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-
-WHITE_SPACE = "\t-\r \x85\xa0  -     　"
-CHUNKS = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
+from .text import CHUNKS, BoundedCache
 
 ENCODE = """
 WITH RECURSIVE step(word, turn, pos, id) AS (
@@ -53,13 +50,12 @@ FROM ids JOIN vocabulary USING (id) GROUP BY doc ORDER BY doc
 class Codec:
     """Ranks of a tiktoken file, with DuckDB tables of its merges and tokens."""
 
-    def __init__(self, ranks_path: str, pattern: str, words_per_query: int = 20_000, long_word: int = 64, cached: int = 150_000):
+    def __init__(self, ranks_path: str, pattern: str, words_per_query: int = 20_000, long_word: int = 64):
         with open(ranks_path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pattern = regex.compile(pattern)
-        self.words_per_query, self.long_word, self.cached = words_per_query, long_word, cached
-        self.young: dict[str, np.ndarray] = {}
-        self.old: dict[str, np.ndarray] = {}
+        self.words_per_query, self.long_word = words_per_query, long_word
+        self.cache = BoundedCache(self._learn)
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.pairs = {}
         for token, rank in self.ranks.items():
@@ -124,25 +120,16 @@ class Codec:
                     heapq.heappush(heap, (r, a, ids[a], ids[after[a]]))
         return np.array([x for x in ids if x >= 0], np.int32)
 
-    def _learn(self, chunks: set[str]) -> dict[str, np.ndarray]:
-        parts = {c: [m.encode("utf-8") for m in self.pattern.findall(c)] for c in chunks}
-        words = list(dict.fromkeys(w for ws in parts.values() for w in ws))
+    def _learn(self, chunks: list[str]) -> list[np.ndarray]:
+        parts = [[m.encode("utf-8") for m in self.pattern.findall(c)] for c in chunks]
+        words = list(dict.fromkeys(w for ws in parts for w in ws))
         ids = dict(zip(words, self.words(words), strict=True))
-        return {c: np.concatenate([ids[w] for w in ws]) if len(ws) != 1 else ids[ws[0]] for c, ws in parts.items()}
+        return [np.concatenate([ids[w] for w in ws]) if len(ws) != 1 else ids[ws[0]] for ws in parts]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [CHUNKS.findall(t or "") for t in texts]
-        new = {c for chunks in cut for c in chunks}.difference(self.young)
-        if len(self.young) > self.cached:
-            self.old, self.young, new = self.young, {}, {c for chunks in cut for c in chunks}
-        known = {c: self.old[c] for c in new if c in self.old}
-        known |= self._learn(new.difference(known))
-        for c, ids in known.items():
-            if len(c) <= self.long_word:
-                self.young[c] = ids
-        get = (lambda c: known[c] if c in known else self.young[c]) if known else self.young.__getitem__
-        none = np.empty(0, np.int32)
-        return [np.concatenate(list(map(get, chunks))) if chunks else none for chunks in cut]
+        known = self.cache.look_up({c for chunks in cut for c in chunks})
+        return [np.concatenate([known[c] for c in chunks]) if chunks else np.empty(0, np.int32) for chunks in cut]
 
     def decode(self, ids: np.ndarray, edges: np.ndarray) -> list[bytes]:
         """Bytes of lists of ids, list i being ids[edges[i]:edges[i + 1]]."""
