@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -33,7 +34,7 @@ def _page(urn: str | None) -> int | None:
 
 
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record. A revisit keeps the HTTP header, which states the payload's length, without the payload."""
+    """One WARC/1.1 record, a gzip member of its own so that it can be read alone. A revisit keeps the HTTP header, which states the payload's length, without the payload."""
     revisit = refers_to is not None
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
@@ -44,7 +45,7 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
     if revisit:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_urn(refers_to)}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 1, mtime=0)
 
 
 _URL_SAFE = "".join(chr(c) for c in range(33, 127))
@@ -52,7 +53,7 @@ _URL_SAFE = "".join(chr(c) for c in range(33, 127))
 
 def parse_record(record: bytes) -> dict:
     """The fields of one record; raises where a length or a payload's digest does not hold."""
-    head, block = record.split(b"\r\n\r\n", 1)
+    head, block = gzip.decompress(record).split(b"\r\n\r\n", 1)
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     block = block[: int(fields["Content-Length"])]
     http, payload = block.split(b"\r\n\r\n", 1)
@@ -113,8 +114,8 @@ def write_archives(pages: DataFrame, root: str, min_revisit_bytes: int = 0, segm
                     if stream is None or at >= segment_bytes:
                         if stream is not None:
                             stream.close()
-                        name, at, segment = f"part-{context.partitionId():06d}-{context.taskAttemptId()}-{segment}.warc", 0, segment + 1
-                        stream = fs.open_output_stream(f"{folder}/{name}")
+                        name, at, segment = f"part-{context.partitionId():06d}-{context.taskAttemptId()}-{segment}.warc.gz", 0, segment + 1
+                        stream = fs.open_output_stream(f"{folder}/{name}", compression=None)
                     stream.write(record)
                     rows.append((name, at, len(record), url, digest, "response" if refers_to is None else "revisit", page_id))
                     at += len(record)
@@ -131,11 +132,11 @@ _INDEX_NAMES = [x.split()[0] for x in INDEX.split(", ")]
 _INDEX_TYPES = [{"string": pa.string(), "long": pa.int64()}[x.split()[1]] for x in INDEX.split(", ")]
 
 
-def read_records(index: DataFrame, root: str, gap_bytes: int = 1 << 16, read_bytes: int = 1 << 23) -> DataFrame:
+def read_records(index: DataFrame, root: str, gap_bytes: int = 1 << 16, read_bytes: int = 1 << 23, task_bytes: int = 1 << 23) -> DataFrame:
     """Read the records that an index (or any selection of its rows) points to.
 
     Rows are ranged and sorted by archive and offset, so that each task reads a
-    contiguous stretch; neighbours at most gap_bytes apart are fetched by one
+    contiguous stretch of about task_bytes; neighbours at most gap_bytes apart are fetched by one
     read of up to read_bytes (one record may be larger).
     """
 
@@ -165,7 +166,8 @@ def read_records(index: DataFrame, root: str, gap_bytes: int = 1 << 16, read_byt
         if file is not None:
             file.close()
 
-    ranged = index.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    stretches = max(1, (index.agg(F.sum("length")).first()[0] or 0) // task_bytes)
+    ranged = index.select("archive", "offset", "length").repartitionByRange(stretches, "archive", "offset").sortWithinPartitions("archive", "offset")
     return ranged.mapInArrow(read, RECORD)
 
 
