@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,6 +144,19 @@ def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", most_gr
     return Model([tuple(r) for r in kept.collect()])
 
 
+def identify(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text, as predict() returns them."""
+    lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    known = [i for i, t in enumerate(texts) if model.langs and t and any(map(str.isalpha, t))]
+    if known:
+        bits = model.bits([_bytes(texts[i]) for i in known])
+        best = bits.argmin(axis=1)
+        share = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
+        for i, b, s in zip(known, best, share, strict=True):
+            lang[i], score[i] = model.langs[b], s
+    return lang, score
+
+
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", texts_per_step: int = 256) -> DataFrame:
     """(id, lang_pred, score): the language that codes the whole text in the fewest bits.
 
@@ -154,25 +168,38 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, texts_per_step):
                 part = batch.slice(at, texts_per_step)
-                texts = part.column(1).to_pylist()
-                lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-                known = [i for i, t in enumerate(texts) if own.langs and t and any(map(str.isalpha, t))]
-                if known:
-                    bits = own.bits([_bytes(texts[i]) for i in known])
-                    best = bits.argmin(axis=1)
-                    share = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
-                    for i, b, s in zip(known, best, share, strict=True):
-                        lang[i], score[i] = own.langs[b], s
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang), pa.array(score)], names=["id", "lang_pred", "score"])
+                lang, score = identify(shared.value, part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, lang_pred string, score double")
 
 
+def keep_known(df: DataFrame, model: Model, least: float = 0.5, lang_col: str = "lang", text_col: str = "text", texts_per_step: int = 256) -> DataFrame:
+    """The rows whose language is found with a score of `least` or more, with all their columns; a null language is filled in.
+
+    If nothing was learned, all rows with a letter stay.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    text, named = df.columns.index(text_col), df.columns.index(lang_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, texts_per_step):
+                part = batch.slice(at, texts_per_step)
+                texts = part.column(text).to_pylist()
+                lang, score = identify(shared.value, texts)
+                keep = score >= least if shared.value.langs else np.array([bool(t) and any(map(str.isalpha, t)) for t in texts])
+                if shared.value.langs:
+                    part = part.set_column(named, part.schema.field(named), pc.coalesce(part.column(named), pa.array(lang, part.schema.field(named).type)))
+                yield part.filter(pa.array(keep, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
 

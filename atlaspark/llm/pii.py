@@ -308,6 +308,20 @@ def redact(text: str, spans: list[tuple[int, int, int, bool]]) -> str:
     return "".join(out) + text[at:]
 
 
+def redacted(df: DataFrame, field: Field, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """All rows and columns, personal data in the text replaced by its kind; length_col is the new text's length. Null texts stay null."""
+    shared = df.sparkSession.sparkContext.broadcast(field)
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t if t is None else redact(t, find_spans(t, shared.value)) for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+    out = df.mapInArrow(run, df.schema)
+    return out.withColumn(length_col, F.length(text_col).cast(df.schema[length_col].dataType)) if length_col in df.columns else out
+
+
 def op4_skip_chain(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = find(docs, train(docs))

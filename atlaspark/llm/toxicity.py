@@ -273,6 +273,18 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(run, "id long, score double")
 
 
+def keep_clean(df: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows whose whole text scores below `least`, with all their columns."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([shared.value.score(t.as_py()) < least for t in batch.column(at)], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def op10_levenshtein(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2))
