@@ -42,7 +42,7 @@ def frame_pairs(frames: DataFrame, scheme: str, size: int = 3, cyclic: bool = Tr
         pairs = one.where(F.col("src") != size).select(F.lit(size).alias("src"), F.col("src").alias("dst"))
     else:
         steps = [1 << k for k in range(size)] if scheme == "logwin" else list(range(1, size + 1))
-        ahead = one.select("src", (F.col("src") + F.explode(F.array(*map(F.lit, steps)))).alias("dst"), "n")
+        ahead = one.select("src", "n", F.explode(F.array(*map(F.lit, steps))).alias("step")).select("src", (F.col("src") + F.col("step")).alias("dst"), "n")
         ahead = ahead.withColumn("dst", F.col("dst") % F.col("n")) if cyclic else ahead.where("dst < n")
         pairs = ahead.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     if symmetric:

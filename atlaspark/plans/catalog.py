@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["spatial"]
+MODULES = ["spatial", "relational"]
 
 
 def _gather(name: str) -> dict:
