@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .text import CHUNKS, BoundedCache
+from .text import ChunkBytes
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECE + ", sequence_id long, offset long"
@@ -67,17 +68,11 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.cache = BoundedCache(self._learn)
+        self.encode = ChunkBytes(self._learn).encode
 
     def _learn(self, chunks: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.asarray(x.ids, "<u4").tobytes() for x in found]
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        cut = [CHUNKS.findall(t or "") for t in texts]
-        known = self.cache.look_up({c for chunks in cut for c in chunks})
-        for chunks in cut:
-            yield b"".join([known[c] for c in chunks])
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (x.ids for x in found)]
 
 
 @functools.lru_cache(maxsize=2)

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: White space and the run of other characters after it; joined, the chunks are the text.
-CHUNKS = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
+#: White space and the run of other characters after it; joined, the chunks are the text. Marks that end a plain
+#: word are a chunk of their own, so that the word is met again without them: no token holds both.
+CHUNKS = re.compile(
+    f"[{WHITE_SPACE}]*[^\\W_]+(?<=[A-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\xff])(?=[.,;:!?|$%&*#]+(?:[{WHITE_SPACE}]|$))"
+    f"|[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+"
+)
 
 
 class BoundedCache:
     """Results by chunk. Once `most` are kept, the ones not asked for since are let go."""
 
-    def __init__(self, learn: Callable[[list[str]], list], most: int = 150_000, longest: int = 64):
+    def __init__(self, learn: Callable[[list[str]], list], most: int = 300_000, longest: int = 64):
         self.learn, self.most, self.longest = learn, most, longest
         self.young: dict = {}
         self.old: dict = {}
@@ -29,3 +33,32 @@ class BoundedCache:
         rare = {c: v for c, v in found.items() if len(c) > self.longest}
         self.young.update((c, v) for c, v in found.items() if len(c) <= self.longest)
         return self.young | rare if rare else self.young
+
+
+class ChunkBytes:
+    """Bytes for each piece of text, kept for pieces (a space and what follows it) and for the smaller chunks in them.
+
+    A piece that is only a space or ends in white space may share a token with
+    the next one; texts with such pieces are put together from chunks.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], list[bytes]], most: int = 500_000):
+        self.chunks = BoundedCache(learn, most)
+        self.pieces = BoundedCache(self._join, most)
+
+    def _join(self, pieces: list[str]) -> list[bytes | None]:
+        parts = [None if p == " " or p[-1:].isspace() else CHUNKS.findall(p) for p in pieces]
+        known = self.chunks.look_up({c for cs in parts if cs for c in cs})
+        return [None if cs is None else b"".join([known[c] for c in cs]) for cs in parts]
+
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The bytes of each text."""
+        cuts = [[] if not t else [" "] if "\0" in t else t.replace(" ", "\0 ").split("\0") for t in texts]
+        known = self.pieces.look_up(set().union(*cuts))
+        for t, pieces in zip(texts, cuts, strict=True):
+            try:
+                yield b"".join([known[p] for p in pieces])
+            except TypeError:
+                chunks = CHUNKS.findall(t)
+                own = self.chunks.look_up(set(chunks))
+                yield b"".join([own[c] for c in chunks])
