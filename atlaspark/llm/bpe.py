@@ -21,25 +21,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .text import CHUNKS, BoundedCache
+from .text import ChunkBytes
 
 ENCODE = """
-WITH RECURSIVE step(word, turn, pos, id) AS (
-    SELECT word, 0, pos, id FROM bytes
+WITH RECURSIVE step(word, turn, ids) AS (
+    SELECT word, 0, ids FROM words
   UNION ALL
-    SELECT word, turn + 1, pos, CASE WHEN pos = best & 4294967295 THEN CAST(best >> 32 AS INTEGER) ELSE id END
-    FROM (
-        SELECT word, turn, pos, id, prior, min(CAST(merged AS BIGINT) * 4294967296 + pos) OVER (PARTITION BY word) AS best
+    SELECT s.word, s.turn + 1, s.ids[:b.pos - 1] || [b.merged] || s.ids[b.pos + 2:]
+    FROM step s JOIN (
+        SELECT word, min(CAST(merged AS BIGINT) << 32 | pos) AS best, CAST(best >> 32 AS INTEGER) AS merged, best & 4294967295 AS pos
         FROM (
-            SELECT word, turn, pos, id, lead(id) OVER w AS following, lag(pos) OVER w AS prior
-            FROM step WINDOW w AS (PARTITION BY word ORDER BY pos)
-        ) p LEFT JOIN merges m ON m.l = p.id AND m.r = p.following
-    ) q
-    WHERE best IS NOT NULL AND (prior IS NULL OR prior <> best & 4294967295)
+            SELECT word, unnest(ids[:-2]) AS l, unnest(ids[2:]) AS r, generate_subscripts(ids[2:], 1) AS pos FROM step
+        ) p JOIN merges m USING (l, r)
+        GROUP BY word
+    ) b USING (word)
 )
-SELECT word, list(id ORDER BY pos) AS ids
-FROM (SELECT word, pos, id, turn = max(turn) OVER (PARTITION BY word) AS last FROM step)
-WHERE last GROUP BY word ORDER BY word
+SELECT word, arg_max(ids, turn) AS ids FROM step GROUP BY word ORDER BY word
 """
 DECODE = """
 SELECT doc, string_agg(piece, '' ORDER BY place) AS bytes
@@ -55,22 +52,33 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pattern = regex.compile(pattern)
         self.words_per_query, self.long_word = words_per_query, long_word
-        self.cache = BoundedCache(self._learn)
+        self.chunks = ChunkBytes(self._learn)
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.pairs = {}
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
+
+    def _table(self, name: str, rows: pa.Table) -> None:
+        self.db.register("rows", rows)
+        self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
+        self.db.unregister("rows")
+
+    @functools.cached_property
+    def pairs(self) -> dict[tuple[int, int], int]:
+        """The rank of every pair of tokens that make a token; DuckDB has them as the table merges."""
+        found = {}
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    self.pairs[left, right] = rank
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
-        ends = np.array(list(self.pairs), np.int32).reshape(-1, 2)
-        merges = pa.table({"l": ends[:, 0], "r": ends[:, 1], "merged": np.array(list(self.pairs.values()), np.int32)})
-        vocabulary = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "piece": [t.hex() for t in self.ranks]})
-        for name, rows in (("merges", merges), ("vocabulary", vocabulary)):
-            self.db.register("rows", rows)
-            self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
-            self.db.unregister("rows")
+                    found[left, right] = rank
+        ends = np.array(list(found), np.int32).reshape(-1, 2)
+        self._table("merges", pa.table({"l": ends[:, 0], "r": ends[:, 1], "merged": np.array(list(found.values()), np.int32)}))
+        return found
+
+    @functools.cached_property
+    def vocabulary(self) -> int:
+        """How many tokens the table vocabulary has."""
+        self._table("vocabulary", pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "piece": [t.hex() for t in self.ranks]}))
+        return len(self.ranks)
 
     def words(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of distinct words, each contracted by its leftmost pair of least rank until no pair has a rank.
@@ -79,6 +87,7 @@ class Codec:
         """
         out: list = [None] * len(words)
         short = []
+        assert self.pairs
         for i, w in enumerate(words):
             if w in self.ranks:
                 out[i] = np.array([self.ranks[w]], np.int32)
@@ -90,11 +99,10 @@ class Codec:
             part = short[at : at + self.words_per_query]
             sizes = np.array([len(words[i]) for i in part])
             ids = self.byte_ids[np.frombuffer(b"".join(words[i] for i in part), np.uint8)]
-            starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
-            rows = pa.table({"word": np.repeat(np.arange(len(part), dtype=np.int32), sizes), "pos": (np.arange(len(ids)) - starts).astype(np.int32), "id": ids})
-            self.db.register("bytes", rows)
-            found = self.db.execute(ENCODE).to_arrow_table().column("ids").combine_chunks()
-            self.db.unregister("bytes")
+            edges = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+            self.db.register("words", pa.table({"word": np.arange(len(part), dtype=np.int32), "ids": pa.ListArray.from_arrays(edges, pa.array(ids))}))
+            found = self.db.sql(ENCODE).to_arrow_table().column("ids").combine_chunks()
+            self.db.unregister("words")
             flat, edge = found.values.to_numpy(), found.offsets.to_numpy()
             for k, i in enumerate(part):
                 out[i] = flat[edge[k] : edge[k + 1]].copy()
@@ -120,23 +128,23 @@ class Codec:
                     heapq.heappush(heap, (r, a, ids[a], ids[after[a]]))
         return np.array([x for x in ids if x >= 0], np.int32)
 
-    def _learn(self, chunks: list[str]) -> list[np.ndarray]:
+    def _learn(self, chunks: list[str]) -> list[bytes]:
         parts = [[m.encode("utf-8") for m in self.pattern.findall(c)] for c in chunks]
         words = list(dict.fromkeys(w for ws in parts for w in ws))
-        ids = dict(zip(words, self.words(words), strict=True))
-        return [np.concatenate([ids[w] for w in ws]) if len(ws) != 1 else ids[ws[0]] for ws in parts]
+        ids = {w: x.tobytes() for w, x in zip(words, self.words(words), strict=True)}
+        return [b"".join([ids[w] for w in ws]) for ws in parts]
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [CHUNKS.findall(t or "") for t in texts]
-        known = self.cache.look_up({c for chunks in cut for c in chunks})
-        return [np.concatenate([known[c] for c in chunks]) if chunks else np.empty(0, np.int32) for chunks in cut]
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        return (np.frombuffer(ids, np.int32) for ids in self.chunks.encode(texts))
 
     def decode(self, ids: np.ndarray, edges: np.ndarray) -> list[bytes]:
         """Bytes of lists of ids, list i being ids[edges[i]:edges[i + 1]]."""
+        assert self.vocabulary
         sizes = np.diff(edges)
         rows = pa.table({"doc": np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), "place": np.arange(len(ids), dtype=np.int32), "id": ids})
         self.db.register("ids", rows)
-        found = self.db.execute(DECODE).to_arrow_table()
+        found = self.db.sql(DECODE).to_arrow_table()
         self.db.unregister("ids")
         out = [b""] * len(sizes)
         for doc, text in zip(found.column("doc").to_pylist(), found.column("bytes").to_pylist(), strict=True):
@@ -155,7 +163,7 @@ def _list_array(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate([*parts, np.empty(0, np.int32)]).astype(np.int32)))
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", texts_per_step: int = 512) -> DataFrame:
+def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", texts_per_step: int = 1024) -> DataFrame:
     """(id, ids): token ids of each whole text, special tokens being ordinary text.
 
     Null and empty texts have no ids; ids may be null or repeat; words of any
@@ -168,7 +176,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
         for batch in batches:
             for at in range(0, batch.num_rows, texts_per_step):
                 part = batch.slice(at, texts_per_step)
-                yield pa.RecordBatch.from_arrays([part.column(0), _list_array(own.encode(part.column(1).to_pylist()))], names=["id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _list_array(list(own.encode(part.column(1).to_pylist())))], names=["id", "ids"])
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, ids array<int>")
 
