@@ -173,7 +173,8 @@ def links(distinct: DataFrame, words: int, radius: int, tile_rows: int) -> DataF
         .agg(F.collect_list("node").alias("node"), *[F.collect_list(w).alias(w) for w in names])
     )
     left = tiles.select(F.col("cell").alias("cell_a"), F.col("sub").alias("sub_a"), F.col("node").alias("node_a"), *[F.col(w).alias(f"{w}_a") for w in names], F.explode(F.array(*[F.lit(s) for s in _steps(len(counts), radius, width)])).alias("step"))
-    pairs = left.withColumn("cell", F.col("cell_a") + F.col("step")).join(tiles, "cell").where("step > 0 OR sub_a <= sub")
+    known = left.withColumn("cell", F.col("cell_a") + F.col("step")).join(sizes, "cell").withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    pairs = known.where("step > 0 OR sub_a <= sub").join(tiles, ["cell", "sub"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
