@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["spatial", "relational"]
+MODULES = ["spatial", "relational", "reconstruction"]
 
 
 def _gather(name: str) -> dict:
