@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..operators import filters, raster, windows
 from ..sources import tables as T
-from .voxels import VoxelParams, demote, endpoints, fold, promote, ray_cells
+from .voxels import MapSettings, demote, endpoints, fold, promote, ray_cells
 
 QUERIES, ORACLES = {}, {}
 KEY = "xor(xor((({i}) + 1048576) << 42, (({j}) + 1048576) << 21), ({k}) + 1048576)"
@@ -133,7 +133,7 @@ def tile_blend(spark, d):
     return raster.blend_tiles(t).select("v", "u", r6(F.col("value")).alias("value"))
 
 
-PARAMS = VoxelParams()
+PARAMS = MapSettings()
 
 
 def _calls(spark, d):
@@ -166,7 +166,7 @@ SELECT key, count(DISTINCT epoch) AS epochs, bit_count(bit_or(bits) & 255) AS vi
 def epoch_promotion(spark, d):
     """Voxels seen occupied in five epochs and from three directions."""
     c = T.cells(spark, d).select(G.pack_key(F.col("i"), F.col("j"), F.col("k")).alias("key"), "epoch", F.pow(F.lit(2), F.col("frame_id")).cast("int").alias("b"))
-    return promote(c.groupBy("key", "epoch").agg(F.bit_or("b").alias("bits")), VoxelParams(promote_views=3))
+    return promote(c.groupBy("key", "epoch").agg(F.bit_or("b").alias("bits")), MapSettings(promote_views=3))
 
 
 @query("""WITH s AS (SELECT l_partkey AS key, CAST(count(*) AS INTEGER) AS neg, CAST(min(l_linenumber) AS INTEGER) AS last_occ, max(l_discount) - 0.05::DOUBLE AS lt FROM lineitem GROUP BY l_partkey),

@@ -11,7 +11,7 @@ from ..functions.geometry import clamp, distance, is_finite, pack_key, voxel_ind
 
 
 @dataclass(frozen=True)
-class VoxelParams:
+class MapSettings:
     """Steps and limits of the log-odds state."""
 
     size: float = 0.25
@@ -32,13 +32,13 @@ class VoxelParams:
     samples_per_voxel: float = 1.0
 
 
-def endpoints(points: DataFrame, params: VoxelParams, by: list[str]) -> DataFrame:
+def endpoints(points: DataFrame, params: MapSettings, by: list[str]) -> DataFrame:
     """Distinct keys of the voxels in which finite points lie, for each call."""
     index = [voxel_index(F.col(c), o, params.size) for c, o in zip("xyz", params.origin, strict=True)]
     return points.where(is_finite("x", "y", "z")).select(*by, pack_key(*index).alias("key")).distinct()
 
 
-def ray_cells(points: DataFrame, params: VoxelParams, by: list[str], most_range: float | None = None) -> DataFrame:
+def ray_cells(points: DataFrame, params: MapSettings, by: list[str], most_range: float | None = None) -> DataFrame:
     """Distinct keys of the voxels that rays (cx, cy, cz) to (x, y, z) pass, without the endpoints of the same call."""
     start, end = [F.col(f"c{a}") for a in "xyz"], [F.col(a) for a in "xyz"]
     rays = points.where(is_finite("x", "y", "z")).withColumn("_len", distance(start, end))
@@ -58,7 +58,7 @@ def _start() -> Column:
     )
 
 
-def _observe(s: Column, e: Column, p: VoxelParams) -> Column:
+def _observe(s: Column, e: Column, p: MapSettings) -> Column:
     """The state after one observation: occupied raises the short-term value; free lowers it and, after enough in a row, the long-term one."""
     occ = e.kind == 0
     step = lambda v, d: clamp(v + F.lit(d), p.low, p.high)
@@ -75,7 +75,7 @@ def _observe(s: Column, e: Column, p: VoxelParams) -> Column:
     )
 
 
-def fold(events: DataFrame, params: VoxelParams) -> DataFrame:
+def fold(events: DataFrame, params: MapSettings) -> DataFrame:
     """State of each key after its events (epoch, seq, kind: 0 occupied, 1 free) in order.
 
     A key's history is bounded by the number of calls, as a call sees a key at
@@ -87,7 +87,7 @@ def fold(events: DataFrame, params: VoxelParams) -> DataFrame:
     return folded.select("key", "s.st", "s.lt", "s.hits", "s.pos", "s.neg", never("last_occ"), never("last_free"))
 
 
-def promote(occupied: DataFrame, params: VoxelParams) -> DataFrame:
+def promote(occupied: DataFrame, params: MapSettings) -> DataFrame:
     """(key, epochs, views, promoted): keys seen occupied in enough epochs and from enough directions.
 
     Takes the distinct (key, epoch) with the bits of the directions seen in it.
@@ -97,7 +97,7 @@ def promote(occupied: DataFrame, params: VoxelParams) -> DataFrame:
     return seen.select("key", "epochs", views).withColumn("promoted", (F.col("epochs") >= params.promote_after) & (F.col("views") >= params.promote_views))
 
 
-def demote(state: DataFrame, epoch: int, params: VoxelParams, floor: float = 0.0) -> DataFrame:
+def demote(state: DataFrame, epoch: int, params: MapSettings, floor: float = 0.0) -> DataFrame:
     """Long-term values after an epoch ends: keys free long enough lose a step, and if any did, all values are clamped to floor or more."""
     due = (F.col("neg") >= params.demote_after) & (F.lit(epoch) - F.col("last_occ") >= params.demote_gap)
     any_due = state.agg(F.coalesce(F.bool_or(due), F.lit(False)).alias("_any"))

@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..plans.voxels import VoxelParams
+from ..plans.voxels import MapSettings
 
 STATE = "st double, lt double, hits int, pos int, neg int, last_occ int, last_free int"
 OUTPUT = f"key long, {STATE}"
 START = (0.0, 0.0, 0, 0, 0, -1, -1)
 
 
-def observe(state: tuple, epoch: int, kind: int, p: VoxelParams) -> tuple:
+def observe(state: tuple, epoch: int, kind: int, p: MapSettings) -> tuple:
     """One observation applied to a key's state, as the batch fold does."""
     st, lt, hits, pos, neg, last_occ, last_free = state
     clamp = lambda x: min(max(x, p.low), p.high)
@@ -29,7 +29,7 @@ def observe(state: tuple, epoch: int, kind: int, p: VoxelParams) -> tuple:
     return clamp(st + p.free_step), lt, hits, 0, neg, last_occ, epoch
 
 
-def voxel_stream(events: DataFrame, params: VoxelParams = VoxelParams()) -> DataFrame:
+def voxel_stream(events: DataFrame, params: MapSettings = MapSettings()) -> DataFrame:
     """State of each key after every micro-batch that holds events (key, epoch, seq, kind) of it.
 
     Micro-batches must arrive in order of (epoch, seq); within one they are

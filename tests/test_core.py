@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from atlaspark.functions import geometry as G
 from atlaspark.operators import filters, graph, joins, metrics, raster, windows
-from atlaspark.plans.voxels import VoxelParams, demote, fold, ray_cells
+from atlaspark.plans.voxels import MapSettings, demote, fold, ray_cells
 from atlaspark.streaming.voxel_stream import START, edge_ages, observe, voxel_stream
 
 
@@ -83,7 +83,7 @@ def test_graph(spark):
 
 
 def test_state_fold_matches_stream(spark, tmp_path):
-    p = VoxelParams()
+    p = MapSettings()
     rows = [(k, e, s, (k * 7 + e * 3 + s) % 3 % 2) for k in range(5) for e in range(6) for s in range(3)]
     schema = "key long, epoch int, seq int, kind int"
     expected = {}
@@ -114,12 +114,12 @@ def test_edge_ages(spark, tmp_path):
 
 def test_rays(spark):
     p = spark.createDataFrame([(0.95, 0.05, 0.05, 0.0, 0.05, 0.05)], "x double, y double, z double, cx double, cy double, cz double")
-    keys = ray_cells(p, VoxelParams(size=0.1), [])
+    keys = ray_cells(p, MapSettings(size=0.1), [])
     i, j, k = G.unpack_key(F.col("key"))
     assert sorted(r.i for r in keys.select(i.alias("i")).collect()) == list(range(9))
 
 
 def test_demotion_clamps_all(spark):
     s = spark.createDataFrame([(1, 0.8, 10, 0), (2, -0.25, 4, 0)], "key int, lt double, neg int, last_occ int")
-    out = {r.key: (round(r.lt, 6), r.demoted) for r in demote(s, 3, VoxelParams()).collect()}
+    out = {r.key: (round(r.lt, 6), r.demoted) for r in demote(s, 3, MapSettings()).collect()}
     assert out == {1: (0.3, True), 2: (0.0, False)}
