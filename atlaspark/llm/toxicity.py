@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .langid import fold
-from .text import BoundedCache
 
 WORD = re.compile(r"\w+(?:[*@$!#]+\w+)*")
 QUOTES = re.compile("[\"“”«»„‟]|(?<!\\w)['‘’]|['‘’](?!\\w)")
@@ -116,10 +115,27 @@ class Lexicon:
 
     def __post_init__(self):
         self.tries: dict[int, Trie] = {}
-        self.cache = BoundedCache(self._learn, longest=40)
-
-    def _learn(self, words: list[str]) -> list[tuple[str, str] | None]:
-        return [self.match(w) for w in words]
+        # One edit leaves the first or the second half of a word as it is.
+        self.halves = ({w[: len(w) // 2] for w in self.words}, {w[len(w) // 2 :] for w in self.words})
+        self.lengths = tuple(sorted({len(h) for h in half}) for half in self.halves)
+        self.hits: dict[str, tuple[str, str]] = {}
+        self.clean: set[str] = set()
+
+    def _look_up(self, words: set[str], most: int = 500_000) -> None:
+        """Sort words into hits and clean ones; what is known is kept for the next texts, up to a bound."""
+        if len(self.clean) > most:
+            self.clean = set()
+        if len(self.hits) > most:
+            self.hits = {}
+        for w in (words - self.clean).difference(self.hits):
+            if found := self.match(w):
+                self.hits[w] = found
+            else:
+                self.clean.add(w)
+
+    def _keeps_half(self, word: str) -> bool:
+        first, second = self.halves
+        return any(word[:n] in first for n in self.lengths[0]) or any(word[-n:] in second for n in self.lengths[1])
 
     def match(self, word: str) -> tuple[str, str] | None:
         """What kind of hit a lower-case word is, and of which entry."""
@@ -129,7 +145,7 @@ class Lexicon:
             if word[:n] in self.stems:
                 return ("stem", word[:n])
         allowed = edits(len(word)) if len(word) <= 40 and word not in self.ordinary else 0
-        if allowed and (found := self._trie(len(word)).near(word, allowed)) and found[1] <= edits(len(found[0])):
+        if allowed and (allowed > 1 or self._keeps_half(word)) and (found := self._trie(len(word)).near(word, allowed)) and found[1] <= edits(len(found[0])):
             return ("fuzzy", found[0])
         return None
 
@@ -143,14 +159,13 @@ class Lexicon:
         """Counts of a whole text's hits, as logarithms."""
         text = (text or "").lower()
         words = WORD.findall(text)
-        known = self.cache.look_up(set(words))
-        n, kinds = Counter(), set()
-        if any(known[w] for w in dict.fromkeys(words)):
-            quoted = None
+        n, kinds, distinct = Counter(), set(), set(words)
+        self._look_up(distinct)
+        if not distinct.isdisjoint(self.hits):
+            quoted = Quotes(text)
             for m in WORD.finditer(text):
-                hit = known[m.group()]
+                hit = self.hits.get(m.group())
                 if hit:
-                    quoted = quoted or Quotes(text)
                     kinds.add(hit[1])
                     n["quoted" if quoted.around(m.start(), m.end()) else hit[0]] += 1
         n["kinds"], total = len(kinds), sum(n.values())
