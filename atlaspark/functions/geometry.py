@@ -84,6 +84,21 @@ def project(p: list[Column], fx: Column, fy: Column, cx: Column, cy: Column, k1:
     return [F.when(seen, f * a * radial + c).otherwise(F.lit(default)) for f, a, c in ((fx, u, cx), (fy, v, cy))]
 
 
+def undistort(x: Column, y: Column, k1: float, rounds: int = 20) -> list[Column]:
+    """Ideal normalised coordinates of distorted ones, one radial coefficient, by fixed-point rounds.
+
+    Converges where the distortion is mild (k1 r^2 well below 1).
+    """
+    start = F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+    def step(s: Column, _: Column) -> Column:
+        radial = 1 + F.lit(k1) * (s.x * s.x + s.y * s.y)
+        return F.struct((x / radial).alias("x"), (y / radial).alias("y"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
+    return [found.x, found.y]
+
+
 def is_not_nan(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x)
 

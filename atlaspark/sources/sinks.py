@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,3 +40,24 @@ def export_manifest(frames: DataFrame, pad: int = 8) -> DataFrame:
 def archive_members(frames: DataFrame) -> DataFrame:
     """Members of each timestamp's archive, in camera order; a timestamp has one file a camera."""
     return frames.groupBy("idx").agg(F.sort_array(F.collect_list(F.struct("cam", "path"))).alias("members"))
+
+
+def write_text_model(cameras: DataFrame, images: DataFrame, tracks: DataFrame, points: DataFrame, path: str, least_views: int = 2, mode: str = "errorifexists") -> None:
+    """A reconstruction as cameras, images and points in text form, one folder each, ids from 1.
+
+    cameras (camera_id, model, width, height, params), images (image_id, q, t,
+    camera_id, name), tracks (track_id, image_id, x, y), points (track_id, x, y,
+    z). Tracks seen in fewer images than least_views are left out.
+    """
+    text = lambda *c: F.concat_ws(" ", *[x.cast("string") for x in c])
+    numbers = lambda c: F.array_join(F.col(c).cast("array<string>"), " ")
+    kept = tracks.groupBy("track_id").agg(F.countDistinct("image_id").alias("_n")).where(F.col("_n") >= least_views).select("track_id")
+    place = F.row_number().over(Window.partitionBy("image_id").orderBy("track_id", "x", "y")) - 1
+    seen = tracks.join(kept, "track_id", "left_semi").withColumn("_i", place)
+    cameras.select(text(F.col("camera_id") + 1, F.col("model"), F.col("width"), F.col("height"), numbers("params")).alias("value")).write.mode(mode).text(f"{path}/cameras")
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("track_id", "x", "y"))), lambda p: text(p.x, p.y, p.track_id + 1)), " ")
+    found = seen.groupBy("image_id").agg(rows.alias("_p"))
+    head = text(F.col("image_id") + 1, numbers("q"), numbers("t"), F.col("camera_id") + 1, F.col("name"))
+    images.join(found, "image_id", "left").select(F.concat_ws("\n", head, F.coalesce("_p", F.lit(""))).alias("value")).write.mode(mode).text(f"{path}/images")
+    track = seen.groupBy("track_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("image_id", "_i"))), lambda t: text(t.image_id + 1, t._i)), " ").alias("_t"))
+    points.join(track, "track_id").select(text(F.col("track_id") + 1, F.col("x"), F.col("y"), F.col("z"), F.lit("0 0 0 0"), F.col("_t")).alias("value")).write.mode(mode).text(f"{path}/points")

@@ -123,3 +123,16 @@ def test_demotion_clamps_all(spark):
     s = spark.createDataFrame([(1, 0.8, 10, 0), (2, -0.25, 4, 0)], "key int, lt double, neg int, last_occ int")
     out = {r.key: (round(r.lt, 6), r.demoted) for r in demote(s, 3, MapSettings()).collect()}
     assert out == {1: (0.3, True), 2: (0.0, False)}
+
+
+def test_undistort_undoes_distortion(spark):
+    df = spark.createDataFrame([(0.3, -0.2)], "x double, y double")
+    radial = 1 + F.lit(0.1) * (F.col("x") * F.col("x") + F.col("y") * F.col("y"))
+    u, v = G.undistort(F.col("x") * radial, F.col("y") * radial, 0.1)
+    r = df.select(u.alias("u"), v.alias("v")).first()
+    assert math.isclose(r.u, 0.3, abs_tol=1e-9) and math.isclose(r.v, -0.2, abs_tol=1e-9)
+
+
+def test_shortest_costs_and_coverage(spark):
+    e = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (0, 2, 5.0)], "src int, dst int, cost double")
+    assert {r.node: r.cost for r in graph.shortest_costs(e, 0).collect()} == {0: 0.0, 1: 1.0, 2: 2.0}

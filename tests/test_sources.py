@@ -40,3 +40,14 @@ def test_sinks(spark, tmp_path):
     assert back.collect() == df.collect() and meta == {"voxel_size": 0.1}
     sinks.write_ply(df.select(*[(F.col(c) * 0.5).alias(n) for c, n in zip("ijk", "xyz", strict=True)]), str(tmp_path / "p"))
     assert [r.value for r in spark.read.text(str(tmp_path / "p/1-vertices")).collect()] == ["0.500000 1.000000 1.500000"]
+
+
+def test_text_model_writer(spark, tmp_path):
+    cams = spark.createDataFrame([(0, "PINHOLE", 4, 3, [1.0, 2.0])], "camera_id int, model string, width int, height int, params array<double>")
+    images = spark.createDataFrame([(i, [1.0, 0.0, 0.0, 0.0], [0.0, 0.0, 0.5], 0, f"{i}.jpg") for i in range(2)], "image_id int, q array<double>, t array<double>, camera_id int, name string")
+    tracks = spark.createDataFrame([(0, 0, 1.5, 2.5), (0, 1, 1.0, 2.0), (1, 0, 9.0, 9.0)], "track_id int, image_id int, x double, y double")
+    points = spark.createDataFrame([(0, 1.0, 2.0, 3.0), (1, 4.0, 5.0, 6.0)], "track_id int, x double, y double, z double")
+    sinks.write_text_model(cams, images, tracks, points, str(tmp_path / "m"))
+    lines = lambda name: sorted(r.value for r in spark.read.text(str(tmp_path / "m" / name)).collect())
+    assert lines("points") == ["1 1.0 2.0 3.0 0 0 0 0 1 0 2 0"]
+    assert "1.5 2.5 1" in lines("images") and "2 1.0 0.0 0.0 0.0 0.0 0.0 0.5 1 1.jpg" in lines("images")
