@@ -7,6 +7,8 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import materialize
+
 
 def upsert(state: DataFrame, update: DataFrame, key: str, defaults: dict) -> DataFrame:
     """All keys of both tables: kept state, and defaults for keys that are new."""
@@ -81,13 +83,14 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left
     rows not settled go into the next round. Rows beyond the last round have no
     neighbour within size * 2 ** most_rings and are left out.
     """
-    open_, found = left.select(left_id, *left_coords), None
+    open_, found = materialize(left.select(left_id, *left_coords)), None
+    right = materialize(right.select(right_id, *right_coords))
     for ring in range(most_rings):
         radius = size * (1 << ring)
-        pairs = radius_join(open_, right.select(right_id, *right_coords), left_coords, right_coords, radius)
-        best = pairs.groupBy(left_id).agg(F.min(F.struct("d2", right_id)).alias("b")).select(left_id, F.col(f"b.{right_id}").alias(right_id), F.col("b.d2").alias("d2"))
+        pairs = radius_join(open_, right, left_coords, right_coords, radius)
+        best = materialize(pairs.groupBy(left_id).agg(F.min(F.struct("d2", right_id)).alias("b")).select(left_id, F.col(f"b.{right_id}").alias(right_id), F.col("b.d2").alias("d2")))
         found = best if found is None else found.unionByName(best)
-        open_ = open_.join(best, left_id, "left_anti")
+        open_ = materialize(open_.join(best, left_id, "left_anti"))
         if open_.isEmpty():
             break
     return found
