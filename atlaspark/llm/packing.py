@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -65,6 +66,8 @@ class WordIds:
     """
 
     def __init__(self, tokenizer_path: str):
+        # Tasks already use all cores; the library's own threads would each keep memory besides.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)

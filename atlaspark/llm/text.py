@@ -43,7 +43,8 @@ class ChunkBytes:
     """
 
     def __init__(self, learn: Callable[[list[str]], list[bytes]], most: int = 500_000):
-        self.chunks = BoundedCache(learn, most)
+        # Only pieces that are not kept are cut into chunks.
+        self.chunks = BoundedCache(learn, most // 2)
         self.pieces = BoundedCache(self._join, most)
 
     def _join(self, pieces: list[str]) -> list[bytes | None]:
