@@ -15,7 +15,8 @@ from .common import table
 ORDER = 3
 PAD = b"\n" * ORDER
 UNKNOWN = "und"
-BLOCK = 1 << 20
+#: Bytes coded at a time; the tables of costs for them are what a worker's memory grows by.
+BLOCK = 1 << 18
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
