@@ -49,5 +49,13 @@ def count_at_or_below(values: Column, n: int, x: Column) -> Column:
     )
 
 
+#: Rows of a batch that goes to Python: whole texts, of which ten thousand can be a hundred megabytes on either side.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of sf_dir; the session's batches to Python get BATCH_ROWS rows at most from now on."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
