@@ -1,14 +1,15 @@
-"""SimHash near-duplicates: exact tiled comparison of distinct fingerprints."""
+"""Near-duplicates: by SimHash, with exact tiled comparison of distinct fingerprints, and by the exact share of shingles."""
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table
@@ -119,11 +120,6 @@ def local_links(a: np.ndarray, b: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarr
     return _parts(np.concatenate(us), np.concatenate(vs))
 
 
-def radius_of(similarity: float, bits: int) -> int:
-    """The bits that differ, on average, between fingerprints of shingle sets with such a share in common."""
-    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
 def _cell(words: int, radius: int) -> tuple[list[Column], int]:
     """Population counts by which fingerprints are tiled, and how many differences of a count make one cell.
 
@@ -211,16 +207,135 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def keep_one(df: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 512, id_col: str = "doc_id", text_col: str = "text", tile_rows: int = 8192) -> DataFrame:
+def shingle_set(text: str | None, words: int, seed: int = 42) -> np.ndarray:
+    """The distinct word shingles of a text as ascending hashes."""
+    parts = list(shingle_hashes(text, words, seed))
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+
+
+def least_shared(similarity: float, n: int) -> int:
+    """Shingles that a set of so many shares at least with any that is so similar."""
+    return math.ceil(similarity * n - 1e-9)
+
+
+def common_shingles(df: DataFrame, words: int, one_in: int = 8, least: int = 4, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending hashes of shingles found often in one of `one_in` documents of (id, text), and how often.
+
+    They only set the order in which prefixes are taken: which pairs are found depends on neither the sample nor `most`.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), words).view(np.int64))], names=["h"])
+
+    sample = df.where(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0).select("text").mapInArrow(run, "h long")
+    rows = sample.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(most).collect()
+    h, n = np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefixes(df: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(id, key, size, prefix) of (id, text): a digest of the distinct shingles, how many there are, and the rarest ones.
+
+    Two sets that share `similarity` or more of their union have a shingle of their prefixes in common, since both are
+    taken in one order of all shingles and the rest of either set is too small to hold all that they share.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(common_shingles(df, words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = shared.value
+        for batch in batches:
+            keys, sizes, firsts = [], [], []
+            for text in batch.column(1):
+                h = shingle_set(text.as_py(), words)
+                keys.append(xxhash.xxh3_128_digest(h.tobytes()))
+                sizes.append(len(h))
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    first = h[np.argsort(np.where(known[at] == h, often[at], 0), kind="stable")]
+                else:
+                    first = h
+                firsts.append(first[: len(h) - least_shared(similarity, len(h)) + 1].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["id", "key", "size", "prefix"])
+
+    return df.mapInArrow(run, "id long, key binary, size int, prefix array<long>")
+
+
+def shingle_sets(df: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, set) for `wanted` (node, key): the distinct shingles of the document that has this id and this digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), words).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["node", "key", "set"])
+
+    texts = df.join(wanted.select(F.col("node").alias("id")), "id", "left_semi").select("id", "text")
+    return texts.mapInArrow(run, "node long, key binary, set binary").join(wanted, ["node", "key"], "left_semi").dropDuplicates(["node"]).select("node", "set")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets (node, set) share `similarity` or more of their union, counted exactly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                a, b = (np.frombuffer(x.as_py(), np.uint64) for x in (a, b))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(both >= least_shared(similarity, len(a) + len(b) - both))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    sides = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
+    return sides.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def similar_groups(df: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(id, component_id) of (id, text): documents linked where they share `similarity` or more of their distinct shingles, exactly.
+
+    Equal sets are one node. Of the nodes that have a shingle of their prefixes
+    in common, neighbours by size are compared first; then, so that a large
+    group of near copies makes no pairs, all that are not yet in one component.
+    """
+    prints = materialize(prefixes(df, words, similarity))
+    nodes = materialize(prints.groupBy("key").agg(F.min("id").alias("node"), F.first("size").alias("size"), F.first("prefix").alias("prefix")).where("node IS NOT NULL"))
+    order = Window.partitionBy("token").orderBy("size", "node")
+    tokens = nodes.select("node", "size", F.explode("prefix").alias("token"))
+    tokens = tokens.withColumns({"before": F.lag(F.struct("node", "size")).over(order), "after": F.lead("node").over(order)})
+    held = materialize(tokens.where("before IS NOT NULL OR after IS NOT NULL").select("token", "node", "size", "before"))
+    # The size of the smaller set bounds what is shared, that of the larger one the union.
+    close = lambda small, large: F.col(small) >= F.ceil(F.col(large) * similarity - 1e-9)
+    ends = lambda u, v: [F.least(u, v).alias("u"), F.greatest(u, v).alias("v")]
+    chain = materialize(held.where(F.col("before").isNotNull() & close("before.size", "size")).select(*ends("before.node", "node")).distinct())
+
+    sets = materialize(shingle_sets(df, held.select("node").distinct().join(nodes, "node").select("node", "key"), words))
+    first = materialize(similar(chain, sets, similarity))
+    where = nodes.select("node").join(components(first), "node", "left").select("node", F.coalesce("component", "node").alias("part"))
+    parted = held.select("token", "node", "size").join(where, "node")
+    # Only tokens of several components can still hold a link.
+    open_ = parted.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("token")
+    rest = materialize(parted.join(open_, "token"))
+    parts = rest.select("token", "part").distinct()
+    cross = parts.select("token", F.col("part").alias("p")).join(parts.select("token", F.col("part").alias("q")), "token").where("p < q")
+    sides = [rest.select("token", F.col("part").alias(p), F.col("node").alias(n), F.col("size").alias(f"size_{n}")) for p, n in (("p", "x"), ("q", "y"))]
+    others = cross.join(sides[0], ["token", "p"]).join(sides[1], ["token", "q"])
+    others = others.where(F.when(F.col("size_x") < F.col("size_y"), close("size_x", "size_y")).otherwise(close("size_y", "size_x"))).select(*ends("x", "y")).distinct()
+    second = similar(others.join(chain, ["u", "v"], "left_anti"), sets, similarity)
+    found = components(first.union(second))
+    labels = nodes.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
+    return prints.join(labels, "key").select("id", "component_id")
+
+
+def keep_one(df: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id, with all its columns.
 
-    Documents are linked when their fingerprints differ in no more bits than
-    those of shingle sets of such a similarity do on average; at 512 bits the
-    similarity so measured has a standard deviation of 0.04. Rows that repeat
-    an id are one document; rows without an id are all kept.
+    Documents are linked when they share `similarity` or more of their distinct
+    word shingles, and grouped over links. Rows that repeat an id are one
+    document; rows without an id are all kept.
     """
-    groups = near_duplicates(df, id_col, text_col, words, bits, radius_of(similarity, bits), tile_rows)
-    first = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    groups = similar_groups(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), words, similarity)
+    first = groups.where("id = component_id").select(F.col("id").alias(id_col)).distinct()
     return df.join(first, id_col, "left_semi").dropDuplicates([id_col]).select(df.columns).union(df.where(F.col(id_col).isNull()))
 
 

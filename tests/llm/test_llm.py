@@ -337,6 +337,29 @@ def test_one_of_each_group_stays(spark):
     assert simhash.keep_one(repeated).count() == 3
 
 
+def test_kept_documents_are_those_of_all_pairs(spark):
+    r, texts = random.Random(8), []
+    for i in range(60):
+        words = prose(100 + i, r.choice([6, 9, 14, 25, 60, 200])).split()
+        texts.append(" ".join(words))
+        for _ in range(5):
+            near = list(words)
+            for _ in range(r.randint(0, max(1, len(words) // 22))):
+                near[r.randrange(len(near))] = f"w{r.randrange(9)}"
+            texts.append(" ".join(near + [texts[0]] * r.randint(0, 1)))
+    texts += [f"{prose(7, 40)} copy {i} of many" for i in range(50)]
+
+    def shingles(text):
+        words = text.lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets = [shingles(t) for t in texts]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    groups = union_find(range(len(sets)), near)
+    kept = {r.doc_id for r in simhash.keep_one(documents(spark, texts)).collect()}
+    assert kept == {i for i, g in groups.items() if i == g}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 99), (5, 5)], "u long, v long")
     got = {r.node: r.component for r in graph.components(edges).collect()}
