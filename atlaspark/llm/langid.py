@@ -17,6 +17,8 @@ PAD = b"\n" * ORDER
 UNKNOWN = "und"
 #: Bytes coded at a time; the tables of costs for them are what a worker's memory grows by.
 BLOCK = 1 << 18
+#: Costs a model keeps ready (grams times languages); those of other grams are worked out from the trees when met.
+READY = 1 << 22
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -75,11 +77,27 @@ class Model:
     def __init__(self, rows: list[tuple[str, int, int]]):
         self.langs = sorted({r[0] for r in rows})
         place = {lang: i for i, lang in enumerate(self.langs)}
-        own = np.array([place[r[0]] for r in rows], np.int64)
-        codes, n = np.array([r[1] for r in rows], np.uint32), np.array([r[2] for r in rows], np.float64)
+        self._fill(np.array([place[r[0]] for r in rows], np.int64), np.array([r[1] for r in rows], np.uint32), np.array([r[2] for r in rows], np.float64))
+
+    @classmethod
+    def of(cls, counted: pa.Table) -> Model:
+        """A model of a table (lang, gram, n), without a Python object for each row."""
+        model, langs = cls([]), counted.column("lang").combine_chunks().dictionary_encode()
+        names = langs.dictionary.to_pylist()
+        model.langs = sorted(names)
+        place = np.array([model.langs.index(lang) for lang in names], np.int64)
+        codes, n = (counted.column(c).to_numpy() for c in ("gram", "n"))
+        if len(codes):
+            model._fill(place[langs.indices.to_numpy()], codes.astype(np.uint32), n.astype(np.float64))
+        return model
+
+    def _fill(self, own: np.ndarray, codes: np.ndarray, n: np.ndarray) -> None:
         self.trees = [[self._order(codes[own == i], n[own == i], k) for k in range(ORDER + 1)] for i in range(len(self.langs))]
-        self.known = np.unique(codes)
-        self.cost = self._cost(self.known)
+        known, home = np.unique(codes, return_inverse=True)
+        most = max(1, READY // max(1, len(self.langs)))
+        if len(known) > most:
+            known = np.sort(known[np.argsort(-np.bincount(home, n, len(known)), kind="stable")[:most]])
+        self.known, self.cost = known, self._cost(known)
 
     @staticmethod
     def _order(codes: np.ndarray, n: np.ndarray, k: int) -> tuple:
@@ -132,17 +150,16 @@ class Model:
         return total
 
 
-def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", most_grams: int = 2_000_000) -> Model:
+def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
     """A model of every text of the rows that have a language and a text.
 
-    Counts cover all rows. The model holds a row for each language and four
-    bytes in sequence, which depends on the alphabets and not on the number of
-    rows; should it pass most_grams, the most frequent ones are kept, so that
-    it fits in each worker.
+    Counts cover all rows and all are kept: a row for each language and four
+    bytes in sequence, which depends on the alphabets more than on the number of
+    rows. They go to the driver as Arrow columns; where they are more than it
+    may collect (spark.driver.maxResultSize), the job fails.
     """
     rows = count_grams(df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")))
-    kept = rows.orderBy(F.desc("n"), "lang", "gram").limit(most_grams)
-    return Model([tuple(r) for r in kept.collect()])
+    return Model.of(rows.toArrow())
 
 
 def identify(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:

@@ -279,6 +279,21 @@ def test_languages_are_told_apart(spark):
     assert langid.predict(df, langid.train(df.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_many_grams_leave_a_rare_language_whole(spark):
+    noise = np.random.default_rng(4).integers(33, 127, 2_300_000).astype(np.uint8).tobytes().decode()
+    rows = [(i, noise[i * 100_000 : (i + 1) * 100_000], "aa") for i in range(23)] + [(100, prose(3, 40), "zz")]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    own = langid.grams([prose(3, 40).encode()])[0]
+    assert model.langs == ["aa", "zz"] and np.array_equal(model.trees[1][3][0], np.unique(own))
+    assert len(model.trees[0][3][0]) > 2_000_000 and len(model.known) <= langid.READY // 2
+    texts = [prose(3, 40).encode(), noise[-5000:].encode()]
+    bits = model.bits(texts)
+    assert bits[0].argmin() == 1 and bits[1].argmin() == 0
+    codes, sizes = langid.grams(texts)
+    plain = model._cost(codes)
+    assert np.allclose(bits, [plain[: sizes[0]].sum(axis=0), plain[sizes[0] :].sum(axis=0)])
+
+
 # Near-duplicates
 
 
