@@ -145,6 +145,20 @@ def _onehot(form: np.ndarray) -> np.ndarray:
     return (form[:, None] >> np.arange(FEATURES) & 1).astype(float)
 
 
+def _parts(n: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The connected part of each of n tokens, and how many tokens each part has."""
+    label = np.arange(n)
+    while len(ends):
+        low, new = np.minimum(label[ends[:, 0]], label[ends[:, 1]]), label.copy()
+        for side in (ends[:, 0], ends[:, 1], label[ends[:, 0]], label[ends[:, 1]]):
+            np.minimum.at(new, side, low)
+        new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    return label, np.bincount(label, minlength=n)
+
+
 @dataclass
 class Field:
     """Log-potentials: of a form with a label, of two neighbours' labels, and of repetitions that agree."""
@@ -153,8 +167,12 @@ class Field:
     chain: np.ndarray
     skip: float
 
-    def marginals(self, g: Graph, rounds: int = 12, damping: float = 0.3) -> np.ndarray:
-        """Each token's label distribution by loopy message passing."""
+    def marginals(self, g: Graph, rounds: int | None = None, damping: float = 0.3) -> np.ndarray:
+        """Each token's label distribution by loopy message passing, until it settles.
+
+        A connected part of the graph may take as many rounds as evidence needs to
+        cross it several times; a part that has settled leaves the next rounds.
+        """
         own = _onehot(g.form) @ self.form
         fixed = g.known >= 0
         own[fixed] = -60.0
@@ -166,18 +184,21 @@ class Field:
         target = np.concatenate((ends[:, 1], ends[:, 0]))
         links = np.concatenate((forward, forward.transpose(0, 2, 1)))
         back = np.roll(np.arange(len(source)), len(ends))
+        part, size = _parts(len(own), ends)
+        most = (60 + 4 * size if rounds is None else np.full(len(size), rounds))[part[source]]
         message = np.zeros((len(source), LABELS))
-        for _ in range(rounds if len(source) else 0):
+        open_, done = np.arange(len(source)), 0
+        while len(open_ := open_[most[open_] > done]):
             belief = own.copy()
             np.add.at(belief, target, message)
-            sent = (belief[source] - message[back])[:, :, None] + links
+            sent = (belief[source[open_]] - message[back[open_]])[:, :, None] + links[open_]
             top = sent.max(axis=1, keepdims=True)
             new = np.log(np.exp(sent - top).sum(axis=1)) + top[:, 0]
             new -= new.max(axis=1, keepdims=True)
-            moved = np.abs(new - message).max()
-            message = damping * message + (1 - damping) * new
-            if moved < 1e-4:
-                break
+            moved = np.zeros(len(size))
+            np.maximum.at(moved, part[source[open_]], np.abs(new - message[open_]).max(axis=1))
+            message[open_] = damping * message[open_] + (1 - damping) * new
+            open_, done = open_[moved[part[source[open_]]] >= 1e-4], done + 1
         belief = own.copy()
         np.add.at(belief, target, message)
         belief = np.exp(belief - belief.max(axis=1, keepdims=True))
@@ -201,6 +222,10 @@ def _examples(texts: Iterator[str]) -> Counter:
     return seen
 
 
+#: Counted examples whose features are held at a time while fitting.
+EXAMPLES = 1 << 17
+
+
 def fit(examples: list[tuple], rounds: int = 400, rate: float = 0.1, ridge: float = 1.0, skip: float = 3.0) -> Field:
     """Potentials by pseudo-likelihood, with a ridge around 0 and, for repetitions, around `skip`."""
     field = Field(np.zeros((FEATURES, LABELS)), np.zeros((LABELS, LABELS)), skip)
@@ -209,17 +234,26 @@ def fit(examples: list[tuple], rounds: int = 400, rate: float = 0.1, ridge: floa
         return field
     y, form, left, right = (np.array([e[i] for e in examples], np.int64) for i in range(4))
     near, n = np.array([e[4] for e in examples], float), np.array([e[5] for e in examples], float)
-    x, truth = _onehot(form), np.eye(LABELS)[y]
-    has_left, has_right = (np.where(s[:, None] >= 0, np.eye(LABELS)[s], 0.0) for s in (left, right))
-    moments = [np.zeros_like(field.form), np.zeros_like(field.chain), 0.0]
     weight = n / n.sum()
+
+    def design(at: int) -> tuple:
+        own = slice(at, at + EXAMPLES)
+        sides = (np.where(s[own, None] >= 0, np.eye(LABELS)[s[own]], 0.0) for s in (left, right))
+        return _onehot(form[own]), np.eye(LABELS)[y[own]], *sides, near[own], weight[own, None]
+
+    starts = range(0, len(y), EXAMPLES)
+    ready = [design(0)] if len(starts) == 1 else None
+    moments = [np.zeros_like(field.form), np.zeros_like(field.chain), 0.0]
+    keep = ridge / n.sum()
     for _ in range(rounds):
-        logits = x @ field.form + has_left @ field.chain + has_right @ field.chain.T + field.skip * near
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        gap = (truth - p) * weight[:, None]
-        keep = ridge / n.sum()
-        steps = [x.T @ gap - keep * field.form, has_left.T @ gap + gap.T @ has_right - keep * field.chain, (gap * near).sum() - keep * (field.skip - skip)]
+        steps = [-keep * field.form, -keep * field.chain, -keep * (field.skip - skip)]
+        for x, truth, has_left, has_right, near_, share in ready or map(design, starts):
+            logits = x @ field.form + has_left @ field.chain + has_right @ field.chain.T + field.skip * near_
+            p = np.exp(logits - logits.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            gap = (truth - p) * share
+            for i, s in enumerate((x.T @ gap, has_left.T @ gap + gap.T @ has_right, (gap * near_).sum())):
+                steps[i] = steps[i] + s
         for i, s in enumerate(steps):
             moments[i] = 0.9 * moments[i] + s
         field.form += rate * 20 * moments[0]
@@ -228,11 +262,11 @@ def fit(examples: list[tuple], rounds: int = 400, rate: float = 0.1, ridge: floa
     return field
 
 
-def train(df: DataFrame, text_col: str = "text", most_forms: int = 20_000) -> Field:
+def train(df: DataFrame, text_col: str = "text") -> Field:
     """Potentials from the tokens of all texts, labelled by the base spans.
 
-    Tokens are counted by form and surroundings, of which there are few; should
-    there be more than most_forms, the commonest are taken.
+    Tokens are counted by form and surroundings, of which there are few; all
+    that occur go into the fit.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +279,7 @@ def train(df: DataFrame, text_col: str = "text", most_forms: int = 20_000) -> Fi
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["y", "form", "l", "r", "near", "n"])
 
     found = df.select(F.col(text_col).cast("string")).mapInArrow(run, "y int, form long, l int, r int, near array<int>, n long")
-    counted = found.groupBy("y", "form", "l", "r", "near").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "y", "form", "l", "r", "near").limit(most_forms)
+    counted = found.groupBy("y", "form", "l", "r", "near").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "y", "form", "l", "r", "near")
     return fit([(r.y, r.form, r.l, r.r, tuple(r.near), r.n) for r in counted.collect()])
 
 

@@ -168,6 +168,29 @@ def test_message_passing_is_exact_on_a_tree():
     assert np.allclose(got[0], table.sum(axis=(1, 2)), atol=1e-3) and np.allclose(got[1], table.sum(axis=(0, 2)), atol=1e-3)
 
 
+def test_evidence_travels_along_a_long_skip_chain():
+    n = 40
+    g = pii.Graph([(0, 1)] * n, np.array([1] * n), np.array([2] + [-1] * (n - 1)), np.empty((0, 2), np.int64), np.array([(i, i + 1) for i in range(n - 1)]))
+    field = pii.Field(np.zeros((pii.FEATURES, 5)), np.zeros((5, 5)), 5.0)
+    agree, exact = np.exp(5.0 * np.eye(5)), np.eye(5)[2]
+    for at, got in enumerate(field.marginals(g)):
+        assert np.allclose(got, exact / exact.sum(), atol=1e-3), at
+        exact = exact @ agree / (exact @ agree).sum()
+
+
+def test_rare_examples_are_fitted(spark, monkeypatch):
+    seen, fit = [], pii.fit
+    monkeypatch.setattr(pii, "_examples", lambda texts: pii.Counter({(0, 1 + 2 * (i % 5000), i // 5000 - 1, 0, (0,) * 5): 1 + (i < 20_000) for i in range(25_000)}) if list(texts) else pii.Counter())
+    monkeypatch.setattr(pii, "fit", lambda rows: seen.extend(rows))
+    pii.train(documents(spark, ["x 1"]).coalesce(1))
+    assert len(seen) == 25_000
+    few = [(i % 5, 1 + 2 * (i % 64), i % 6 - 1, i % 4 - 1, (i % 2, 0, 1, 0, 0), 1 + i % 7) for i in range(300)]
+    whole = fit(few, rounds=30)
+    monkeypatch.setattr(pii, "EXAMPLES", 64)
+    parts = fit(few, rounds=30)
+    assert np.allclose(whole.form, parts.form) and np.allclose(whole.chain, parts.chain) and np.isclose(whole.skip, parts.skip)
+
+
 def test_repeated_personal_data_is_found_and_redacted(spark):
     texts = [f"call +1 (36{i % 10}) 555-98{i:02d} or mail a{i}@b.example.com from 10.0.0.{i}" for i in range(60)]
     texts += ["Call +1 (366) 555-9807 now. Then (366) 555-9807 again.", None, "", "Version 2.0."]
