@@ -26,6 +26,8 @@ from .langid import fold
 WORD = re.compile(r"\w+(?:[*@$!#]+\w+)*")
 QUOTES = re.compile("[\"“”«»„‟]|(?<!\\w)['‘’]|['‘’](?!\\w)")
 STEM, WINDOW = 4, 6
+#: The score from which a document counts as toxic.
+TOXIC = 0.3
 PRIOR = [2.0, 2.0, 1.5, 0.3, 0.5, 0.5]
 FEATURES = ["exact", "stem", "fuzzy", "quoted", "kinds", "density"]
 
@@ -288,7 +290,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(run, "id long, score double")
 
 
-def keep_clean(df: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+def keep_clean(df: DataFrame, model: Model, least: float = TOXIC, text_col: str = "text") -> DataFrame:
     """The rows whose whole text scores below `least`, with all their columns."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_col)
@@ -303,7 +305,7 @@ def keep_clean(df: DataFrame, model: Model, least: float = 0.5, text_col: str =
 def op10_levenshtein(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2))
-    return score(docs, model).select(F.col("id").alias("doc_id"), (fold("id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return score(docs, model).select(F.col("id").alias("doc_id"), (fold("id", 4) == 2).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
 QUERIES = {"op10_levenshtein": op10_levenshtein}

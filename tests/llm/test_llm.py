@@ -461,6 +461,13 @@ def test_misspelled_and_quoted_terms(spark):
     assert 0 < toxicity.train(df, labels.limit(0)).score("x") < 1
 
 
+def test_a_document_predicted_toxic_does_not_stay(spark):
+    lexicon = toxicity.Lexicon({"scumbag"}, set(), set())
+    for chance, stays in ((0.2, True), (0.4, False), (0.6, False)):
+        model = toxicity.Model(lexicon, np.array([np.log(chance / (1 - chance))] + [0.0] * len(toxicity.FEATURES)))
+        assert (toxicity.keep_clean(documents(spark, ["a b"]), model).count() == 1) == stays
+
+
 # The whole pipeline
 
 
