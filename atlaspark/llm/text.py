@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import re
 from collections.abc import Callable, Iterator
 
@@ -14,52 +16,100 @@ CHUNKS = re.compile(
 )
 
 
-class BoundedCache:
-    """Results by chunk. Once `most` are kept, the ones not asked for since are let go."""
+#: A plain word, with or without the space before it: a chunk, and one match of the pre-token patterns.
+PLAIN = re.compile("[ ]?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
 
-    def __init__(self, learn: Callable[[list[str]], list], most: int = 300_000, longest: int = 64):
-        self.learn, self.most, self.longest = learn, most, longest
-        self.young: dict = {}
-        self.old: dict = {}
 
-    def look_up(self, chunks: set[str]) -> dict:
-        """A mapping that holds at least the given chunks."""
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
-        missing = chunks.difference(self.young)
-        found = {c: self.old[c] for c in missing if c in self.old}
-        new = list(missing.difference(found))
-        found.update(zip(new, self.learn(new), strict=True))
-        rare = {c: v for c, v in found.items() if len(c) > self.longest}
-        self.young.update((c, v) for c, v in found.items() if len(c) <= self.longest)
-        return self.young | rare if rare else self.young
+@contextlib.contextmanager
+def collector_paused() -> Iterator[None]:
+    """Without Python's cycle collector, which would walk large tables without cycles again and again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
 
 
 class ChunkBytes:
-    """Bytes for each piece of text, kept for pieces (a space and what follows it) and for the smaller chunks in them.
+    """Bytes for texts, put together from those of pieces (a space and what follows it), of which about most_bytes are kept.
 
-    A piece that is only a space or ends in white space may share a token with
-    the next one; texts with such pieces are put together from chunks.
+    A piece is a chunk or is put together from chunks. A piece that is only a
+    space or ends in white space may share a token with the next one; texts with
+    such pieces are cut into chunks as a whole.
+
+    Kept by: what follows the space; a text's first piece, and a chunk without a
+    space before it, after a NUL; a chunk that is no piece (white space, or with
+    a NUL in it) as a tuple.
     """
 
-    def __init__(self, learn: Callable[[list[str]], list[bytes]], most: int = 500_000):
-        # Only pieces that are not kept are cut into chunks.
-        self.chunks = BoundedCache(learn, most // 2)
-        self.pieces = BoundedCache(self._join, most)
+    #: Bytes of an entry besides its characters and its result: two objects and a place in the table.
+    ENTRY = 200
+
+    def __init__(self, learn: Callable[[list[str]], list[bytes]], most_bytes: int = 192 << 20, longest: int = 64):
+        self.learn, self.most, self.longest = learn, most_bytes // 2, longest
+        self.young: dict = {}
+        self.old: dict = {}
+        self.held = 0
+        self.passing: list = []
+
+    def _parts(self, key: str | tuple) -> list | str | None:
+        """The chunk that a key stands for, the keys of its chunks, or None for a piece that has to be seen with the next."""
+        if isinstance(key, tuple):
+            return key[0]
+        piece = key[1:] if key[:1] == "\0" else " " + key
+        if PLAIN(piece) or not piece:
+            return piece
+        if piece == " " or piece[-1].isspace():
+            return None
+        chunks = CHUNKS.findall(piece)
+        return piece if len(chunks) == 1 else [c[1:] if c[0] == " " and len(c) > 1 else "\0" + c for c in chunks]
 
-    def _join(self, pieces: list[str]) -> list[bytes | None]:
-        parts = [None if p == " " or p[-1:].isspace() else CHUNKS.findall(p) for p in pieces]
-        known = self.chunks.look_up({c for cs in parts if cs for c in cs})
-        return [None if cs is None else b"".join([known[c] for c in cs]) for cs in parts]
+    @collector_paused()
+    def look_up(self, keys: set) -> dict:
+        """A mapping that holds at least the given keys, until the next call. What is not asked for goes first."""
+        for k in self.passing:
+            del self.young[k]
+        if self.held > self.most:
+            self.old, self.young, self.held = self.young, {}, 0
+        young, old = self.young, self.old
+        found, atoms, joint = {}, {}, {}
+        for k in keys.difference(young):
+            if k in old:
+                found[k] = old[k]
+            elif isinstance(parts := self._parts(k), list):
+                joint[k] = parts
+            elif parts is None:
+                found[k] = None
+            else:
+                atoms[k] = parts
+        for parts in joint.values():
+            for k in parts:
+                if k not in young and k not in found and k not in atoms:
+                    if k in old:
+                        found[k] = old[k]
+                    else:
+                        atoms[k] = k[1:] if k[:1] == "\0" else " " + k
+        found.update(zip(atoms, self.learn(list(atoms.values())), strict=True))
+        for k, parts in joint.items():
+            found[k] = b"".join([found[p] if p in found else young[p] for p in parts])
+        self.passing = [k for k in found if len(k[0] if isinstance(k, tuple) else k) > self.longest]
+        self.held += sum([self.ENTRY + len(k) + len(v or b"") for k, v in found.items()])
+        young.update(found)
+        return young
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The bytes of each text."""
-        cuts = [[] if not t else [" "] if "\0" in t else t.replace(" ", "\0 ").split("\0") for t in texts]
-        known = self.pieces.look_up(set().union(*cuts))
-        for t, pieces in zip(texts, cuts, strict=True):
-            try:
-                yield b"".join([known[p] for p in pieces])
-            except TypeError:
-                chunks = CHUNKS.findall(t)
-                own = self.chunks.look_up(set(chunks))
-                yield b"".join([own[c] for c in chunks])
+        cuts = []
+        for t in texts:
+            pieces = t.split(" ") if t and "\0" not in t else []
+            if pieces:
+                pieces[0] = "\0" + pieces[0]
+            cuts.append(pieces)
+        known = self.look_up(set().union(*cuts))
+        parts = [[known[p] for p in pieces] for pieces in cuts]
+        whole = {i: [(c,) for c in CHUNKS.findall(t)] for i, t in enumerate(texts) if t and (not parts[i] or None in parts[i])}
+        known = self.look_up(set().union(*whole.values())) if whole else known
+        for i, part in enumerate(parts):
+            yield b"".join([known[c] for c in whole[i]] if i in whole else part)
