@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["spatial", "relational", "reconstruction", "frames"]
+MODULES = ["spatial", "relational", "reconstruction", "frames", "epochs"]
 
 
 def _gather(name: str) -> dict:

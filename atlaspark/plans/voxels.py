@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import clamp, distance, is_finite, pack_key, voxel_index
+from ..functions.geometry import clamp, distance, is_finite, pack_key, unpack_key, voxel_index, yaw_bit
+from .storage import materialize
 
 
 @dataclass(frozen=True)
@@ -30,6 +31,9 @@ class MapSettings:
     demote_gap: int = 3
     demote_step: float = 0.5
     samples_per_voxel: float = 1.0
+    accumulate_step: float | None = None
+    promoted_above: float = 0.0
+    decay: float = 1.0
 
 
 def endpoints(points: DataFrame, params: MapSettings, by: list[str]) -> DataFrame:
@@ -103,3 +107,89 @@ def demote(state: DataFrame, epoch: int, params: MapSettings, floor: float = 0.0
     any_due = state.agg(F.coalesce(F.bool_or(due), F.lit(False)).alias("_any"))
     lowered = F.when(due, F.col("lt") - params.demote_step).otherwise(F.col("lt"))
     return state.crossJoin(F.broadcast(any_due)).withColumn("lt", F.when(F.col("_any"), clamp(lowered, max(params.low, floor), params.high)).otherwise(lowered)).withColumn("demoted", F.coalesce(due, F.lit(False))).drop("_any")
+
+
+#: A voxel's state between epochs. st, lt: short- and long-term log-odds; epochs, mask: epochs and directions it was seen in.
+STATE = "key long, st double, lt double, hits int, pos int, neg int, last_occ int, last_free int, epochs int, mask int, promoted boolean"
+
+
+def capped_rays(points: DataFrame, by: list[str], order: Column, most: int) -> DataFrame:
+    """At most `most` rays of each call for carving, the first by `order`; a window with a limit, which Spark also applies before the exchange."""
+    return points.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(order))).where(F.col("_r") <= most).drop("_r")
+
+
+def observations(points: DataFrame, cameras: DataFrame, params: MapSettings, most_range: float, z_band: tuple[float, float], by: list[str], carving: DataFrame | None = None) -> DataFrame:
+    """(by.., key, kind, bits) of one multi-camera call for each value of `by`: voxels that points end in (0) or rays pass (1).
+
+    Points (frame_id, x, y, z) meet their camera (frame_id, cx, cy, cz); those
+    out of range or of the height band go. bits: the directions from which an
+    endpoint was seen. A voxel that a point of the call ends in is never free.
+    Where rays are to be capped, `carving` is the points whose rays carve.
+    """
+
+    def seen(rows: DataFrame) -> DataFrame:
+        far = distance([F.col(f"c{a}") for a in "xyz"], [F.col(a) for a in "xyz"])
+        return rows.join(cameras, "frame_id").where(is_finite("x", "y", "z") & F.col("z").between(*z_band) & (far <= most_range))
+
+    ends = seen(points)
+    index = [voxel_index(F.col(c), o, params.size) for c, o in zip("xyz", params.origin, strict=True)]
+    bit = yaw_bit(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"))
+    occupied = ends.groupBy(*by, pack_key(*index).alias("key")).agg(F.bit_or(bit).alias("bits"))
+    free = ray_cells(seen(carving) if carving is not None else ends, params, by).join(occupied, [*by, "key"], "left_anti")
+    return occupied.select(*by, "key", F.lit(0).alias("kind"), "bits").union(free.select(*by, "key", F.lit(1), F.lit(0)))
+
+
+def integrate(state: DataFrame, seen: DataFrame, epoch: int, params: MapSettings) -> DataFrame:
+    """State after one call of an epoch: seen (key, kind, bits) with a key at most once. New keys start at zero."""
+    new = {"st": 0.0, "lt": 0.0, "hits": 0, "pos": 0, "neg": 0, "last_occ": None, "last_free": None, "epochs": 0, "mask": 0, "promoted": False}
+    both = state.join(seen.select("key", "kind", "bits"), "key", "full")
+    old = {c: F.coalesce(F.col(c), F.lit(v)) if v is not None else F.col(c) for c, v in new.items()}
+    occ, free, e = F.col("kind") == 0, F.col("kind") == 1, F.lit(epoch)
+    neg = old["neg"] + 1
+    gap = F.when(old["last_occ"].isNull(), e == 0).otherwise(e - old["last_occ"] > params.carve_gap)
+    step = lambda v, d: clamp(v + F.lit(d), params.low, params.high)
+    return both.select(
+        "key",
+        F.when(occ, step(old["st"], params.occ_step)).when(free, step(old["st"], params.free_step)).otherwise(old["st"]).alias("st"),
+        F.when(free & (neg >= params.free_to_lt_after) & gap, step(old["lt"], params.lt_free_scale * params.free_step)).otherwise(old["lt"]).alias("lt"),
+        (old["hits"] + F.when(occ, 1).otherwise(0)).alias("hits"),
+        F.when(occ, old["pos"] + 1).when(free, 0).otherwise(old["pos"]).alias("pos"),
+        F.when(occ, 0).when(free, neg).otherwise(old["neg"]).alias("neg"),
+        F.when(occ, e).otherwise(old["last_occ"]).alias("last_occ"),
+        F.when(free, e).otherwise(old["last_free"]).alias("last_free"),
+        (old["epochs"] + F.when(occ, 1).otherwise(0)).alias("epochs"),
+        F.when(occ, old["mask"].bitwiseOR(F.col("bits"))).otherwise(old["mask"]).alias("mask"),
+        old["promoted"].alias("promoted"),
+    )
+
+
+def finalise(state: DataFrame, epoch: int, params: MapSettings, floor: float = 0.0) -> DataFrame:
+    """State after an epoch ends: promotion of voxels seen in it, demotion, decay of the short-term value.
+
+    Promotion raises the long-term value to promote_value, or by
+    accumulate_step where that is set. Demotion takes a step off voxels free for
+    long and then clamps the whole map (one row says whether any was demoted).
+    """
+    views = F.bit_count(F.col("mask").bitwiseAND(255))
+    rises = (F.col("last_occ") == epoch) & (F.col("epochs") >= params.promote_after) & (views >= params.promote_views)
+    raised = F.greatest(F.col("lt"), F.lit(params.promote_value)) if params.accumulate_step is None else F.col("lt") + params.accumulate_step
+    up = state.withColumn("promoted", F.col("promoted") | F.coalesce(rises, F.lit(False))).withColumn("lt", F.when(rises, clamp(raised, params.low, params.high)).otherwise(F.col("lt")))
+    down = demote(up, epoch, params, floor).withColumn("promoted", F.col("promoted") & (F.col("lt") > params.promoted_above)).drop("demoted")
+    return down.withColumn("st", clamp(F.col("st") * params.decay, params.low, params.high)) if params.decay < 0.9999 else down
+
+
+def run_epochs(seen: DataFrame, epochs: list[int], params: MapSettings) -> DataFrame:
+    """The map after epochs of observations (epoch, key, kind, bits): each is integrated and finalised; the state is written down after each."""
+    state = seen.sparkSession.createDataFrame([], STATE)
+    for epoch in epochs:
+        state = materialize(finalise(integrate(state, seen.where(F.col("epoch") == epoch), epoch, params), epoch, params))
+    return state
+
+
+def exported(state: DataFrame, occupied_above: float, free_below: float, z_band: tuple[int, int]) -> DataFrame:
+    """(key, i, j, k, value, kind): voxels within a height band, by the larger of both values: occupied, else free by the short-term one."""
+    i, j, k = unpack_key(F.col("key"))
+    value = F.greatest("st", "lt")
+    kind = F.when(value >= occupied_above, "occupied").when(F.col("st") <= free_below, "free")
+    rows = state.select("key", i.alias("i"), j.alias("j"), k.alias("k"), value.alias("value"), kind.alias("kind"))
+    return rows.where(F.col("kind").isNotNull() & F.col("k").between(*z_band))
