@@ -55,3 +55,24 @@ def set_iou(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     left, right = a.select(*key).distinct().withColumn("_a", F.lit(1)), b.select(*key).distinct().withColumn("_b", F.lit(1))
     n = left.join(right, key, "full").agg(F.sum(F.coalesce("_a", F.lit(0)) * F.coalesce("_b", F.lit(0))).alias("both"), F.sum(F.coalesce("_a", F.lit(0))).alias("n_a"), F.sum(F.coalesce("_b", F.lit(0))).alias("n_b"))
     return n.withColumn("iou", F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both")))
+
+
+def best_f1(df: DataFrame, score: Column, truth: Column, thresholds: list[float], by: list[str], eps: float = 1e-9) -> DataFrame:
+    """(by.., best_f1, threshold): the best F1 of `score >= t` over thresholds, ties to the smaller threshold."""
+    t = df.select(*by, score.alias("s"), truth.alias("y"), F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
+    hit, n = F.col("s") >= F.col("threshold"), lambda c: F.sum(c.cast("long"))
+    counted = t.groupBy(*by, "threshold").agg(n(hit & F.col("y")).alias("tp"), n(hit & ~F.col("y")).alias("fp"), n(~hit & F.col("y")).alias("fn"))
+    tp = F.col("tp")
+    p, r = tp / (tp + F.col("fp") + eps), tp / (tp + F.col("fn") + eps)
+    best = F.min(F.struct((-F.round(2 * p * r / (p + r + eps), 9)).alias("cost"), "threshold")).alias("b")
+    return counted.groupBy(*by).agg(best).select(*by, (-F.col("b.cost")).alias("best_f1"), "b.threshold")
+
+
+def brier(df: DataFrame, p: Column, truth: Column, by: list[str]) -> DataFrame:
+    """Mean squared error of probabilities of a boolean truth."""
+    return df.groupBy(*by).agg(F.avg((p - truth.cast("double")) * (p - truth.cast("double"))).alias("brier"))
+
+
+def macro(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """One row: the mean over groups of their means, NaN without groups, and how many there are."""
+    return df.groupBy(*by).agg(F.avg(value).alias("_v")).agg(F.coalesce(F.avg("_v"), F.lit(float("nan"))).alias("macro"), F.count("*").alias("scenes"))
