@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import distance, is_finite
+from .ordered import quantiles_by
 
 
 def percentile_filter(df: DataFrame, q: float, conf: str = "conf", coords: tuple[str, ...] = ("x", "y", "z"), floor: float = 1e-5) -> DataFrame:
     """Rows with finite values whose confidence reaches the q-th quantile of all finite ones and exceeds `floor`."""
     valid = df.where(is_finite(conf, *coords))
-    cut = valid.agg(F.percentile(conf, F.lit(q)).alias("_cut"))
+    cut = quantiles_by(valid, [], conf, [q]).withColumnRenamed("q0", "_cut")
     return valid.crossJoin(F.broadcast(cut)).where((F.col(conf) >= F.col("_cut")) & (F.col(conf) > floor)).drop("_cut")
 
 
@@ -40,9 +41,11 @@ def sequence_gap(src: Column, dst: Column, n: Column | int | None = None) -> Col
 
 def denoise(df: DataFrame, q: float = 0.99, coords: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """Points nearer to the median point than the q-th quantile of such distances."""
-    middle = df.agg(*[F.percentile(c, F.lit(0.5)).alias(f"_{c}") for c in coords])
-    far = df.crossJoin(F.broadcast(middle)).withColumn("_d", distance([F.col(c) for c in coords], [F.col(f"_{c}") for c in coords]))
-    cut = far.agg(F.percentile("_d", F.lit(q)).alias("_cut"))
+    far = df
+    for c in coords:
+        far = far.crossJoin(F.broadcast(quantiles_by(df, [], c, [0.5]).withColumnRenamed("q0", f"_{c}")))
+    far = far.withColumn("_d", distance([F.col(c) for c in coords], [F.col(f"_{c}") for c in coords]))
+    cut = quantiles_by(far, [], "_d", [q]).withColumnRenamed("q0", "_cut")
     return far.crossJoin(F.broadcast(cut)).where("_d < _cut").drop("_d", "_cut", *[f"_{c}" for c in coords])
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import carried, numbered, ranged
+
 
 def selected_index(choice: Column) -> Column:
     """The number before the colon of "3: name"; null for anything else."""
@@ -28,7 +30,7 @@ def repeat(df: DataFrame, k: int, index: str = "copy") -> DataFrame:
 def resize(df: DataFrame, order: list[Column], n: int, seed: int, id_col: str) -> DataFrame:
     """n rows in a seeded order, the rows taken round and round where there are fewer."""
     mixed = F.pmod(F.col(id_col).cast("long") * 2654435761 + seed, F.lit(4294967296))
-    ranked = df.withColumn("_r", F.row_number().over(Window.orderBy(mixed, *order)) - 1)
+    ranked = numbered(df, [mixed, *order], "_r")
     total = ranked.agg(F.count("*").alias("_n"))
     times = F.floor((F.lit(n) - F.col("_r") + F.col("_n") - 1) / F.col("_n")).cast("int")
     spread = ranked.crossJoin(F.broadcast(total)).withColumn("_t", times).where("_t > 0").withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_t") - 1)))
@@ -51,9 +53,13 @@ def interpolate(queries: DataFrame, samples: DataFrame, at: str, value: str, id_
     """Values at times between samples, on the straight line between the ones before and after; none outside."""
     both = queries.select(F.col(id_col).alias("_id"), F.col(at).alias("_t"), F.lit(None).cast("double").alias("_v")).unionByName(samples.select(F.lit(None).cast(queries.schema[id_col].dataType).alias("_id"), F.col(at).alias("_t"), F.col(value).cast("double").alias("_v")))
     is_sample = F.when(F.col("_v").isNotNull(), F.struct("_t", "_v"))
-    before = Window.orderBy("_t", F.col("_v").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.orderBy("_t", F.col("_v").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
-    out = both.withColumn("_a", F.last(is_sample, True).over(before)).withColumn("_b", F.first(is_sample, True).over(after)).where("_id IS NOT NULL")
+    rows = ranged(both, [F.col("_t")])
+    # The range before and the one after, by one row for each range.
+    parts = rows.groupBy("_part").agg(F.max(is_sample).alias("_last"), F.min(is_sample).alias("_first"))
+    edges = parts.select("_part", carried(parts, F.col("_last")).alias("_left"), carried(parts, F.col("_first"), back=True).alias("_right"))
+    before = Window.partitionBy("_part").orderBy("_t", F.col("_v").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("_part").orderBy("_t", F.col("_v").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
+    out = rows.join(F.broadcast(edges), "_part").withColumn("_a", F.coalesce(F.last(is_sample, True).over(before), "_left")).withColumn("_b", F.coalesce(F.first(is_sample, True).over(after), "_right")).where("_id IS NOT NULL")
     span = F.col("_b._t") - F.col("_a._t")
     line = F.when(span == 0, F.col("_a._v")).otherwise(F.col("_a._v") + (F.col("_b._v") - F.col("_a._v")) * (F.col("_t") - F.col("_a._t")) / span)
     return out.select(F.col("_id").alias(id_col), F.col("_t").alias(at), line.alias(value))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import materialize
@@ -119,3 +119,12 @@ def shortest_costs(edges: DataFrame, source: int, cost: str = "cost", most_round
             return new
         best = new
     raise RuntimeError("paths did not settle")
+
+
+def incident(edges: DataFrame) -> DataFrame:
+    """(node, other, score, tree, place): each frame's pairs, those of the maximum spanning tree apart from the others, best first."""
+    tree = spanning_tree(edges).select("src", "dst", F.lit(True).alias("tree"))
+    marked = edges.join(tree, ["src", "dst"], "left").select("src", "dst", "score", F.coalesce("tree", F.lit(False)).alias("tree"))
+    sides = both_ways(marked).withColumnsRenamed({"src": "node", "dst": "other"})
+    place = F.row_number().over(Window.partitionBy("node", "tree").orderBy(F.desc("score"), "other")) - 1
+    return sides.withColumn("place", place)

@@ -7,6 +7,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import is_finite
 from ..plans.storage import materialize
 
 
@@ -75,25 +76,29 @@ def radius_join(left: DataFrame, right: DataFrame, left_coords: list[str], right
     return pairs.withColumn("d2", d2).where(F.col("d2") <= radius * radius).drop(*keys)
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_coords: list[str], right_coords: list[str], size: float, most_rings: int = 12) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_coords: list[str], right_coords: list[str], size: float) -> DataFrame:
     """(left id, right id, d2): the nearest row of right for each row of left, ties to the smaller right id.
 
     Looks in the cells around each point, with cells twice as wide in each
     round, until the best found is nearer than anything outside can be; only
-    rows not settled go into the next round. Rows beyond the last round have no
-    neighbour within size * 2 ** most_rings and are left out.
+    rows not settled go into the next round, and they are repeated for the
+    cells around them, so that a round costs as much as it has open rows.
+    Rounds go on until all are settled. Rows with a coordinate that is no finite
+    number take no part; without any right row there is no result.
     """
-    open_, found = materialize(left.select(left_id, *left_coords)), None
-    right = materialize(right.select(right_id, *right_coords))
-    for ring in range(most_rings):
-        radius = size * (1 << ring)
-        pairs = radius_join(open_, right, left_coords, right_coords, radius)
+    finite = lambda coords: is_finite(*coords)
+    open_, found = materialize(left.where(finite(left_coords)).select(left_id, *left_coords)), None
+    right = materialize(right.where(finite(right_coords)).select(right_id, *right_coords))
+    keys, radius, some = [f"_c{a}" for a in range(len(left_coords))], size, not right.isEmpty()
+    d2 = sum(((F.col(a) - F.col(b)) * (F.col(a) - F.col(b)) for a, b in zip(left_coords, right_coords, strict=True)), F.lit(0.0))
+    while True:
+        pairs = _near_cells(open_, left_coords, radius, 1).join(_own_cell(right, right_coords, radius), keys).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
         best = materialize(pairs.groupBy(left_id).agg(F.min(F.struct("d2", right_id)).alias("b")).select(left_id, F.col(f"b.{right_id}").alias(right_id), F.col("b.d2").alias("d2")))
         found = best if found is None else found.unionByName(best)
         open_ = materialize(open_.join(best, left_id, "left_anti"))
-        if open_.isEmpty():
-            break
-    return found
+        if not some or open_.isEmpty():
+            return found
+        radius *= 2
 
 
 def reciprocal(forth: DataFrame, back: DataFrame, p: str, q: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import quantiles_by
+
 
 def cloud_scores(forth: DataFrame, back: DataFrame, tau: float, eps: float = 1e-9) -> DataFrame:
     """Chamfer distance and F-score from squared nearest distances both ways (column d2)."""
@@ -33,10 +35,10 @@ def pose_accuracy(df: DataFrame, by: list[str], limits: list[tuple[float, float]
 
 def robust_scores(df: DataFrame, value: str, by: list[str], scale: float = 1.4826) -> DataFrame:
     """(value - median) / (scale * (MAD + 1e-8)) within groups, as column z."""
-    middle = df.groupBy(*by).agg(F.percentile(value, F.lit(0.5)).alias("_m"))
-    off = df.join(F.broadcast(middle), by).withColumn("_d", F.abs(F.col(value) - F.col("_m")))
-    mad = off.groupBy(*by).agg(F.percentile("_d", F.lit(0.5)).alias("_mad"))
-    return off.join(F.broadcast(mad), by).withColumn("z", (F.col(value) - F.col("_m")) / (scale * (F.col("_mad") + 1e-8))).drop("_m", "_d", "_mad")
+    middle = quantiles_by(df, by, value, [0.5]).withColumnRenamed("q0", "_m")
+    off = df.join(middle, by).withColumn("_d", F.abs(F.col(value) - F.col("_m")))
+    mad = quantiles_by(off, by, "_d", [0.5]).withColumnRenamed("q0", "_mad")
+    return off.join(mad, by).withColumn("z", (F.col(value) - F.col("_m")) / (scale * (F.col("_mad") + 1e-8))).drop("_m", "_d", "_mad")
 
 
 def median_scale(df: DataFrame, by: list[str], ratio: Column, valid: Column, least: int = 100, low: float = 0.25, high: float = 4.0) -> DataFrame:
@@ -47,7 +49,9 @@ def median_scale(df: DataFrame, by: list[str], ratio: Column, valid: Column, lea
 
 
 def quantiles(df: DataFrame, value: str, qs: list[float], tau: float) -> DataFrame:
-    return df.agg(*[F.percentile(value, F.lit(q)).alias(f"q{round(q * 100)}") for q in qs], F.avg(value).alias("mean"), F.avg((F.col(value) <= tau).cast("double")).alias("within"))
+    """One row: quantiles (q5 for 0.05), mean, and the share of values up to tau."""
+    found = quantiles_by(df, [], value, qs).toDF(*[f"q{round(q * 100)}" for q in qs])
+    return found.crossJoin(F.broadcast(df.agg(F.avg(value).alias("mean"), F.avg((F.col(value) <= tau).cast("double")).alias("within"))))
 
 
 def set_iou(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:

@@ -77,12 +77,12 @@ def pixel_scatter(spark, d):
     return frames.last_written(e, ["v", "u"], "value", ["event_id"])
 
 
-@query("""WITH s AS (SELECT DISTINCT o_orderkey * 10 AS t, o_totalprice AS value FROM orders WHERE o_orderkey % 50 = 0), q AS (SELECT event_id, event_id * 7 AS t FROM events),
-x AS (SELECT q.*, (SELECT max(t) FROM s WHERE s.t <= q.t) AS a, (SELECT min(t) FROM s WHERE s.t >= q.t) AS b FROM q)
+@query("""WITH s AS (SELECT DISTINCT o_orderkey * 10 AS t, o_totalprice AS value FROM orders), q AS (SELECT event_id, event_id * 7 AS t FROM events),
+y AS (SELECT q.*, s.t AS a FROM q ASOF LEFT JOIN s ON q.t >= s.t), x AS (SELECT y.*, s.t AS b FROM y ASOF LEFT JOIN s ON y.t <= s.t)
 SELECT event_id, x.t, round(CASE WHEN a = b THEN sa.value ELSE sa.value + (sb.value - sa.value) * (x.t - a) / (b - a) END, 4) AS value FROM x LEFT JOIN s sa ON sa.t = x.a LEFT JOIN s sb ON sb.t = x.b""")
 def interpolated(spark, d):
     """Values between samples, on straight lines."""
-    s = T.read(spark, d, "orders").where("o_orderkey % 50 = 0").select((F.col("o_orderkey") * 10).alias("t"), F.col("o_totalprice").alias("value")).distinct()
+    s = T.read(spark, d, "orders").select((F.col("o_orderkey") * 10).alias("t"), F.col("o_totalprice").alias("value")).distinct()
     q = T.read(spark, d, "events").select("event_id", (F.col("event_id") * 7).alias("t"))
     return frames.interpolate(q, s, "t", "value", "event_id").select("event_id", "t", F.round("value", 4).alias("value"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import filters, graph, joins, metrics, windows
+from ..operators import filters, graph, joins, metrics, ordered, windows
 from ..sources import tables as T
 from .spatial import r6
 
@@ -205,10 +205,9 @@ def batch_sampler(spark, d):
 @query("""SELECT p_partkey, row_number() OVER (ORDER BY lpad(regexp_extract(p_name, '([0-9]+)', 1), 12, '0'), p_partkey) AS place FROM (SELECT p_partkey, 'Frame' || p_partkey % 1000 AS p_name FROM part)""")
 def natural_sort(spark, d):
     """Names in natural order: frame2 before frame10."""
-    from pyspark.sql import Window
-
     names = T.read(spark, d, "part").select("p_partkey", F.concat(F.lit("Frame"), F.col("p_partkey") % 1000).alias("name"))
-    return names.select("p_partkey", F.row_number().over(Window.orderBy(G.natural_key(F.col("name")), "p_partkey")).cast("long").alias("place"))
+    placed = ordered.numbered(names, [G.natural_key(F.col("name")), F.col("p_partkey")])
+    return placed.select("p_partkey", (F.col("place") + 1).cast("long").alias("place"))
 
 
 @query(f"""WITH {T.V_EDGES}, b AS (SELECT src, dst, score FROM v_edges UNION ALL SELECT dst, src, score FROM v_edges) SELECT src, arg_min(dst, (-score, dst)) AS best, round(max(score), 9) AS score FROM b GROUP BY src""")
@@ -261,27 +260,32 @@ def distance_quantiles(spark, d):
     return q.select(*[r6(F.col(c)).alias(c) for c in q.columns])
 
 
-SMALL = "SELECT o_orderkey AS {n}, o_totalprice / 50000.0::DOUBLE AS {n}x, o_custkey % 100 / 10.0::DOUBLE AS {n}y FROM orders WHERE o_orderkey % 10 = {r}"
+CLOUD = "SELECT o_orderkey AS {n}, o_totalprice / 50000.0::DOUBLE AS {n}x, o_custkey % 100 / 10.0::DOUBLE AS {n}y FROM orders WHERE o_orderkey % 2 = {r}"
 
 
-def _small(spark, d, name, rest):
-    o = T.read(spark, d, "orders").where(F.col("o_orderkey") % 10 == rest)
+def _cloud(spark, d, name, rest):
+    """One of two clouds that all orders make: those with odd and those with even keys."""
+    o = T.read(spark, d, "orders").where(F.col("o_orderkey") % 2 == rest)
     return o.select(F.col("o_orderkey").alias(name), (F.col("o_totalprice") / 50000.0).alias(f"{name}x"), (F.col("o_custkey") % 100 / 10.0).alias(f"{name}y"))
 
 
-NN = f"""p AS ({SMALL.format(n='p', r=1)}), q AS ({SMALL.format(n='q', r=2)}), d AS (SELECT p, q, (px - qx) * (px - qx) + (py - qy) * (py - qy) AS d2 FROM p, q),
+NN = f"""p AS ({CLOUD.format(n='p', r=1)}), q AS ({CLOUD.format(n='q', r=0)}), d AS (SELECT p, q, (px - qx) * (px - qx) + (py - qy) * (py - qy) AS d2 FROM p, q),
 pq AS (SELECT p, arg_min(q, (d2, q)) AS q, min(d2) AS d2 FROM d GROUP BY p), qp AS (SELECT q, arg_min(p, (d2, p)) AS p, min(d2) AS d2 FROM d GROUP BY q)"""
 
 
+def _forth(spark, d):
+    return joins.nearest(_cloud(spark, d, "p", 1), _cloud(spark, d, "q", 0), "p", "q", ["px", "py"], ["qx", "qy"], 0.05)
+
+
 def _nn(spark, d):
-    p, q = _small(spark, d, "p", 1), _small(spark, d, "q", 2)
-    return joins.nearest(p, q, "p", "q", ["px", "py"], ["qx", "qy"], 0.2), joins.nearest(q, p, "q", "p", ["qx", "qy"], ["px", "py"], 0.2)
+    back = joins.nearest(_cloud(spark, d, "q", 0), _cloud(spark, d, "p", 1), "q", "p", ["qx", "qy"], ["px", "py"], 0.05)
+    return _forth(spark, d), back
 
 
 @query(f"WITH {NN} SELECT p, q, round(d2, 9) AS d2 FROM pq")
 def nearest_join(spark, d):
     """Nearest point of another cloud."""
-    return _nn(spark, d)[0].select("p", "q", F.round("d2", 9).alias("d2"))
+    return _forth(spark, d).select("p", "q", F.round("d2", 9).alias("d2"))
 
 
 @query(f"WITH {NN} SELECT pq.p, pq.q, round(pq.d2, 9) AS d2 FROM pq JOIN qp ON pq.p = qp.p AND pq.q = qp.q")
@@ -293,13 +297,13 @@ def mutual_nearest(spark, d):
 @query(f"WITH {NN} SELECT q, max(p) AS p FROM pq GROUP BY q")
 def pseudo_mutual(spark, d):
     """For each target the last point that maps to it."""
-    return joins.last_of_each(_nn(spark, d)[0], "p", "q")
+    return joins.last_of_each(_forth(spark, d), "p", "q")
 
 
-@query(f"WITH {NN} SELECT p, q, round(d2, 9) AS d2 FROM d WHERE d2 <= 0.04")
+@query(f"WITH {NN} SELECT p, q, round(d2, 9) AS d2 FROM d WHERE d2 <= 0.0025::DOUBLE")
 def radius_join(spark, d):
     """Pairs of points within a radius."""
-    j = joins.radius_join(_small(spark, d, "p", 1), _small(spark, d, "q", 2), ["px", "py"], ["qx", "qy"], 0.2)
+    j = joins.radius_join(_cloud(spark, d, "p", 1), _cloud(spark, d, "q", 0), ["px", "py"], ["qx", "qy"], 0.05)
     return j.select("p", "q", F.round("d2", 9).alias("d2"))
 
 
@@ -349,16 +353,49 @@ def connected_components(spark, d):
     return graph.components(n.select(F.col("src").alias("node")).distinct(), n)
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {T.V_EDGES}, o AS (SELECT src, dst, score, row_number() OVER (ORDER BY score DESC, src, dst) AS n FROM v_edges), b AS (SELECT src, dst, n FROM o UNION ALL SELECT dst, src, n FROM o),
+r AS (SELECT n AS e, src AS node FROM o UNION SELECT r.e, b.dst FROM r JOIN b ON b.src = r.node AND b.n < r.e) SELECT src, dst, round(score, 9) AS score FROM o WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.e = o.n AND r.node = o.dst)""")
 def spanning_tree(spark, d):
-    """Maximum spanning tree of the scored pairs."""
+    """Maximum spanning tree of the scored pairs: those whose ends no better pairs connect."""
     return graph.spanning_tree(T.edges(spark, d)).select("src", "dst", F.round("score", 9).alias("score"))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {T.V_EDGES}, o AS (SELECT src, dst, score, row_number() OVER (ORDER BY score DESC, src, dst) AS n FROM v_edges), b AS (SELECT src, dst, n FROM o UNION ALL SELECT dst, src, n FROM o),
+r AS (SELECT n AS e, src AS node FROM o UNION SELECT r.e, b.dst FROM r JOIN b ON b.src = r.node AND b.n < r.e), t AS (SELECT src, dst, score, NOT EXISTS (SELECT 1 FROM r WHERE r.e = o.n AND r.node = o.dst) AS tree FROM o),
+i AS (SELECT src AS node, dst AS other, score, tree FROM t UNION ALL SELECT dst, src, score, tree FROM t)
+SELECT node, other, tree, row_number() OVER (PARTITION BY node, tree ORDER BY score DESC, other) - 1 AS place FROM i""")
+def incident_pairs(spark, d):
+    """Each frame's pairs within the spanning tree and outside it, best first."""
+    return graph.incident(T.edges(spark, d)).select("node", "other", "tree", "place")
+
+
+def _core_sql() -> str:
+    """Twenty-four frames: as many rounds settle."""
+    parts = [B.replace("<= 2", "<= 3"), "c0 AS (SELECT src, dst FROM n)"]
+    for i in range(24):
+        parts.append(f"g{i} AS MATERIALIZED (SELECT src FROM c{i} GROUP BY src HAVING count(*) >= 4), c{i + 1} AS MATERIALIZED (SELECT src, dst FROM c{i} WHERE src IN (SELECT src FROM g{i}) AND dst IN (SELECT src FROM g{i}))")
+    return ", ".join(parts)
+
+
+@query(f"{_core_sql()} SELECT src, dst FROM c24")
 def k_core(spark, d):
-    """Frames and links left when those with fewer than three neighbours go."""
-    return graph.k_core(graph.adjacency(T.edges(spark, d), 2.0, k=3), 3)
+    """Frames and links left when those with fewer than four neighbours go."""
+    return graph.k_core(graph.adjacency(T.edges(spark, d), 2.0, k=3), 4)
+
+
+def _costs_sql() -> str:
+    """Twenty-four frames: a cheapest path has no more steps."""
+    parts = [f"WITH {T.V_EDGES}, w AS (SELECT src, dst, -ln(score) AS w FROM v_edges UNION ALL SELECT dst, src, -ln(score) FROM v_edges), d0 AS (SELECT 0::BIGINT AS node, 0.0::DOUBLE AS cost)"]
+    for i in range(24):
+        parts.append(f"d{i + 1} AS MATERIALIZED (SELECT node, min(cost) AS cost FROM (SELECT * FROM d{i} UNION ALL SELECT w.dst::BIGINT, cost + w FROM d{i} JOIN w ON w.src = d{i}.node) GROUP BY node)")
+    return ", ".join(parts)
+
+
+@query(f"{_costs_sql()} SELECT node, round(cost, 6) AS cost FROM d24")
+def shortest_costs(spark, d):
+    """Cost of the cheapest path from the first frame, a pair costing the logarithm of its score."""
+    e = T.edges(spark, d).select("src", "dst", (-F.log("score")).alias("cost"))
+    return graph.shortest_costs(e, 0).select("node", r6(F.col("cost")).alias("cost"))
 
 
 @query(f"""{B}, c AS (SELECT DISTINCT src AS node FROM n WHERE src % 6 = 0), s AS (SELECT b.src, max(score) AS s FROM b JOIN c ON c.node = b.dst GROUP BY b.src), a AS (SELECT DISTINCT src AS node FROM n)

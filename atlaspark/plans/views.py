@@ -342,13 +342,13 @@ def annotated_frames(spark, d):
     return T.read(spark, d, "orders").join(c, "o_custkey").select("o_orderkey", "c_name", "quality")
 
 
-@query(f"""WITH {T.V_POINTS}, s AS (SELECT frame_id, count(*) AS pairs FROM v_points GROUP BY 1) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, round(frame_id * 0.5 + 1.25::DOUBLE * (x - frame_id * 0.5), 6) AS x, round(2.5 + 1.25::DOUBLE * (y - 2.5), 6) AS y,
+@query(f"""WITH {T.V_POINTS}, s AS (SELECT frame_id, count(*) AS pairs FROM v_points GROUP BY 1) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, round(frame_id * 0.5 + 1.25::DOUBLE * (x - frame_id * 0.5), 9) AS x, round(2.5 + 1.25::DOUBLE * (y - 2.5), 9) AS y,
 round(0.7::DOUBLE * z + 0.3::DOUBLE * ln(least(greatest(conf / 10, 1e-5), 1 - 1e-5) / (1 - least(greatest(conf / 10, 1e-5), 1 - 1e-5))), 4) AS st FROM v_points""")
 def anchor_rescale(spark, d):
     """Points scaled about the centre of their camera, and short-term values moved towards the logit of what is predicted."""
     p, cx = T.points(spark, d), F.col("frame_id") * 0.5
     st = 0.7 * F.col("z") + 0.3 * G.logit(F.col("conf") / 10)
-    return p.select(*T.POINT_ID, r6(cx + 1.25 * (F.col("x") - cx)).alias("x"), r6(2.5 + 1.25 * (F.col("y") - 2.5)).alias("y"), F.round(st, 4).alias("st"))
+    return p.select(*T.POINT_ID, F.round(cx + 1.25 * (F.col("x") - cx), 9).alias("x"), F.round(2.5 + 1.25 * (F.col("y") - 2.5), 9).alias("y"), F.round(st, 4).alias("st"))
 
 
 SWEEP = "sw AS (SELECT event_type, t.t AS threshold, sum((value >= t.t AND user_id % 2 = 0)::INT) AS tp, sum((value >= t.t AND user_id % 2 = 1)::INT) AS fp, sum((value < t.t AND user_id % 2 = 0)::INT) AS fn FROM events, (SELECT unnest([10, 30, 50, 70, 90]) AS t) t GROUP BY ALL)"

@@ -58,11 +58,12 @@ def verified_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored frame pairs src < dst over 24 frames, from the lattice cells that they share."""
-    seen = read(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(
-        (F.col("l_orderkey") % 24).cast("int").alias("f"), F.floor("l_quantity").cast("long").alias("i"), F.floor(F.col("l_extendedprice") / 2500.0).cast("long").alias("j")
-    ).distinct()
+    seen = read(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") % 24).cast("int").alias("f"),
+        F.floor("l_quantity").cast("long").alias("i"), F.floor(F.col("l_extendedprice") / 2500.0).cast("long").alias("j"), F.round(F.col("l_discount") * 100).cast("long").alias("k"),
+    ).distinct()
     sizes = seen.groupBy("f").agg(F.count("*").alias("n"))
-    shared = seen.alias("a").join(seen.alias("b"), (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j")) & (F.col("a.f") < F.col("b.f")))
+    shared = seen.alias("a").join(seen.alias("b"), (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.f") < F.col("b.f")))
     shared = shared.groupBy(F.col("a.f").alias("src"), F.col("b.f").alias("dst")).agg(F.count("*").alias("both"))
     a, b = sizes.select(F.col("f").alias("src"), F.col("n").alias("na")), sizes.select(F.col("f").alias("dst"), F.col("n").alias("nb"))
     return shared.join(a, "src").join(b, "dst").select("src", "dst", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("score"))
@@ -83,9 +84,9 @@ V_CELLS = """v_cells AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
   CAST(floor(l_extendedprice / 2500.0::DOUBLE) AS BIGINT) AS j, CAST(round(l_discount * 100) AS BIGINT) AS k, l_tax AS tax FROM lineitem)"""
 V_FRAMES = "v_frames AS (SELECT CAST(user_id % 4 AS INTEGER) AS cam, CAST(day(ts) * 24 + hour(ts) AS INTEGER) AS idx, event_id FROM events)"
 V_TVG = "v_tvg AS (SELECT (o_custkey % 64) * 4294967296 + o_orderkey % 64 AS pair_id, CAST(floor(o_totalprice) AS BIGINT) % 40 AS rows FROM orders)"
-V_EDGES = """v_seen AS (SELECT DISTINCT CAST(l_orderkey % 24 AS INTEGER) AS f, CAST(floor(l_quantity) AS BIGINT) AS i, CAST(floor(l_extendedprice / 2500.0::DOUBLE) AS BIGINT) AS j
-  FROM lineitem WHERE l_linenumber = 1), v_size AS (SELECT f, count(*) AS n FROM v_seen GROUP BY f),
+V_EDGES = """v_seen AS (SELECT DISTINCT CAST(l_orderkey % 24 AS INTEGER) AS f, CAST(floor(l_quantity) AS BIGINT) AS i, CAST(floor(l_extendedprice / 2500.0::DOUBLE) AS BIGINT) AS j, CAST(round(l_discount * 100) AS BIGINT) AS k
+  FROM lineitem), v_size AS (SELECT f, count(*) AS n FROM v_seen GROUP BY f),
 v_edges AS (SELECT s.src, s.dst, s.both::DOUBLE / (a.n + b.n - s.both) AS score FROM
-  (SELECT a.f AS src, b.f AS dst, count(*) AS both FROM v_seen a JOIN v_seen b ON a.i = b.i AND a.j = b.j AND a.f < b.f GROUP BY a.f, b.f) s
+  (SELECT a.f AS src, b.f AS dst, count(*) AS both FROM v_seen a JOIN v_seen b ON a.i = b.i AND a.j = b.j AND a.k = b.k AND a.f < b.f GROUP BY a.f, b.f) s
   JOIN v_size a ON a.f = s.src JOIN v_size b ON b.f = s.dst)"""
 V_POSES = "v_poses AS (SELECT event_id, event_type AS grp, value / 100.0::DOUBLE AS transl_err, CAST(props->>'$.k' AS DOUBLE) / 10.0 AS ang_err FROM events)"
