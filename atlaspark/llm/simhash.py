@@ -1,15 +1,15 @@
-"""Near-duplicates: by SimHash, with exact tiled comparison of distinct fingerprints, and by the exact share of shingles."""
+"""Near-duplicates by SimHash: exact tiled comparison of distinct fingerprints, and an exact check of shingle sets where asked for."""
 
 from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, table
@@ -46,10 +46,10 @@ def more_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42, size: int = 1) -> np.ndarray:
-    """size words of 64 bits: a bit is 1 if more than half of the shingles' hashes have it; 0 without words."""
+def majority(hashes: Iterable[np.ndarray], size: int) -> np.ndarray:
+    """size words of 64 bits: a bit is 1 if more than half of the hashes have it; 0 without hashes."""
     ones, n = np.zeros((size, 64), np.int64), 0
-    for h in shingle_hashes(text, words, seed):
+    for h in hashes:
         for k in range(size):
             bits = np.unpackbits(more_hashes(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             ones[k] += bits.sum(axis=0, dtype=np.int64)
@@ -57,6 +57,11 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42, size: int = 1)
     return np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
+def fingerprint(text: str | None, words: int = 3, seed: int = 42, size: int = 1) -> np.ndarray:
+    """The majority of all shingles of a text, repeats included."""
+    return majority(shingle_hashes(text, words, seed), size)
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 64) -> DataFrame:
     """(id, w0[, w1]): a fingerprint of 64 bits for each word column, signed."""
     size = bits // 64
@@ -89,32 +94,27 @@ def _parts(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
-def local_links(a: np.ndarray, b: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray, radius: int, block_pairs: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def near(a: np.ndarray, b: np.ndarray, radius: int, block_pairs: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows r of a and c of b whose fingerprints (a column for each 64 bits) differ in at most radius bits, and by how many, in blocks."""
+    left, right = ([np.ascontiguousarray(w) for w in x.T] for x in (a, b))
+    block, kind = max(1, block_pairs // max(1, len(b))), np.uint8 if len(left) < 4 else np.uint16
+    for at in range(0, len(a), block):
+        far = np.zeros((len(left[0][at : at + block]), len(b)), kind)
+        for u, v in zip(left, right, strict=True):
+            far += np.bitwise_count(u[at : at + block, None] ^ v[None])
+        r, c = np.nonzero(far <= min(radius, 64 * len(left)))
+        yield at + r, c, far[r, c]
+
+
+def local_links(a: np.ndarray, b: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray, radius: int, block_pairs: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what lies within radius between two tiles (a row for each fingerprint).
 
-    As many links as joined nodes at most, however many pairs lie within the
-    radius. Of long fingerprints the first two words are compared for all pairs
-    and the others where those leave it open.
+    As many links as joined nodes at most, however many pairs lie within the radius.
     """
-    words, bound = a.shape[1], radius
-    first = min(words, 2)
-    if first < words:
-        # Six standard deviations above the share of the radius that falls to the first words.
-        share = first / words * radius
-        bound = int(share + 6 * np.sqrt(share * (1 - first / words)))
     us, vs = [ids_a[:0]], [ids_a[:0]]
-    block = max(1, block_pairs // max(1, len(b)))
-    for at in range(0, len(a), block):
-        part = a[at : at + block]
-        far = np.bitwise_count(part[:, None, 0] ^ b[None, :, 0])
-        for w in range(1, first):
-            far += np.bitwise_count(part[:, None, w] ^ b[None, :, w])
-        r, c = np.nonzero(far <= min(bound, 255))
-        if len(r) and first < words:
-            near = np.bitwise_count(part[r] ^ b[c]).sum(axis=1, dtype=np.int64) <= radius
-            r, c = r[near], c[near]
+    for r, c, _ in near(a, b, radius, block_pairs):
         if len(r):
-            u, v = _parts(ids_a[at + r], ids_b[c])
+            u, v = _parts(ids_a[r], ids_b[c])
             us.append(u)
             vs.append(v)
     return _parts(np.concatenate(us), np.concatenate(vs))
@@ -213,130 +213,140 @@ def shingle_set(text: str | None, words: int, seed: int = 42) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
 
-def least_shared(similarity: float, n: int) -> int:
-    """Shingles that a set of so many shares at least with any that is so similar."""
-    return math.ceil(similarity * n - 1e-9)
+def share(a: np.ndarray, b: np.ndarray) -> float:
+    """What two sets share of their union; two empty ones: all."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def common_shingles(df: DataFrame, words: int, one_in: int = 8, least: int = 4, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending hashes of shingles found often in one of `one_in` documents of (id, text), and how often.
+def radius_of(similarity: float, bits: int) -> int:
+    """Bits in which the fingerprints of two sets that share `similarity` of their union differ at most, but once in a million.
 
-    They only set the order in which prefixes are taken: which pairs are found depends on neither the sample nor `most`.
+    A bit differs with the chance acos(2 s / (1 + s)) / pi for large sets and up
+    to a quarter more for sets of a few shingles; five standard deviations are added.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), words).view(np.int64))], names=["h"])
-
-    sample = df.where(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0).select("text").mapInArrow(run, "h long")
-    rows = sample.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(most).collect()
-    h, n = np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
+    chance = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(1.25 * chance * bits + 5 * math.sqrt(1.25 * chance * bits))
 
 
-def prefixes(df: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(id, key, size, prefix) of (id, text): a digest of the distinct shingles, how many there are, and the rarest ones.
-
-    Two sets that share `similarity` or more of their union have a shingle of their prefixes in common, since both are
-    taken in one order of all shingles and the rest of either set is too small to hold all that they share.
-    """
-    shared = df.sparkSession.sparkContext.broadcast(common_shingles(df, words))
+def sketches(df: DataFrame, words: int, bits: int) -> DataFrame:
+    """(id, digest, key, size, w0..) of (id, text, digest): a digest of the distinct shingles, how many there are, and their majority."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, often = shared.value
         for batch in batches:
-            keys, sizes, firsts = [], [], []
-            for text in batch.column(1):
+            keys, sizes, out = [], [], np.empty((bits // 64, batch.num_rows), np.uint64)
+            for i, text in enumerate(batch.column("text")):
                 h = shingle_set(text.as_py(), words)
                 keys.append(xxhash.xxh3_128_digest(h.tobytes()))
                 sizes.append(len(h))
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    first = h[np.argsort(np.where(known[at] == h, often[at], 0), kind="stable")]
-                else:
-                    first = h
-                firsts.append(first[: len(h) - least_shared(similarity, len(h)) + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["id", "key", "size", "prefix"])
+                out[:, i] = majority((h[at : at + CHUNK] for at in range(0, len(h), CHUNK)), bits // 64)
+            columns = [batch.column("id"), batch.column("digest"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), *[pa.array(x.view(np.int64)) for x in out]]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "key", "size", *[f"w{k}" for k in range(bits // 64)]])
+
+    return df.mapInArrow(run, "id long, digest binary, key binary, size long" + "".join(f", w{k} long" for k in range(bits // 64)))
+
+
+def similar_links(prints: np.ndarray, sets: list[np.ndarray], first: int, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of rows that connect all of the first rows with the others (without others: with each other) that are within
+    radius and share `similarity` or more; the nearest are tried first, and none that are connected already."""
+    own = first == len(sets)
+    parent = list(range(len(sets)))
+
+    def top(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    found = []
+    for r, c, far in near(prints[:first], prints if own else prints[first:], radius, 1 << 18):
+        for k in np.argsort(far, kind="stable").tolist():
+            i, j = int(r[k]), int(c[k]) + (0 if own else first)
+            if i == j or own and i > j:
+                continue
+            small, large = sorted((len(sets[i]), len(sets[j])))
+            if small >= similarity * large - 1e-9 and (x := top(i)) != (y := top(j)) and share(sets[i], sets[j]) >= similarity - 1e-12:
+                parent[max(x, y)] = min(x, y)
+                found.append((i, j))
+    return found
 
-    return df.mapInArrow(run, "id long, key binary, size int, prefix array<long>")
 
+def checked(members: DataFrame, words: int, radius: int, similarity: float, tile_bytes: int = 4 << 20) -> DataFrame:
+    """Links (u, v) that connect all of members (node, group, size, text, w0..) of one group that are within radius and share `similarity` or more.
 
-def shingle_sets(df: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, set) for `wanted` (node, key): the distinct shingles of the document that has this id and this digest."""
+    A group's sets are dealt by hash into tiles of about tile_bytes, and every
+    two tiles of a group are compared; a tile is a row, so that no group of any
+    size meets in one task.
+    """
+    names = [f"w{w}" for w in range(len([c for c in members.columns if c.startswith("w")]))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), words).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["node", "key", "set"])
-
-    texts = df.join(wanted.select(F.col("node").alias("id")), "id", "left_semi").select("id", "text")
-    return texts.mapInArrow(run, "node long, key binary, set binary").join(wanted, ["node", "key"], "left_semi").dropDuplicates(["node"]).select("node", "set")
-
-
-def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose sets (node, set) share `similarity` or more of their union, counted exactly."""
+            for i in range(batch.num_rows):
+                part = batch.slice(i, 1)
+                text = part.column("text")[0].as_py()
+                yield part.drop_columns(["text"]).append_column("set", pa.array([shingle_set(text, words).tobytes()], pa.binary()))
+
+    schema = "node long, group long, sub int, n int, " + "".join(f"{w} long, " for w in names) + "set binary"
+    totals = members.groupBy("group").agg(F.ceil((F.sum("size") * 8 + 1) / tile_bytes).cast("int").alias("n"))
+    dealt = members.join(totals, "group").withColumn("sub", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    packed = dealt.select("node", "group", "sub", "n", *names, "text").mapInArrow(sets, schema)
+    tiles = materialize(packed.groupBy("group", "sub", "n").agg(F.collect_list(F.struct("node", *names, "set")).alias("rows")))
+    none = F.slice("rows", 1, 0).alias("others")
+    alone = tiles.select("rows", none)
+    pairs = tiles.where("n > 1").select("group", F.col("sub").alias("a"), F.explode(F.sequence(F.col("sub"), F.col("n") - 1)).alias("b")).where("a < b")
+    for side, name in (("a", "rows"), ("b", "others")):
+        pairs = pairs.join(tiles.select("group", F.col("sub").alias(side), F.col("rows").alias(name)), ["group", side])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                a, b = (np.frombuffer(x.as_py(), np.uint64) for x in (a, b))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(both >= least_shared(similarity, len(a) + len(b) - both))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    sides = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
-    return sides.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
-
-
-def similar_groups(df: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(id, component_id) of (id, text): documents linked where they share `similarity` or more of their distinct shingles, exactly.
-
-    Equal sets are one node. Of the nodes that have a shingle of their prefixes
-    in common, neighbours by size are compared first; then, so that a large
-    group of near copies makes no pairs, all that are not yet in one component.
-    """
-    prints = materialize(prefixes(df, words, similarity))
-    nodes = materialize(prints.groupBy("key").agg(F.min("id").alias("node"), F.first("size").alias("size"), F.first("prefix").alias("prefix")).where("node IS NOT NULL"))
-    order = Window.partitionBy("token").orderBy("size", "node")
-    tokens = nodes.select("node", "size", F.explode("prefix").alias("token"))
-    tokens = tokens.withColumns({"before": F.lag(F.struct("node", "size")).over(order), "after": F.lead("node").over(order)})
-    held = materialize(tokens.where("before IS NOT NULL OR after IS NOT NULL").select("token", "node", "size", "before"))
-    # The size of the smaller set bounds what is shared, that of the larger one the union.
-    close = lambda small, large: F.col(small) >= F.ceil(F.col(large) * similarity - 1e-9)
-    ends = lambda u, v: [F.least(u, v).alias("u"), F.greatest(u, v).alias("v")]
-    chain = materialize(held.where(F.col("before").isNotNull() & close("before.size", "size")).select(*ends("before.node", "node")).distinct())
-
-    sets = materialize(shingle_sets(df, held.select("node").distinct().join(nodes, "node").select("node", "key"), words))
-    first = materialize(similar(chain, sets, similarity))
-    where = nodes.select("node").join(components(first), "node", "left").select("node", F.coalesce("component", "node").alias("part"))
-    parted = held.select("token", "node", "size").join(where, "node")
-    # Only tokens of several components can still hold a link.
-    open_ = parted.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("token")
-    rest = materialize(parted.join(open_, "token"))
-    parts = rest.select("token", "part").distinct()
-    cross = parts.select("token", F.col("part").alias("p")).join(parts.select("token", F.col("part").alias("q")), "token").where("p < q")
-    sides = [rest.select("token", F.col("part").alias(p), F.col("node").alias(n), F.col("size").alias(f"size_{n}")) for p, n in (("p", "x"), ("q", "y"))]
-    others = cross.join(sides[0], ["token", "p"]).join(sides[1], ["token", "q"])
-    others = others.where(F.when(F.col("size_x") < F.col("size_y"), close("size_x", "size_y")).otherwise(close("size_y", "size_x"))).select(*ends("x", "y")).distinct()
-    second = similar(others.join(chain, ["u", "v"], "left_anti"), sets, similarity)
-    found = components(first.union(second))
-    labels = nodes.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(labels, "key").select("id", "component_id")
-
-
-def keep_one(df: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id, with all its columns.
-
-    Documents are linked when they share `similarity` or more of their distinct
-    word shingles, and grouped over links. Rows that repeat an id are one
-    document; rows without an id are all kept.
+            for i in range(batch.num_rows):
+                left, right = (batch.column(c)[i].values for c in ("rows", "others"))
+                nodes = np.concatenate([x.field("node").to_numpy() for x in (left, right)])
+                prints = np.stack([np.concatenate([x.field(w).to_numpy() for x in (left, right)]) for w in names], axis=1).view(np.uint64)
+                found = similar_links(prints, [np.frombuffer(s.as_py(), np.uint64) for x in (left, right) for s in x.field("set")], len(left), radius, similarity)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[list(x)]) for x in zip(*found, strict=True)], names=["u", "v"])
+
+    return alone.union(pairs.select("rows", "others")).mapInArrow(compare, "u long, v long")
+
+
+def keep_one(df: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 256, tile_rows: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group of near-duplicates, with all its columns: the one with the smallest id, then digest of the text.
+
+    Equal sets of distinct word shingles are one node. Nodes whose fingerprints
+    differ in at most radius_of() bits are found by tiles and joined to
+    candidate groups; within these, nodes are linked if and only if they are so
+    near and share `similarity` or more of their union, and documents are
+    grouped over links. Null, empty and white texts are one group; a null id
+    comes after all others; different texts with one id are different
+    documents; of rows equal in id and text one stays, the first by a hash of
+    all columns; an empty table gives no rows; other columns are kept as they
+    are.
     """
-    groups = similar_groups(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), words, similarity)
-    first = groups.where("id = component_id").select(F.col("id").alias(id_col)).distinct()
-    return df.join(first, id_col, "left_semi").dropDuplicates([id_col]).select(df.columns).union(df.where(F.col(id_col).isNull()))
+    id_, text = F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")
+    digest = F.unhex(F.md5(F.col(text_col).cast("string").cast("binary")))
+    names, radius = [f"w{k}" for k in range(bits // 64)], radius_of(similarity, bits)
+    prints = materialize(sketches(df.select(id_, text, digest.alias("digest")), words, bits))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("first")
+    nodes = materialize(prints.groupBy("key", "size", *names).agg(first).select("first.*", "size", *names, F.monotonically_increasing_id().alias("node")))
+
+    candidates = components(links(nodes, len(names), radius, tile_rows))
+    groups = candidates.union(candidates.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("component", "group")
+    same = lambda left, right: left["id"].eqNullSafe(right["id"]) & left["digest"].eqNullSafe(right["digest"])
+    wanted = nodes.join(groups, "node")
+    texts = df.select(id_, digest.alias("digest"), text)
+    found = texts.join(wanted, same(texts, wanted)).groupBy("node", "group", "size", *names).agg(F.first("text").alias("text"))
+    parts = components(checked(found, words, radius, similarity))
+
+    kept = nodes.join(parts, "node", "left").groupBy(F.coalesce("component", "node").alias("part")).agg(F.min(F.struct("none", "id", "digest")).alias("first")).select("first.id", "first.digest")
+    mine, own = F.col("own_").getField("id"), F.col("own_").getField("digest")
+    out = df.withColumn("own_", F.struct(id_, digest.alias("digest")))
+    out = out.join(kept.select(F.struct("id", "digest").alias("kept_")), (mine.eqNullSafe(F.col("kept_.id"))) & (own.eqNullSafe(F.col("kept_.digest"))), "left_semi")
+    if prints.groupBy("id", "digest").count().where("count > 1").isEmpty():
+        return out.select(df.columns)
+    whole = F.struct(*df.columns)
+    return out.groupBy("own_.id", "own_.digest").agg(F.min_by(whole, F.xxhash64(whole)).alias("row_")).select("row_.*")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
