@@ -58,8 +58,9 @@ def interpolate(queries: DataFrame, samples: DataFrame, at: str, value: str, id_
     parts = rows.groupBy("_part").agg(F.max(is_sample).alias("_last"), F.min(is_sample).alias("_first"))
     edges = parts.select("_part", carried(parts, F.col("_last")).alias("_left"), carried(parts, F.col("_first"), back=True).alias("_right"))
     before = Window.partitionBy("_part").orderBy("_t", F.col("_v").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy("_part").orderBy("_t", F.col("_v").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
-    out = rows.join(F.broadcast(edges), "_part").withColumn("_a", F.coalesce(F.last(is_sample, True).over(before), "_left")).withColumn("_b", F.coalesce(F.first(is_sample, True).over(after), "_right")).where("_id IS NOT NULL")
+    # Backwards, as a frame up to the end is worked out anew for every row.
+    after = Window.partitionBy("_part").orderBy(F.desc("_t"), F.col("_v").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(F.broadcast(edges), "_part").withColumn("_a", F.coalesce(F.last(is_sample, True).over(before), "_left")).withColumn("_b", F.coalesce(F.last(is_sample, True).over(after), "_right")).where("_id IS NOT NULL")
     span = F.col("_b._t") - F.col("_a._t")
     line = F.when(span == 0, F.col("_a._v")).otherwise(F.col("_a._v") + (F.col("_b._v") - F.col("_a._v")) * (F.col("_t") - F.col("_a._t")) / span)
     return out.select(F.col("_id").alias(id_col), F.col("_t").alias(at), line.alias(value))

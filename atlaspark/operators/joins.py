@@ -122,8 +122,9 @@ def nearest_in_order(left: DataFrame, right: DataFrame, left_id: str, at: str, v
     r = right.select(*by, F.lit(None).cast(left.schema[left_id].dataType).alias("_id"), F.col(at).alias("_t"), F.col(value).alias("_v"), F.col(at).alias("_rt"), F.lit(0).alias("_left"))
     own = [F.col(c) for c in by]
     before = Window.partitionBy(*own).orderBy("_t", "_left", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*own).orderBy("_t", F.desc("_left"), "_v").rowsBetween(0, Window.unboundedFollowing)
+    # Backwards, as a frame up to the end is worked out anew for every row.
+    after = Window.partitionBy(*own).orderBy(F.desc("_t"), "_left", F.desc("_v")).rowsBetween(Window.unboundedPreceding, 0)
     right_row = F.when(F.col("_left") == 0, F.struct("_rt", "_v"))
-    both = l.unionByName(r).withColumn("_a", F.last(right_row, ignorenulls=True).over(before)).withColumn("_b", F.first(right_row, ignorenulls=True).over(after)).where("_left = 1")
+    both = l.unionByName(r).withColumn("_a", F.last(right_row, ignorenulls=True).over(before)).withColumn("_b", F.last(right_row, ignorenulls=True).over(after)).where("_left = 1")
     pick: Column = F.when(F.col("_b").isNull() | ((F.col("_t") - F.col("_a._rt")) <= (F.col("_b._rt") - F.col("_t"))), F.col("_a")).otherwise(F.col("_b"))
     return both.withColumn("_p", pick).select(*by, F.col("_id").alias(left_id), F.col("_t").alias(at), F.col("_p._rt").alias(f"{at}_found"), F.col("_p._v").alias(value))

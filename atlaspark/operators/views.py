@@ -174,8 +174,8 @@ def consecutive(frames: DataFrame, by: list[str], at: str, stride: int = 1) -> D
 def next_valid(frames: DataFrame, by: list[str], at: str, valid: Column) -> DataFrame:
     """Each frame with the first valid one at or after it, around the end; null where the sequence has none."""
     good = F.when(valid, F.col(at))
-    order = Window.partitionBy(*by).orderBy(at)
-    ahead = F.first(good, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # Backwards, as a frame up to the end is worked out anew for every row.
+    ahead = F.last(good, ignorenulls=True).over(Window.partitionBy(*by).orderBy(F.desc(at)).rowsBetween(Window.unboundedPreceding, 0))
     return frames.withColumn("found", F.coalesce(ahead, F.min(good).over(Window.partitionBy(*by))))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import natural_key
+
 
 def frame_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("jpg", "jpeg", "png")) -> DataFrame:
     """(cam, idx, path) of numbered images in folders that start with "cam"; of equal numbers the last path stays. Reads no image."""
@@ -16,7 +18,7 @@ def frame_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("jp
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """Numbered lines of one text file without comments."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
     return lines.where(~F.col("line").startswith("#"))
 
 
@@ -64,3 +66,31 @@ def pair_list(spark: SparkSession, path: str) -> DataFrame:
     """(first, second) of lines with two names; # starts a comment."""
     f = F.split(F.trim(F.regexp_replace("value", "#.*", "")), r"\s+")
     return spark.read.text(path).where(F.size(f) >= 2).select(f[0].alias("first"), f[1].alias("second"))
+
+
+def sequences(spark: SparkSession, root: str, least: int = 2, suffixes: tuple[str, ...] = ("jpg", "jpeg", "png")) -> DataFrame:
+    """(sequence, place, path): images of each folder in natural order, folders with fewer than `least` left out. Reads no image."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    named = listed.where(F.lower("path").rlike(rf"\.(?:{'|'.join(suffixes)})$")).select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("sequence"), "path")
+    by = Window.partitionBy("sequence")
+    placed = named.withColumn("n", F.count("*").over(by)).withColumn("place", F.row_number().over(by.orderBy(natural_key(F.col("path")), "path")) - 1)
+    return placed.where(F.col("n") >= least).select("sequence", "place", "path")
+
+
+def annotations(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of gzipped JSON files that each hold one array of records."""
+    return spark.read.schema(schema).option("multiLine", "true").json(path)
+
+
+def alignment_text(spark: SparkSession, path: str, heading: str = "After general icp:") -> DataFrame:
+    """(path, pose): the sixteen numbers after a heading in each text file; files without it are left out."""
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    block = F.regexp_extract("value", rf"(?s)\Q{heading}\E(.*)", 1)
+    numbers = F.slice(F.regexp_extract_all(block, F.lit(r"[-+]?[0-9]+(?:\.[0-9]*)?(?:[eE][-+]?[0-9]+)?"), F.lit(0)), 1, 16).cast("array<double>")
+    return text.select("path", numbers.alias("pose")).where(F.size("pose") == 16)
+
+
+def scene_grid(spark: SparkSession, pattern: str, rows: int, columns: int) -> DataFrame:
+    """(row, column, name) of a catalogue of scenes named by two numbers."""
+    one = spark.range(rows).select(F.col("id").cast("int").alias("row"))
+    return one.select("row", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("column")).withColumn("name", F.format_string(pattern, "row", "column"))

@@ -61,3 +61,15 @@ def write_text_model(cameras: DataFrame, images: DataFrame, tracks: DataFrame, p
     images.join(found, "image_id", "left").select(F.concat_ws("\n", head, F.coalesce("_p", F.lit(""))).alias("value")).write.mode(mode).text(f"{path}/images")
     track = seen.groupBy("track_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("image_id", "_i"))), lambda t: text(t.image_id + 1, t._i)), " ").alias("_t"))
     points.join(track, "track_id").select(text(F.col("track_id") + 1, F.col("x"), F.col("y"), F.col("z"), F.lit("0 0 0 0"), F.col("_t")).alias("value")).write.mode(mode).text(f"{path}/points")
+
+
+def write_bev(bev: DataFrame, path: str, resolution: float, origin: tuple[float, float], z_band: tuple[float, float], mode: str = "errorifexists") -> None:
+    """A floor plan (v, u, value) as Parquet, with its size, place and height band in a JSON beside it."""
+    size = bev.agg((F.max("v") + 1).alias("height"), (F.max("u") + 1).alias("width")).first()
+    meta = {"resolution": resolution, "origin_xy": list(origin), "width": size.width or 0, "height": size.height or 0, "z_band": list(z_band)}
+    bev.select("v", "u", F.col("value").cast("tinyint").alias("value")).write.mode(mode).parquet(f"{path}/cells")
+    bev.sparkSession.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string").coalesce(1).write.mode(mode).text(f"{path}/meta")
+
+
+def read_bev(spark, path: str) -> tuple[DataFrame, dict]:
+    return spark.read.parquet(f"{path}/cells"), json.loads(spark.read.text(f"{path}/meta").first().value)

@@ -136,3 +136,27 @@ def test_undistort_undoes_distortion(spark):
 def test_shortest_costs_and_coverage(spark):
     e = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (0, 2, 5.0)], "src int, dst int, cost double")
     assert {r.node: r.cost for r in graph.shortest_costs(e, 0).collect()} == {0: 0.0, 1: 1.0, 2: 2.0}
+
+
+def test_nearest_settles_rows_however_far_away(spark):
+    from atlaspark.operators import joins
+
+    left = spark.createDataFrame([(1, 0.0, 0.0), (2, 1e7, 0.0), (3, float("nan"), 0.0)], "p int, x double, y double")
+    right = spark.createDataFrame([(7, 0.1, 0.0), (8, -3e6, 1.0), (9, None, 0.0)], "q int, a double, b double")
+    found = joins.nearest(left, right, "p", "q", ["x", "y"], ["a", "b"], 0.1)
+    assert sorted((r.p, r.q) for r in found.collect()) == [(1, 7), (2, 7)]
+    assert joins.nearest(left, right.limit(0), "p", "q", ["x", "y"], ["a", "b"], 0.1).count() == 0
+
+
+def test_quantiles_are_exact_in_any_number_of_ranges(spark):
+    import numpy as np
+
+    from atlaspark.operators import ordered
+
+    r = np.random.default_rng(0)
+    values = [(i % 3, float(v)) for i, v in enumerate(r.integers(0, 50, 500))] + [(0, None), (1, float("nan")), (4, None)]
+    df = spark.createDataFrame(values, "g int, v double").repartition(7)
+    got = {x.g: (x.q0, x.q1) for x in ordered.quantiles_by(df, ["g"], "v", [0.1, 0.77]).collect()}
+    want = {g: tuple(np.quantile([v for k, v in values if k == g and v is not None and v == v], [0.1, 0.77])) for g in range(3)}
+    assert got.keys() == want.keys() and all(np.allclose(got[g], want[g]) for g in want)
+    assert [x.n for x in ordered.numbered(df.select("v"), [df.v.asc_nulls_last()], "n").orderBy("n").select("n").collect()] == list(range(503))

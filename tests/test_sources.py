@@ -51,3 +51,50 @@ def test_text_model_writer(spark, tmp_path):
     lines = lambda name: sorted(r.value for r in spark.read.text(str(tmp_path / "m" / name)).collect())
     assert lines("points") == ["1 1.0 2.0 3.0 0 0 0 0 1 0 2 0"]
     assert "1.5 2.5 1" in lines("images") and "2 1.0 0.0 0.0 0.0 0.0 0.0 0.5 1 1.jpg" in lines("images")
+
+
+def test_dense_files_round_trip(spark, tmp_path):
+    import numpy as np
+
+    from atlaspark.sources import dense
+
+    flow = np.arange(24, dtype=np.float32).reshape(3, 4, 2)
+    flow[1, 2] = np.inf
+    (tmp_path / "a.flo").write_bytes(dense.encode_flow(flow))
+    pixels = dense.dense_files(spark, str(tmp_path), "flo")
+    found = {(r.v, r.u): r.value for r in pixels.collect()}
+    assert len(found) == 12 and found[0, 1] == [2.0, 3.0] and found[1, 2] is None
+    back = dense.flow_contents(pixels).first().content
+    assert np.array_equal(dense.decode_flow(bytes(back)), flow)
+    depth = np.array([[1.5, 2.5], [3.5, 4.5]], "<f4")
+    (tmp_path / "d.pfm").write_bytes(b"Pf\n2 2\n-1.0\n" + depth[::-1].tobytes())
+    assert {(r.v, r.u): r.value for r in dense.dense_files(spark, str(tmp_path), "pfm").collect()} == {(0, 0): [1.5], (0, 1): [2.5], (1, 0): [3.5], (1, 1): [4.5]}
+    rows = np.array([(1, 2, 0.5), (3, 4, 0.25)], [("scene_id", "i4"), ("im1_id", "i4"), ("score", "f8")])
+    np.savez(tmp_path / "p.npz", pairs=rows, other=[1])
+    got = dense.structured_arrays(spark, str(tmp_path), "pairs", "scene_id int,im1_id int,score double")
+    assert sorted(map(tuple, got.collect())) == [(1, 2, 0.5), (3, 4, 0.25)]
+
+
+def test_sequences_annotations_and_texts(spark, tmp_path):
+    import gzip
+
+    for name in ("s1/f10.jpg", "s1/f9.jpg", "s1/x.txt", "s2/a.png"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    got = files.sequences(spark, str(tmp_path)).orderBy("place").collect()
+    assert [r.path.rsplit("/", 1)[1] for r in got] == ["f9.jpg", "f10.jpg"]
+    with gzip.open(tmp_path / "a.json.gz", "wt") as f:
+        f.write('[{"sequence_name": "q", "frame_number": 3}, {"sequence_name": "r", "frame_number": null}]')
+    assert files.annotations(spark, str(tmp_path / "a.json.gz"), "sequence_name string, frame_number int").count() == 2
+    (tmp_path / "t.txt").write_text("Before icp:\n9 9\nAfter general icp:\n1 0 0 0.5\n0 1 0 -2e-1\n0 0 1 3\n0 0 0 1\nend 7\n")
+    (tmp_path / "u.txt").write_text("nothing\n")
+    assert files.alignment_text(spark, str(tmp_path / "*.txt")).first().pose == [1, 0, 0, 0.5, 0, 1, 0, -0.2, 0, 0, 1, 3, 0, 0, 0, 1]
+    grid = files.scene_grid(spark, "room_%d_%d", 5, 21)
+    assert grid.count() == 105 and grid.where("name = 'room_4_20'").count() == 1
+
+
+def test_floor_plan_sink(spark, tmp_path):
+    bev = spark.createDataFrame([(0, 0, 100), (2, 4, -1)], "v int, u int, value int")
+    sinks.write_bev(bev, f"{tmp_path}/bev", 0.05, (1.0, 2.0), (0.1, 1.8))
+    cells, meta = sinks.read_bev(spark, f"{tmp_path}/bev")
+    assert (meta["width"], meta["height"], meta["origin_xy"]) == (5, 3, [1.0, 2.0]) and sorted(r.value for r in cells.collect()) == [-1, 100]
