@@ -371,16 +371,18 @@ def incident_pairs(spark, d):
 
 def _core_sql() -> str:
     """Twenty-four frames: as many rounds settle."""
-    parts = [B.replace("<= 2", "<= 3"), "c0 AS (SELECT src, dst FROM n)"]
+    parts = [f"WITH {T.V_EDGES}, m AS (SELECT avg(score) AS m FROM v_edges)", "c0 AS (SELECT src, dst FROM v_edges, m WHERE score >= m UNION ALL SELECT dst, src FROM v_edges, m WHERE score >= m)"]
     for i in range(24):
-        parts.append(f"g{i} AS MATERIALIZED (SELECT src FROM c{i} GROUP BY src HAVING count(*) >= 4), c{i + 1} AS MATERIALIZED (SELECT src, dst FROM c{i} WHERE src IN (SELECT src FROM g{i}) AND dst IN (SELECT src FROM g{i}))")
+        parts.append(f"g{i} AS MATERIALIZED (SELECT src FROM c{i} GROUP BY src HAVING count(*) >= 8), c{i + 1} AS MATERIALIZED (SELECT src, dst FROM c{i} WHERE src IN (SELECT src FROM g{i}) AND dst IN (SELECT src FROM g{i}))")
     return ", ".join(parts)
 
 
 @query(f"{_core_sql()} SELECT src, dst FROM c24")
 def k_core(spark, d):
-    """Frames and links left when those with fewer than four neighbours go."""
-    return graph.k_core(graph.adjacency(T.edges(spark, d), 2.0, k=3), 4)
+    """Frames and links left of the better half of pairs when frames with fewer than eight neighbours go."""
+    e = T.edges(spark, d)
+    mean = e.agg(F.avg("score").alias("m")).first().m or 0.0
+    return graph.k_core(graph.adjacency(e, mean), 8)
 
 
 def _costs_sql() -> str:

@@ -297,12 +297,12 @@ def required_images(spark, d):
 
 
 @query(f"""WITH {T.V_POINTS} SELECT l_suppkey, round(sqrt(pow(quantile_cont(x, 0.95) - quantile_cont(x, 0.05), 2) + pow(quantile_cont(y, 0.95) - quantile_cont(y, 0.05), 2) + pow(quantile_cont(z, 0.95) - quantile_cont(z, 0.05), 2)), 6) AS extent,
-round(quantile_disc(x, 0.5), 6) AS cx, round(quantile_disc(y, 0.5), 6) AS cy FROM v_points GROUP BY l_suppkey""")
+round(quantile_disc(x, 0.5), 9) AS cx, round(quantile_disc(y, 0.5), 9) AS cy FROM v_points GROUP BY l_suppkey""")
 def scene_extent(spark, d):
     """Extent of each scene between outer percentiles, and its middle."""
     spread = lambda c: F.pow(F.percentile(c, F.lit(0.95)) - F.percentile(c, F.lit(0.05)), 2)
     disc = lambda c: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c})")
-    return T.points(spark, d).groupBy("l_suppkey").agg(r6(F.sqrt(spread("x") + spread("y") + spread("z"))).alias("extent"), r6(disc("x")).alias("cx"), r6(disc("y")).alias("cy"))
+    return T.points(spark, d).groupBy("l_suppkey").agg(r6(F.sqrt(spread("x") + spread("y") + spread("z"))).alias("extent"), F.round(disc("x"), 9).alias("cx"), F.round(disc("y"), 9).alias("cy"))
 
 
 @query(f"""WITH {T.V_POINTS}, m AS (SELECT avg(x) AS mx, avg(y) AS my FROM v_points) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, round(x - mx, 5) AS x, round(y - my, 5) AS y FROM v_points, m""")
