@@ -63,105 +63,119 @@ class Quantiser:
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v as doubles, norm) of the rows that can take part."""
-    vector = F.col(vector_col).cast("array<double>")
-    good = F.forall("v", lambda x: F.coalesce((F.abs(x) < float("inf")) & ~F.isnan(x), F.lit(False)))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & good)
-    return rows.withColumn("norm", norm).where("norm > 0")
+    """(vec_id, v, norm) of the rows that can take part; the length is worked out by the largest component, so that no square is lost."""
+    vector = F.col(vector_col)
+    if df.schema[vector_col].dataType.simpleString() != "array<float>":
+        vector = vector.cast("array<double>")
+    finite = F.forall("v", lambda x: F.coalesce((F.abs(x) < float("inf")) & ~F.isnan(x), F.lit(False)))
+    most = F.aggregate("v", F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x).cast("double")))
+    share = lambda x: x.cast("double") / F.col("most")
+    norm = F.least(F.col("most") * F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + share(x) * share(x))), F.lit(1e308))
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite)
+    return rows.withColumn("most", most).where("most > 0").withColumn("norm", norm).select("vec_id", "v", "norm")
 
 
 def train(rows: DataFrame, books: int, words: int, most_rows: int) -> Quantiser | None:
-    """Codebooks for the directions of most_rows rows, the first by a hash of id and vector."""
+    """Codebooks for the directions of most_rows rows at most, the first by a hash of id and vector."""
     sample = rows.orderBy(F.xxhash64("vec_id", "v")).limit(most_rows).select("v", "norm").toPandas()
     if not len(sample):
         return None
-    return Quantiser.train(np.stack(sample.v.to_numpy()) / sample.norm.to_numpy()[:, None], books, words)
+    return Quantiser.train(np.stack(sample.v.to_numpy()).astype(np.float64) / sample.norm.to_numpy()[:, None], books, words)
 
 
 def build_index(rows: DataFrame, quantiser: Quantiser, beam: int = 8) -> DataFrame:
-    """(vec_id, codes, norm) of every row: codes of its direction and its stored norm."""
+    """rows (row, vec_id, v, norm) with codes: those of the direction, by beam search over the books."""
     shared = rows.sparkSession.sparkContext.broadcast(quantiser)
     d = quantiser.books.shape[2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            norms = batch.column(2).to_numpy()
-            x = batch.column(1).flatten().to_numpy().reshape(-1, d) / norms[:, None]
+            x = batch.column("v").flatten().to_numpy().reshape(-1, d) / batch.column("norm").to_numpy()[:, None]
             codes = shared.value.encode(x, beam)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column(2)], names=["vec_id", "codes", "norm"])
+            yield batch.append_column("codes", pa.array([c.tobytes() for c in codes], pa.binary()))
 
-    return materialize(rows.select("vec_id", "v", "norm").mapInArrow(run, "vec_id long, codes binary, norm double"))
+    v = rows.schema["v"].dataType.simpleString()
+    return materialize(rows.select("row", "vec_id", "v", "norm").mapInArrow(run, f"row long, vec_id long, v {v}, norm double, codes binary"))
 
 
-def shortlist(index: DataFrame, queries: DataFrame, quantiser: Quantiser, n_index: int, n_queries: int, size: int, index_block: int = 8192, query_block: int = 2048) -> DataFrame:
-    """(query_id, vec_id): the `size` rows of the index whose table score is largest for each query.
+def exact(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Inner products in double precision, component after component."""
+    out = np.zeros(len(vectors))
+    for q, column in zip(query, vectors.T, strict=True):
+        out += q * column
+    return out
+
+
+def nearest(index: DataFrame, queries: DataFrame, quantiser: Quantiser, n_index: int, n_queries: int, k: int, size: int, index_block: int = 8192, query_block: int = 2048) -> DataFrame:
+    """(asked, query_id, best): for each query the k rows of the index with the largest inner product among those whose table score is large.
 
     Queries and index are dealt by hash into blocks; every pair of blocks is one
     group, which looks each code up in the query's table, scales by the stored
-    norm and keeps the best. Equal scores go by vec_id.
+    norm, and scores the `size` best again on the original vectors. Only k rows
+    a query leave a group.
     """
     shared = index.sparkSession.sparkContext.broadcast(quantiser)
     across, down = max(1, -(-n_index // index_block)), max(1, -(-n_queries // query_block))
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = index.withColumn("a", F.pmod(F.xxhash64("vec_id"), F.lit(across))).withColumn("b", all_of(down))
-    right = queries.select(F.col("vec_id").alias("query_id"), "v").withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(down))).withColumn("a", all_of(across))
+    left = index.withColumn("a", F.pmod(F.xxhash64("row"), F.lit(across))).withColumn("b", all_of(down))
+    right = queries.withColumn("b", F.pmod(F.xxhash64("row"), F.lit(down))).withColumn("a", all_of(across))
     cell = (F.col("a") * down + F.col("b")).alias("cell")
 
-    def run(codes: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(codes) or not len(asked):
-            return pd.DataFrame({"query_id": [], "ids": [], "costs": []})
-        codes, asked = codes.sort_values("vec_id"), asked.sort_values("query_id")
-        ids, norms = codes.vec_id.to_numpy(), codes.norm.to_numpy()
+    def run(known: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(known) or not len(asked):
+            return pd.DataFrame({"asked": [], "query_id": [], "ids": [], "costs": []})
+        known, asked = known.sort_values(["vec_id", "row"]), asked.sort_values("row")
+        rows, ids, norms = (known[c].to_numpy() for c in ("row", "vec_id", "norm"))
+        vectors = np.stack(known.v.to_numpy()).astype(np.float64)
         m = shared.value.books.shape[0]
-        word = np.frombuffer(b"".join(codes.codes), np.uint8).reshape(-1, m).T.astype(np.intp)
+        word = np.frombuffer(b"".join(known.codes), np.uint8).reshape(-1, m).T.astype(np.intp)
         out_ids, out_costs = [], []
-        x = np.stack(asked.v.to_numpy())
+        x = np.stack(asked.v.to_numpy()).astype(np.float64)
+        directions = x / asked.norm.to_numpy()[:, None]
         for at in range(0, len(x), 32):
-            for q, tables in zip(asked.query_id.to_numpy()[at : at + 32], shared.value.tables(x[at : at + 32] / np.linalg.norm(x[at : at + 32], axis=1, keepdims=True)), strict=True):
+            for q, row, tables in zip(x[at : at + 32], asked.row.to_numpy()[at : at + 32], shared.value.tables(directions[at : at + 32]), strict=True):
                 score = tables[0][word[0]].astype(np.float64)
                 for b in range(1, m):
                     score += tables[b][word[b]]
                 score *= norms
-                score[ids == q] = -np.inf
+                score[rows == row] = -np.inf
                 least = np.partition(score, len(score) - size)[len(score) - size] if len(score) > size else -np.inf
                 some = np.flatnonzero((score >= least) & (score > -np.inf))
-                some = some[np.argsort(-score[some], kind="stable")[:size]]
-                out_ids.append(ids[some])
-                out_costs.append(-score[some])
-        return pd.DataFrame({"query_id": asked.query_id.to_numpy(), "ids": out_ids, "costs": out_costs})
+                some = np.sort(some[np.argsort(-score[some], kind="stable")[:size]])
+                found = exact(q, vectors[some])
+                best = np.argsort(-found, kind="stable")[:k]
+                out_ids.append(ids[some[best]])
+                out_costs.append(-found[best])
+        return pd.DataFrame({"asked": asked.row.to_numpy(), "query_id": asked.vec_id.to_numpy(), "ids": out_ids, "costs": out_costs})
 
-    parts = left.select("vec_id", "codes", "norm", cell).groupBy("cell").cogroup(right.select("query_id", "v", cell).groupBy("cell")).applyInPandas(run, "query_id long, ids array<long>, costs array<double>")
-    best = parts.select("query_id", F.arrays_zip(F.col("costs").alias("cost"), F.col("ids").alias("vec_id")).alias("found")).groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, size).alias("found"))
-    return best.select("query_id", F.explode("found.vec_id").alias("vec_id"))
+    parts = left.select("row", "vec_id", "v", "norm", "codes", cell).groupBy("cell").cogroup(right.select("row", "vec_id", "v", "norm", cell).groupBy("cell"))
+    parts = parts.applyInPandas(run, "asked long, query_id long, ids array<long>, costs array<double>")
+    found = parts.select("asked", "query_id", F.arrays_zip(F.col("costs").alias("cost"), F.col("ids").alias("vec_id")).alias("found"))
+    return found.groupBy("asked", "query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("best"))
 
 
 def search(df: DataFrame, is_query, k: int = 20, books: int = 24, words: int = 256, train_rows: int = 32_768, beam: int = 8, size: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The k rows with the largest inner product for each query row, its own id left out.
+    """The k rows with the largest inner product for each query row, the row itself left out.
 
     `is_query` is a condition on vec_id. Codebooks are fitted on train_rows rows
     at most; every row is indexed, and every query is scored against every
-    row's codes; the `size` best are scored again on the original vectors in
-    double precision. Ties go to the smaller id. Vectors that are null, zero,
-    of another length than most, or hold a null or non-finite component take no
-    part, nor do rows without an id; rows that repeat an id count once, the
-    first by a hash of the vector; fewer candidates than k are all returned; an
-    empty table gives no rows; other columns are ignored.
+    row's codes; in each block of the index the `size` best are scored again on
+    the original vectors in double precision. Ties go to the smaller id.
+    Vectors that are null, zero, or hold a null or non-finite component take no
+    part, nor do rows without an id. Vectors of different lengths have no inner
+    product: each length is searched by itself. Rows that repeat an id are rows
+    of their own, as queries and as candidates; fewer candidates than k are all
+    returned; an empty table gives no rows; other columns are ignored.
     """
-    every = usable(df, id_col, vector_col)
-    length = every.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if length is None:
-        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = every.where(F.size("v") == length.d).groupBy("vec_id").agg(F.min_by(F.struct("v", "norm"), F.xxhash64("v")).alias("x")).select("vec_id", "x.v", "x.norm")
-    rows = materialize(rows)
-    quantiser = train(rows, books, words, train_rows)
-    queries = rows.where(is_query)
-    found = shortlist(build_index(rows, quantiser, beam), queries, quantiser, rows.count(), queries.count(), size)
-    pairs = found.join(rows.select("vec_id", "v"), "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    exact = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    scored = pairs.select("query_id", "vec_id", exact.alias("score"))
-    best = scored.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("cost"), "vec_id"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best")).select("query_id", (F.col("pos") + 1).alias("rank"), "col.vec_id", (-F.col("col.cost")).alias("score"))
+    every = materialize(usable(df, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()))
+    found = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for length in sorted(r.d for r in every.select(F.size("v").alias("d")).distinct().collect()):
+        rows = every.where(F.size("v") == length)
+        quantiser, queries = train(rows, books, words, train_rows), rows.where(is_query)
+        best = nearest(build_index(rows, quantiser, beam), queries, quantiser, rows.count(), queries.count(), k, size)
+        placed = best.select("query_id", F.posexplode("best"))
+        found = found.union(placed.select("query_id", (F.col("pos") + 1).alias("rank"), "col.vec_id", (-F.col("col.cost")).alias("score")))
+    return found
 
 
 def op2_additive(spark, sf_dir: str) -> DataFrame:
