@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import datetime
 import gzip
 import hashlib
 from collections.abc import Iterator
@@ -33,12 +34,12 @@ def _page(urn: str | None) -> int | None:
     return int(number) if number else None
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
     """One WARC/1.1 record, a gzip member of its own so that it can be read alone. A revisit keeps the HTTP header, which states the payload's length, without the payload."""
     revisit = refers_to is not None
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_urn(page_id)}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_urn(page_id)}", f"WARC-Date: {date}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {quote(url, safe=_URL_SAFE)}")
     head.append(f"WARC-Payload-Digest: sha1:{digest}")
@@ -72,14 +73,16 @@ def parse_record(record: bytes) -> dict:
     }
 
 
-def write_archives(pages: DataFrame, root: str, min_revisit_bytes: int = 0, segment_bytes: int = 1 << 30) -> DataFrame:
+def write_archives(pages: DataFrame, root: str, min_revisit_bytes: int = 0, segment_bytes: int = 1 << 30, date: str | None = None) -> DataFrame:
     """Write a record for every row of pages (page_id, url, html) below root; return the index.
 
     Each task writes segments of its own, named by attempt, and returns the
     index rows of just those: what a lost or repeated attempt has written is
     never referred to. Of equal payloads of min_revisit_bytes or more, the one
     with the largest page_id is the response that the others refer to; smaller
-    payloads are all responses.
+    payloads are all responses. Which rows are revisits is worked out on ids and
+    digests alone, and payloads then move once, dealt by page. `date` is every
+    record's WARC-Date, by default the time of the call.
 
     Null html is an empty payload; a null url gives no target; control
     characters in a url are percent-encoded; rows that repeat the largest
@@ -87,18 +90,13 @@ def write_archives(pages: DataFrame, root: str, min_revisit_bytes: int = 0, segm
     other, and payloads that only null page_ids have are responses; an empty
     table gives an empty index; other columns are ignored.
     """
+    date = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     records = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha1"))
-    shared = (
-        records.where(F.length("payload") >= min_revisit_bytes)
-        .groupBy("sha1")
-        .agg(F.max("page_id").alias("response"), F.count("*").alias("n"))
-        .where("n > 1 AND response IS NOT NULL")
-        .select("sha1", "response")
-    )
-    joined = records.join(shared, "sha1", "left").withColumn(
-        "refers_to", F.when(F.coalesce(F.col("page_id") < F.col("response"), F.col("response").isNotNull()), F.col("response"))
-    )
+    keys = records.where(F.length("payload") >= min_revisit_bytes).groupBy("page_id", "sha1").agg(F.count("*").alias("n"))
+    shared = keys.groupBy("sha1").agg(F.max("page_id").alias("response"), F.sum("n").alias("n")).where("n > 1 AND response IS NOT NULL").select("sha1", "response")
+    revisits = keys.join(shared, "sha1").where("page_id IS NULL OR page_id < response").select(F.col("page_id").alias("id"), F.col("sha1").alias("digest"), F.col("response").alias("refers_to"))
+    joined = records.join(revisits, records["page_id"].eqNullSafe(revisits["id"]) & (records["sha1"] == revisits["digest"]), "left")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = pafs.FileSystem.from_uri(root)
@@ -110,7 +108,7 @@ def write_archives(pages: DataFrame, root: str, min_revisit_bytes: int = 0, segm
                 rows = []
                 for page_id, url, body, sha1, refers_to in zip(*[batch.column(c) for c in ("page_id", "url", "payload", "sha1", "refers_to")], strict=True):
                     page_id, url, refers_to, digest = page_id.as_py(), url.as_py(), refers_to.as_py(), _base32(sha1.as_py())
-                    record = record_bytes(page_id, url, body.as_py(), digest, refers_to)
+                    record = record_bytes(page_id, url, body.as_py(), digest, refers_to, date)
                     if stream is None or at >= segment_bytes:
                         if stream is not None:
                             stream.close()
@@ -137,7 +135,9 @@ def read_records(index: DataFrame, root: str, gap_bytes: int = 1 << 16, read_byt
 
     Rows are ranged and sorted by archive and offset, so that each task reads a
     contiguous stretch of about task_bytes; neighbours at most gap_bytes apart are fetched by one
-    read of up to read_bytes (one record may be larger).
+    read of up to read_bytes (one record may be larger). An index row that
+    repeats gives its record again; an empty index gives no rows; a damaged
+    record raises an error.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
