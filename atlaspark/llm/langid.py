@@ -80,15 +80,14 @@ class Model:
         self._fill(np.array([place[r[0]] for r in rows], np.int64), np.array([r[1] for r in rows], np.uint32), np.array([r[2] for r in rows], np.float64))
 
     @classmethod
-    def of(cls, counted: pa.Table) -> Model:
-        """A model of a table (lang, gram, n), without a Python object for each row."""
-        model, langs = cls([]), counted.column("lang").combine_chunks().dictionary_encode()
-        names = langs.dictionary.to_pylist()
-        model.langs = sorted(names)
-        place = np.array([model.langs.index(lang) for lang in names], np.int64)
-        codes, n = (counted.column(c).to_numpy() for c in ("gram", "n"))
-        if len(codes):
-            model._fill(place[langs.indices.to_numpy()], codes.astype(np.uint32), n.astype(np.float64))
+    def of(cls, packed: list[tuple[str, bytes, bytes]]) -> Model:
+        """A model of blocks (lang, grams as 32-bit numbers, counts as 64-bit ones), without a Python object for each gram."""
+        model = cls([])
+        model.langs = sorted({lang for lang, _, _ in packed})
+        if packed:
+            grams_, n = (np.concatenate([np.frombuffer(row[i], kind) for row in packed]) for i, kind in ((1, np.uint32), (2, np.uint64)))
+            own = np.concatenate([np.full(len(row[1]) // 4, model.langs.index(row[0])) for row in packed])
+            model._fill(own, grams_, n.astype(np.float64))
         return model
 
     def _fill(self, own: np.ndarray, codes: np.ndarray, n: np.ndarray) -> None:
@@ -153,13 +152,22 @@ class Model:
 def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
     """A model of every text of the rows that have a language and a text.
 
-    Counts cover all rows and all are kept: a row for each language and four
-    bytes in sequence, which depends on the alphabets more than on the number of
-    rows. They go to the driver as Arrow columns; where they are more than it
-    may collect (spark.driver.maxResultSize), the job fails.
+    Counts cover all rows and all are kept: one for each language and four bytes
+    in sequence, which depends on the alphabets more than on the number of rows.
+    They go to the driver as arrays of twelve bytes a count; where they are more
+    than it may collect (spark.driver.maxResultSize), the job fails.
     """
-    rows = count_grams(df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")))
-    return Model.of(rows.toArrow())
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column(0).dictionary_encode()
+            codes, n = batch.column(1).to_numpy().astype(np.uint32), batch.column(2).to_numpy().astype(np.uint64)
+            own = [langs.indices.to_numpy() == i for i in range(len(langs.dictionary))]
+            yield pa.RecordBatch.from_arrays([langs.dictionary, *[pa.array([x[o].tobytes() for o in own], pa.binary()) for x in (codes, n)]], names=["lang", "grams", "n"])
+
+    rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    packed = count_grams(rows).mapInArrow(pack, "lang string, grams binary, n binary").collect()
+    return Model.of([(r.lang, bytes(r.grams), bytes(r.n)) for r in packed])
 
 
 def identify(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -199,10 +207,12 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def keep_known(df: DataFrame, model: Model, least: float = 0.5, lang_col: str = "lang", text_col: str = "text", texts_per_step: int = 256) -> DataFrame:
     """The rows whose language is found with a score of `least` or more, with all their columns; a null language is filled in.
 
-    If nothing was learned, all rows with a letter stay.
+    Null and empty texts and those without a letter go; if nothing was learned,
+    all rows with a letter stay. Repeated rows are judged alike; an empty table
+    gives no rows; without a column lang_col nothing is filled in.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    text, named = df.columns.index(text_col), df.columns.index(lang_col)
+    text, named = df.columns.index(text_col), df.columns.index(lang_col) if lang_col in df.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,7 +221,7 @@ def keep_known(df: DataFrame, model: Model, least: float = 0.5, lang_col: str =
                 texts = part.column(text).to_pylist()
                 lang, score = identify(shared.value, texts)
                 keep = score >= least if shared.value.langs else np.array([bool(t) and any(map(str.isalpha, t)) for t in texts])
-                if shared.value.langs:
+                if shared.value.langs and named is not None:
                     part = part.set_column(named, part.schema.field(named), pc.coalesce(part.column(named), pa.array(lang, part.schema.field(named).type)))
                 yield part.filter(pa.array(keep, pa.bool_()))
 
