@@ -4,7 +4,7 @@ The lexicon is learned from labelled documents: words and stems that hardly any
 clean document has. Its words form a trie; a text's words run against it as
 bit-parallel Levenshtein automata, so that misspelled terms are found as well.
 Hits that stand within quotation marks, or after a mark that announces a
-quotation, count apart from the others. A logistic model of these counts,
+quotation, only enter a count of their own. A logistic model of the counts,
 fitted on the same labelled documents, gives the score.
 """
 
@@ -25,10 +25,15 @@ from .langid import fold
 
 WORD = re.compile(r"\w+(?:[*@$!#]+\w+)*")
 QUOTES = re.compile("[\"“”«»„‟]|(?<!\\w)['‘’]|['‘’](?!\\w)")
-STEM, WINDOW = 4, 6
+#: Letters of the shortest word, the shortest and the longest stem; words of a quotation that no second mark ends.
+SHORTEST, STEM, LONGEST_STEM, WINDOW = 3, 4, 16, 6
+#: Words from a form to those by which its surroundings are told apart.
+APART = 5
+#: Signs that stand for letters in disguised words; as those letters they cost no edit.
+LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 #: The score from which a document counts as toxic.
 TOXIC = 0.3
-PRIOR = [2.0, 2.0, 1.5, 0.3, 0.5, 0.5]
+PRIOR = [2.0, 2.0, 1.5, 0.0, 0.5, 0.5]
 FEATURES = ["exact", "stem", "fuzzy", "quoted", "kinds", "density"]
 
 
@@ -39,9 +44,9 @@ def counts(df: DataFrame) -> DataFrame:
         seen = (Counter(), Counter())
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                words = {w for w in WORD.findall((text.as_py() or "").lower()) if STEM <= len(w) <= 40}
+                words = {w for w in WORD.findall((text.as_py() or "").lower()) if len(w) >= SHORTEST}
                 seen[toxic].update((w, False) for w in words)
-                seen[toxic].update({(w[:n], True) for w in words for n in range(STEM, len(w) + 1)})
+                seen[toxic].update({(w[:n], True) for w in words for n in range(STEM, min(len(w), LONGEST_STEM) + 1)})
         forms = sorted(set(seen[0]) | set(seen[1]))
         for at in range(0, len(forms), 50_000):
             part = forms[at : at + 50_000]
@@ -53,6 +58,30 @@ def counts(df: DataFrame) -> DataFrame:
     return df.select("text", "toxic").mapInArrow(run, "form string, stem boolean, toxic long, clean long").groupBy("form", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def surroundings(toxic_texts: DataFrame, forms: set[tuple[str, bool]]) -> dict[tuple[str, bool], int]:
+    """Between how many different pairs of words, APART words off, each (form, stem) stands where a text of (text) first has it."""
+    shared = toxic_texts.sparkSession.sparkContext.broadcast(forms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
+        for batch in batches:
+            found = []
+            for text in batch.column(0):
+                seen = set()
+                words = [""] * APART + WORD.findall((text.as_py() or "").lower()) + [""] * APART
+                for i in range(APART, len(words) - APART):
+                    w = words[i]
+                    for form in [(w, False), *((w[:n], True) for n in range(STEM, min(len(w), LONGEST_STEM) + 1))]:
+                        if form in wanted and form not in seen:
+                            seen.add(form)
+                            found.append((*form, f"{words[i - APART]} {words[i + APART]}"))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=["form", "stem", "sides"])
+
+    rows = toxic_texts.select("text").mapInArrow(run, "form string, stem boolean, sides string")
+    return {(r.form, r.stem): r.n for r in rows.groupBy("form", "stem").agg(F.countDistinct("sides").alias("n")).collect()}
+
+
 class Trie:
     """Words by letters: children of a node, and the word that ends there."""
 
@@ -73,15 +102,19 @@ class Trie:
         """The closest word within `most` edits (ties: first in order), by the automaton of `word` run over the trie.
 
         Bit i of state d: the first i letters are matched with at most d edits.
+        An edit is a letter more, less or other, or two neighbours swapped; a
+        sign that looks like a letter is that letter.
         """
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
-            masks[c] = masks.get(c, 0) | 1 << i
+            for looks in c + LOOKS.get(c, ""):
+                masks[looks] = masks.get(looks, 0) | 1 << i
         limit, accept = (1 << (len(word) + 1)) - 1, 1 << len(word)
         best: tuple[int, str] | None = None
-        stack = [(0, tuple(((1 << (d + 1)) - 1) & limit for d in range(most + 1)))]
+        start = tuple(((1 << (d + 1)) - 1) & limit for d in range(most + 1))
+        stack = [(0, start, (0,) * (most + 1), 0)]
         while stack:
-            node, states = stack.pop()
+            node, states, before, mask_before = stack.pop()
             ended = self.end[node]
             if ended is not None:
                 for d, state in enumerate(states):
@@ -94,17 +127,17 @@ class Trie:
                 for d, state in enumerate(states):
                     new = (state & mask) << 1
                     if d:
-                        new |= states[d - 1] | states[d - 1] << 1 | last << 1
+                        new |= states[d - 1] | states[d - 1] << 1 | last << 1 | ((before[d - 1] & mask) << 1 & mask_before) << 1
                     last = new & limit
                     out.append(last)
                 if last:
-                    stack.append((child, tuple(out)))
+                    stack.append((child, tuple(out), states, mask))
         return (best[1], best[0]) if best else None
 
 
 def edits(length: int) -> int:
     """Misspellings allowed in a word of so many letters."""
-    return 0 if length < 5 else 1 if length < 12 else 2
+    return 0 if length < 4 else 1 if length < 12 else 2
 
 
 @dataclass
@@ -117,13 +150,14 @@ class Lexicon:
 
     def __post_init__(self):
         self.tries: dict[int, Trie] = {}
-        # One edit leaves the first or the second half of a word as it is.
-        self.halves = ({w[: len(w) // 2] for w in self.words}, {w[len(w) // 2 :] for w in self.words})
-        self.lengths = tuple(sorted({len(h) for h in half}) for half in self.halves)
+        # One edit leaves the first or the last third of a word as it is, two leave the first, the last or some letters between.
+        self.ends = ({w[: len(w) // 3] for w in self.words if edits(len(w)) == 1}, {w[len(w) - len(w) // 3 :] for w in self.words if edits(len(w)) == 1})
+        self.sizes = tuple(sorted({len(x) for x in ends}) for ends in self.ends)
+        self.reach = [(len(w) - edits(len(w)), len(w) + edits(len(w)), edits(len(w))) for w in self.words]
         self.hits: dict[str, tuple[str, str]] = {}
         self.clean: set[str] = set()
 
-    def _look_up(self, words: set[str], most: int = 500_000) -> None:
+    def _look_up(self, words: set[str], most: int = 200_000) -> None:
         """Sort words into hits and clean ones; what is known is kept for the next texts, up to a bound."""
         if len(self.clean) > most:
             self.clean = set()
@@ -135,30 +169,35 @@ class Lexicon:
             else:
                 self.clean.add(w)
 
-    def _keeps_half(self, word: str) -> bool:
-        first, second = self.halves
-        return any(word[:n] in first for n in self.lengths[0]) or any(word[-n:] in second for n in self.lengths[1])
+    def _keeps_end(self, word: str) -> bool:
+        """Whether an end of the word, read with its signs as letters, is that of an entry that allows one edit."""
+        first, last = self.ends
+        return any(word[:n] in first for n in self.sizes[0]) or any(word[len(word) - n :] in last for n in self.sizes[1])
 
     def match(self, word: str) -> tuple[str, str] | None:
         """What kind of hit a lower-case word is, and of which entry."""
         if word in self.words:
             return ("exact", word)
-        for n in range(STEM, len(word) + 1):
+        for n in range(STEM, min(len(word), LONGEST_STEM) + 1):
             if word[:n] in self.stems:
                 return ("stem", word[:n])
-        allowed = edits(len(word)) if len(word) <= 40 and word not in self.ordinary else 0
-        if allowed and (allowed > 1 or self._keeps_half(word)) and (found := self._trie(len(word)).near(word, allowed)) and found[1] <= edits(len(found[0])):
-            return ("fuzzy", found[0])
-        return None
+        if word in self.ordinary or not self._trie(len(word)).next[0]:
+            return None
+        disguised = not word.isalpha()
+        most = max(e for low, high, e in self.reach if low <= len(word) <= high)
+        if most == 1 and not disguised and not self._keeps_end(word):
+            return None
+        found = self._trie(len(word)).near(word, most)
+        return ("fuzzy", found[0]) if found and found[1] <= edits(len(found[0])) else None
 
     def _trie(self, length: int) -> Trie:
-        """The words whose length lets them be within reach of a word of this length."""
+        """The words that a word of this length may be a misspelling of."""
         if length not in self.tries:
-            self.tries[length] = Trie(sorted(w for w in self.words if abs(len(w) - length) <= edits(length)))
+            self.tries[length] = Trie(sorted(w for w in self.words if abs(len(w) - length) <= edits(len(w))))
         return self.tries[length]
 
     def features(self, text: str | None) -> list[float]:
-        """Counts of a whole text's hits, as logarithms."""
+        """Counts of a whole text's hits, as logarithms; quoted hits have no part in the kinds and the density."""
         text = (text or "").lower()
         words = WORD.findall(text)
         n, kinds, distinct = Counter(), set(), set(words)
@@ -167,10 +206,13 @@ class Lexicon:
             quoted = Quotes(text)
             for m in WORD.finditer(text):
                 hit = self.hits.get(m.group())
-                if hit:
+                if hit and quoted.around(m.start(), m.end()):
+                    n["quoted"] += 1
+                elif hit:
                     kinds.add(hit[1])
-                    n["quoted" if quoted.around(m.start(), m.end()) else hit[0]] += 1
-        n["kinds"], total = len(kinds), sum(n.values())
+                    n[hit[0]] += 1
+        total = n.total() - n["quoted"]
+        n["kinds"] = len(kinds)
         return [float(np.log1p(n[f])) for f in FEATURES[:-1]] + [float(np.log1p(1000 * total / max(1, len(words))))]
 
 
@@ -193,18 +235,23 @@ class Quotes:
         return i >= 0 and end <= int(self.ends[i])
 
 
-def build_lexicon(rows: list, toxic: int, clean: int, least: int = 6, odds: float = 30.0, ordinary_least: int = 1) -> Lexicon:
-    """Forms that at least `least` toxic documents have, at `odds` times the rate of clean ones.
+def strong_forms(rows: list, toxic: int, clean: int, least: int = 6, odds: float = 30.0) -> list:
+    """Forms that at least `least` toxic documents have, at `odds` times the rate of clean ones."""
+    return [r for r in rows if r.toxic >= least and (r.toxic + 0.5) / (toxic + 1) >= odds * (r.clean + 0.5) / (clean + 1)]
+
+
+def build_lexicon(rows: list, strong: list, varied: dict[tuple[str, bool], int], least: int = 6, ordinary_least: int = 2) -> Lexicon:
+    """The strong forms that stand in at least `least` different surroundings: copies of one document count once.
 
     A stem must be shared: half as many documents again must have it as have its
-    commonest word. Of stems within each other the shortest is kept.
+    commonest word. Of stems within each other the shortest is kept. Words of
+    ordinary_least or more clean documents are never taken for misspellings.
     """
-    rate = lambda r: ((r.toxic + 0.5) / (toxic + 1)) / ((r.clean + 0.5) / (clean + 1))
-    strong = [r for r in rows if r.toxic >= least and rate(r) >= odds]
+    strong = [r for r in strong if varied.get((r.form, r.stem), 0) >= least]
     commonest: Counter = Counter()
     for r in rows:
         if not r.stem and r.toxic >= least:
-            for n in range(STEM, len(r.form) + 1):
+            for n in range(STEM, min(len(r.form), LONGEST_STEM) + 1):
                 commonest[r.form[:n]] = max(commonest[r.form[:n]], r.toxic)
     stems: set[str] = set()
     for r in sorted((r for r in strong if r.stem), key=lambda r: (len(r.form), r.form)):
@@ -238,15 +285,16 @@ class Model:
     weights: np.ndarray
 
     def score(self, text: str | None) -> float:
-        """The chance of label 1. Quotation never adds: a quoted hit weighs at most a quarter of a plain one."""
+        """The chance of label 1. Quotation never adds: quoted hits enter one count, and its weight is 0 or less."""
         return float(1 / (1 + np.exp(-np.clip(self.weights[0] + self.weights[1:] @ np.array(self.lexicon.features(text)), -30, 30))))
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model of the labelled documents, or of the most_rows that come first by a hash of their id.
 
-    Rows without a label, an id or a text teach nothing; without toxic or
-    without clean rows the score is the share of toxic ones (half without any).
+    Rows without a label, an id or a text teach nothing; a label that repeats
+    counts once, the largest; without toxic or without clean rows the score is
+    the share of toxic ones (half without any).
     """
     wanted = labels.where("toxic IN (0, 1)").groupBy(id_col).agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64(id_col), id_col).limit(most_rows)
     text = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
@@ -258,7 +306,10 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000, id_col: s
     none = Model(Lexicon(set(), set(), set()), np.array([np.log(prior / (1 - prior))] + [0.0] * len(FEATURES)))
     if not n1 or not n0:
         return none
-    lexicon = build_lexicon(counts(sample).where("toxic >= 5 OR NOT stem AND clean >= 1").collect(), n1, n0)
+    # Forms of the labelled sample only: most_rows documents.
+    forms = counts(sample).where("toxic >= 5 OR NOT stem AND clean >= 2").collect()
+    strong = strong_forms(forms, n1, n0)
+    lexicon = build_lexicon(forms, strong, surroundings(sample.where("toxic = 1"), {(r.form, r.stem) for r in strong}))
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,8 +319,8 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000, id_col: s
 
     rows = np.array(sample.mapInArrow(run, ", ".join(f"{f} double" for f in FEATURES) + ", toxic int").collect(), float)
     weights = fit(rows[:, :-1], rows[:, -1])
-    quoted, plain = FEATURES.index("quoted") + 1, [FEATURES.index(f) + 1 for f in ("exact", "stem", "fuzzy")]
-    weights[quoted] = min(weights[quoted], max(weights[plain].max() / 4, 0))
+    quoted = FEATURES.index("quoted") + 1
+    weights[quoted] = min(weights[quoted], 0.0)
     return Model(lexicon, weights)
 
 
@@ -291,7 +342,11 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
 
 def keep_clean(df: DataFrame, model: Model, least: float = TOXIC, text_col: str = "text") -> DataFrame:
-    """The rows whose whole text scores below `least`, with all their columns."""
+    """The rows whose whole text scores below `least`, with all their columns.
+
+    Null and empty texts have no hit and stay as such texts score; rows that
+    repeat are judged alike; an empty table gives no rows.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_col)
 
