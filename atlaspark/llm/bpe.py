@@ -74,8 +74,9 @@ SELECT place >> 32 AS word, list(id ORDER BY place) FILTER (id >= 0) AS ids, min
 ENCODE_LONG = _LONG.format(sound="least > last AND NOT hidden", some="NOT twin OR turn % 2 = 1")
 #: A turn contracts the leftmost pair of least rank only.
 ENCODE_OPEN = _LONG.format(sound="TRUE", some="nth = 1")
+#: A token's bytes are kept as characters of the same numbers.
 DECODE = """
-SELECT doc, string_agg(piece, '' ORDER BY place) AS bytes
+SELECT doc, array_to_string(list(piece ORDER BY place), '') AS bytes
 FROM ids JOIN vocabulary USING (id) GROUP BY doc ORDER BY doc
 """
 
@@ -91,7 +92,7 @@ class Codec:
         self.chunks = ChunkBytes(self._learn, cache_bytes)
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
-        self._table("vocabulary", pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "piece": [t.hex() for t in self.ranks]}))
+        self._table("vocabulary", pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "piece": [t.decode("latin-1") for t in self.ranks]}))
         # Every pair of tokens that make a token. hidden: contracting it before another one just after it can make a pair of lower rank.
         halves = [(left, right, rank) for token, rank in self.ranks.items() for cut in range(1, len(token)) if (left := self.ranks.get(token[:cut])) is not None and (right := self.ranks.get(token[cut:])) is not None]
         ends = np.array(halves, np.int32).reshape(-1, 3)
@@ -152,7 +153,7 @@ class Codec:
         self.db.unregister("ids")
         out = [b""] * len(sizes)
         for doc, text in zip(found.column("doc").to_pylist(), found.column("bytes"), strict=True):
-            out[doc] = bytes.fromhex(text.as_py())
+            out[doc] = text.as_py().encode("latin-1")
         return out
 
 

@@ -18,6 +18,8 @@ CHUNKS = re.compile(
 
 #: A plain word, with or without the space before it: a chunk, and one match of the pre-token patterns.
 PLAIN = re.compile("[ ]?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
+#: Marks of which one after a plain word is a chunk of its own.
+ENDS = frozenset(".,;:!?|$%&*#")
 
 
 @contextlib.contextmanager
@@ -78,7 +80,17 @@ class ChunkBytes:
         for k in keys.difference(young):
             if k in old:
                 found[k] = old[k]
-            elif isinstance(parts := self._parts(k), list):
+                continue
+            if type(k) is str:
+                piece = " " + k
+                if PLAIN(piece):
+                    atoms[k] = piece
+                    continue
+                if len(k) > 1 and k[-1] in ENDS and PLAIN(piece, 0, len(k)):
+                    joint[k] = (k[:-1], "\0" + k[-1])
+                    continue
+            parts = self._parts(k)
+            if isinstance(parts, list):
                 joint[k] = parts
             elif parts is None:
                 found[k] = None
@@ -86,17 +98,20 @@ class ChunkBytes:
                 atoms[k] = parts
         for parts in joint.values():
             for k in parts:
-                if k not in young and k not in found and k not in atoms:
+                if k not in young and k not in atoms:
                     if k in old:
                         found[k] = old[k]
                     else:
                         atoms[k] = k[1:] if k[:1] == "\0" else " " + k
         found.update(zip(atoms, self.learn(list(atoms.values())), strict=True))
-        for k, parts in joint.items():
-            found[k] = b"".join([found[p] if p in found else young[p] for p in parts])
-        self.passing = [k for k in found if len(k[0] if isinstance(k, tuple) else k) > self.longest]
-        self.held += sum([self.ENTRY + len(k) + len(v or b"") for k, v in found.items()])
         young.update(found)
+        get = young.__getitem__
+        joined = {k: b"".join(map(get, parts)) for k, parts in joint.items()}
+        young.update(joined)
+        self.passing = []
+        for part in (found, joined):
+            self.passing += [k for k in part if len(k) > self.longest or type(k) is tuple and len(k[0]) > self.longest]
+            self.held += len(part) * self.ENTRY + sum(map(len, part)) + sum(map(len, filter(None, part.values())))
         return young
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
