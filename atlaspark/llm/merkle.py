@@ -51,10 +51,23 @@ def likeness(left: Column, right: Column) -> Column:
     return F.when(most == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / most)
 
 
-def changed_paragraphs(left: Column, right: Column) -> Column:
-    """Places (from 0) of the paragraphs of `left` whose digest `right` does not have in the same place."""
-    places = F.sequence(F.lit(0), F.greatest(F.size(left) - 1, F.lit(0)))
-    return F.filter(places, lambda i: (i < F.size(left)) & ~F.get(left, i).eqNullSafe(F.get(right, i)))
+def edited_paragraphs(left: str = "", right: str = "other_") -> Column:
+    """Places (from 0) of the paragraphs of one tree that the other one does not have, by the columns that with_tree() adds under two prefixes.
+
+    Descends only where digests differ: equal roots have no edit, sections that
+    the other tree has as they are are left out, and of the others' paragraphs
+    those whose digest is nowhere in the other tree are the edits. Paragraphs are
+    matched by digest and not by place, so an inserted line is one edit of the
+    tree that has it and none of the other. A paragraph that occurs more often
+    in one tree than in the other is no edit.
+    """
+    own, other = (lambda c: F.col(f"{left}{c}")), (lambda c: F.col(f"{right}{c}"))
+    n = F.size(own("paragraphs"))
+    upto = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+    open_ = F.filter(upto(F.lit(0), F.size(own("sections")) - 1), lambda i: ~F.array_contains(other("sections"), F.get(own("sections"), i)))
+    lost = F.array_except(own("paragraphs"), other("paragraphs"))
+    within = lambda i: F.filter(upto(i * SECTION, F.least(i * SECTION + SECTION, n) - 1), lambda p: F.array_contains(lost, F.get(own("paragraphs"), p)))
+    return F.when(own("root") == other("root"), F.array().cast("array<int>")).otherwise(F.flatten(F.transform(open_, within)))
 
 
 def with_tree(df: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
