@@ -105,6 +105,20 @@ def test_search_recall(spark, n):
     assert hits >= 0.9 * total
 
 
+def test_search_keeps_tiny_huge_repeated_and_odd_vectors(spark):
+    tiny = [(i, [1e-170 * (i + 1), 1e-170]) for i in range(40)]
+    found = ann.search(spark.createDataFrame(tiny, "vec_id long, embedding array<double>"), "vec_id % 20 = 0", k=3, books=2, words=4, size=40)
+    assert found.count() == 6
+    huge = [(i, [1e200, 1e200 * i]) for i in range(3)]
+    found = ann.search(spark.createDataFrame(huge, "vec_id long, embedding array<double>"), "vec_id = 0", k=3, books=2, words=4, size=8)
+    assert sorted(r.vec_id for r in found.collect()) == [1, 2]
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [2.0, 0.0]), (20, [3.0]), (21, [1.0]), (40, [1.0, 1.0]), (0, [4.0, 0.0])]
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id % 20 = 0", k=9, books=2, words=4, size=8).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found if r.query_id == 20) == [(20, 1, 21, 3.0)]
+    assert sorted((r.rank, r.vec_id, r.score) for r in found if r.query_id == 40) == [(1, 0, 4.0), (2, 1, 2.0), (3, 0, 1.0), (4, 1, 1.0)]
+    assert sum(r.query_id == 0 for r in found) == 8
+
+
 def test_search_ties_go_to_the_smaller_id(spark):
     df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(60)], "vec_id long, embedding array<double>")
     found = ann.search(df, "vec_id = 40", k=5, books=2, words=4, size=8).orderBy("rank").collect()
@@ -124,6 +138,8 @@ def test_shards_have_equal_bytes_and_gapless_slots(spark, texts):
         by.setdefault(r.shard, []).append(r)
     for part in by.values():
         assert sorted(r.slot for r in part) == list(range(len(part)))
+    order = [(r.shard, r.slot) for r in sorted(rows, key=lambda r: (r.shard, r.slot))]
+    assert order == sorted(order)
     if len(texts) > 100:
         total = sum(r.size for r in rows)
         assert all(abs(sum(r.size for r in part) - total / 4) <= 400 for part in by.values()) and len(by) == 4
@@ -204,6 +220,17 @@ def test_repeated_personal_data_is_found_and_redacted(spark):
     assert pii.find(df.limit(0), field).count() == 0 and pii.train(df.limit(0)).skip > 0
 
 
+def test_mentions_that_the_patterns_miss_are_found(spark):
+    r = random.Random(9)
+    number = lambda: f"({r.randint(200, 999)}) {r.randint(200, 999)}-{r.randint(1000, 9999)}"
+    texts = [f"{prose(i, 6)} +1 {number()} {prose(i, 4)}" for i in range(300)] + [f"{prose(i, 5)} version 2.{i % 9}" for i in range(100)]
+    field = pii.train(documents(spark, texts))
+    missed = [number() for _ in range(40)]
+    found = [pii.find_spans(f"write to {m} soon", field) for m in missed]
+    assert sum(f == [(3, 9, 9 + len(m), False)] for f, m in zip(found, missed, strict=True)) >= 36
+    assert all(pii.find_spans(f"see version 2.{i} there", field) == [] for i in range(9))
+
+
 # WARC
 
 
@@ -223,11 +250,24 @@ def test_archives_round_trip(spark):
         if same == i:
             assert bytes(r.payload) == body
     assert got[None].record_type == "response"
+    import gzip
+    import glob
+
+    for path in glob.glob(root.removeprefix("file://") + "/*.warc.gz"):
+        with gzip.open(path) as f:
+            assert f.read().count(b"WARC-Date: 20") >= 1
     some = warc.read_records(index.where("page_id IN (1, 5)"), root).collect()
     assert sorted(r.page_id for r in some) == [1, 5]
     assert warc.write_archives(pages.limit(0), new_folder(spark, "warc")).count() == 0
 
 
+def test_a_repeated_and_a_null_page_share_one_payload(spark):
+    rows = [(7, "u", "same"), (7, "v", "same"), (None, "w", "same"), (3, "x", "same"), (7, "y", "other")]
+    root = new_folder(spark, "warc")
+    got = warc.read_records(warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), root), root).collect()
+    assert {r.url: (r.record_type, r.refers_to) for r in got} == {"u": ("response", None), "v": ("response", None), "w": ("revisit", 7), "x": ("revisit", 7), "y": ("response", None)}
+
+
 # Merkle trees
 
 
@@ -247,9 +287,17 @@ def test_merkle_roots_and_next_texts(spark):
         following = {r.doc_id: r.next_text for r in merkle.with_next_text(df, rows_per_range=per).collect()}
         assert following == {i: texts[(i + 1) % len(texts)] or "" for i in range(len(texts))}
     assert merkle.with_next_text(df.limit(0)).count() == 0
-    pair = spark.createDataFrame([("a b\nc d\ne f", "a b\nX d\ne f")], "l string, r string")
-    p = lambda c: merkle.paragraphs(merkle.leaves(F.col(c)))
-    assert pair.select(merkle.changed_paragraphs(p("l"), p("r")).alias("at")).first().at == [1]
+
+
+def test_edits_are_located_by_differing_branches(spark):
+    lines = [f"line {i} has words" for i in range(50)]
+    changed = [*lines[:20], "line twenty is new", *lines[21:]]
+    inserted = ["first of all", *lines]
+    cases = [(lines, lines, [], []), (lines, changed, [20], [20]), (lines, inserted, [], [0]), (lines, lines[5:], [0, 1, 2, 3, 4], []), ([], lines[:2], [], [0, 1]), ([], [], [], [])]
+    df = spark.createDataFrame([(i, "\n".join([*a, ""]) if a else None, "\n".join([*b, ""]) if b else "") for i, (a, b, _, _) in enumerate(cases)], "n int, text string, other string")
+    trees = merkle.with_tree(merkle.with_tree(df), "other", "other_")
+    got = trees.select("n", merkle.edited_paragraphs("", "other_").alias("gone"), merkle.edited_paragraphs("other_", "").alias("come")).orderBy("n").collect()
+    assert [(r.gone, r.come) for r in got] == [(gone, come) for _, _, gone, come in cases]
 
 
 # Language
@@ -358,10 +406,16 @@ def test_links_of_long_fingerprints_are_exact():
     for row in a:
         for bit in r.integers(0, 512, 60):
             row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    # Sixty differences, all within the first two words.
+    close = np.concatenate((base, base))
+    close[1, 0] ^= np.uint64((1 << 60) - 1)
     ids = np.arange(30)
     near = [(i, j) for i in range(30) for j in range(i) if int(np.bitwise_count(a[i] ^ a[j]).sum()) <= 95]
     u, v = simhash.local_links(a, a, ids, ids, 95, block_pairs=64)
     assert union_find(range(30), zip(u.tolist(), v.tolist(), strict=True)) == union_find(range(30), near)
+    assert [x.tolist() for x in simhash.local_links(close, close, ids[:2], ids[:2], 77)] == [[1], [0]]
+    opposite = np.stack((base[0, :4], ~base[0, :4]))
+    assert len(simhash.local_links(opposite, opposite, ids[:2], ids[:2], 80)[0]) == 0
 
 
 def test_one_of_each_group_stays(spark):
@@ -373,6 +427,17 @@ def test_one_of_each_group_stays(spark):
     assert kept == {0, 3, 4}
     repeated = documents(spark, texts).union(documents(spark, texts))
     assert simhash.keep_one(repeated).count() == 3
+    shared = spark.createDataFrame([(1, texts[0], "a"), (1, texts[3], "b"), (None, texts[3], "c"), (None, prose(8, 30), "d"), (2, texts[1], "e")], "doc_id long, text string, key string")
+    assert sorted(r.key for r in simhash.keep_one(shared).collect()) == ["a", "b", "d"]
+    assert simhash.keep_one(shared.limit(0)).count() == 0
+
+
+def test_a_group_of_many_tiles_is_checked_as_a_whole(spark):
+    texts = [f"{prose(7, 60)} copy {i} of many" for i in range(40)] + [prose(30 + i, 60) for i in range(10)]
+    rows = [(i, 0, len(simhash.shingle_set(t, 5)), t, *simhash.majority([simhash.shingle_set(t, 5)], 2).view(np.int64).tolist()) for i, t in enumerate(texts)]
+    members = spark.createDataFrame(rows, "node long, group long, size long, text string, w0 long, w1 long")
+    found = {r.node: r.component for r in graph.components(simhash.checked(members, 5, simhash.radius_of(0.8, 128), 0.8, tile_bytes=2000)).collect()}
+    assert found == dict.fromkeys(range(1, 40), 0)
 
 
 def test_kept_documents_are_those_of_all_pairs(spark):
@@ -412,24 +477,71 @@ def test_duckdb_bpe_is_the_library(spark):
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    texts = [*ODD, "\x1c\x1d x\x1c y", "don't I'LL 'sx ''s", "é́🦆🦆" * 100, "x\r\n\r\n y", "\x85 \x85z\0 \0", "1234 ½ ²a  ٣", "ab" * 700 + " 中文", "word, word. (word). a.\tb"]
+    texts = [*ODD, "\x1c\x1d x\x1c y", "don't I'LL 'sx ''s", "é́🦆🦆" * 100, "x\r\n\r\n y", "\x85 \x85z\0 \0", "1234 ½ ²a  ٣", "ab" * 700 + " 中文", "word, word. (word). a.\tb", prose(4, 900).replace(" ", ""), "a \0b\0 \0", "\1\n x", " " * 70 + "y" * 70 + "\n" * 70, "word " * 3]
     rows = bpe.decode(bpe.encode(documents(spark, texts), path, pattern), path, pattern).collect()
     for r in rows:
         assert r.ids == library.encode_ordinary(texts[r.id] or "") and bytes(r.bytes).decode() == (texts[r.id] or "")
     assert len(rows) == len(texts)
+    own = bpe.codec(path, pattern)
+    words = [w.encode() for w in ("x" * 3000, "ab" * 300, prose(3, 200).replace(" ", ""), "中文" * 100, "aaab" * 80)]
+    expected = [library.encode_ordinary(w.decode()) for w in words]
+    for sql in (bpe.ENCODE, bpe.ENCODE_LONG, bpe.ENCODE_OPEN):
+        part = slice(0, 5) if sql is bpe.ENCODE_LONG else slice(1, 5)
+        assert own._query(sql, words[part]).column("ids").to_pylist() == expected[part]
+    assert bpe.encode(documents(spark, []), path, pattern, decoded=True).count() == 0
+
+
+def test_a_word_whose_least_rank_falls_is_done_one_pair_at_a_time(tmp_path):
+    tokens = [bytes([b]) for b in range(256)] + [b"abc", b"ab", b"cab", b"abcab"]
+    path = tmp_path / "odd.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(tokens)))
+    own = bpe.Codec(str(path), r"[a-z]+")
+    words = [b"abcab" * 30 + b"x", b"ababc" * 40, b"cabab" * 40]
+    assert any(own._query(bpe.ENCODE_LONG, words).column("open").to_pylist())
+
+    def plain(word):
+        ids = [bytes([b]) for b in word]
+        while True:
+            ranked = [(own.ranks[ids[i] + ids[i + 1]], i) for i in range(len(ids) - 1) if ids[i] + ids[i + 1] in own.ranks]
+            if not ranked:
+                return [own.ranks[x] for x in ids]
+            _, i = min(ranked)
+            ids[i : i + 2] = [ids[i] + ids[i + 1]]
+
+    assert [np.frombuffer(x, np.int32).tolist() for x in own.words(words)] == [plain(w) for w in words]
+
+
+def test_kept_chunks_are_bounded():
+    from atlaspark.llm.text import ChunkBytes
+
+    asked = []
+
+    def learn(chunks):
+        asked.extend(chunks)
+        return [c.encode() for c in chunks]
+
+    own = ChunkBytes(learn, most_bytes=40_000, longest=10)
+    texts = [f"w{i} w{i}, common {'long' * 9}" for i in range(500)]
+    for t in [*texts, "a  b", "\n c"]:
+        assert b"".join(own.encode([t])) == t.encode()
+    assert own.held < 40_000 and len(own.young) + len(own.old) < 300
+    assert asked.count(" common") == 1 and asked.count(f" {'long' * 9}") == 500
 
 
 # Toxicity
 
 
 def edit_distance(a, b):
-    row = list(range(len(b) + 1))
+    """Letters more, less or other, and swaps of two neighbours, each once."""
+    rows = [list(range(len(b) + 1))]
     for i, x in enumerate(a, 1):
         new = [i]
         for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
+            new.append(min(rows[-1][j] + 1, new[-1] + 1, rows[-1][j - 1] + (x != y)))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                new[-1] = min(new[-1], rows[-2][j - 2] + 1)
+        rows.append(new)
+    return rows[-1][-1]
 
 
 def test_automaton_finds_the_nearest_word():
@@ -440,6 +552,9 @@ def test_automaton_finds_the_nearest_word():
         for _ in range(r.randint(0, 3)):
             w.insert(r.randint(0, len(w)), r.choice("abcmoi"))
             del w[r.randrange(len(w))]
+        if r.random() < 0.5 and len(w) > 1:
+            at = r.randrange(len(w) - 1)
+            w[at : at + 2] = w[at + 1], w[at]
         w = "".join(w)
         d, word = min((edit_distance(w, x), x) for x in words)
         assert trie.near(w, 2) == ((word, d) if d <= 2 else None)
@@ -456,6 +571,11 @@ def test_misspelled_and_quoted_terms(spark):
     assert score(prose(1, 20) + " worthles idi0t scumbaag, wortless") > 0.5
     quoted = prose(1, 20) + ' he said "worthless idiot" and '
     assert score(quoted) < score(quoted.replace('"', ""))
+    for quotation in ('"idiot"', 'he said "scumbag" to me', '"worthless idiot scumbag, idiot"'):
+        assert score(prose(1, 60) + quotation) < min(toxicity.TOXIC, score(prose(1, 60) + " " + quotation.replace('"', "")))
+    for disguised in ("idoit", "1d1ot", "idi0t", "wothless", "worthelss"):
+        assert model.lexicon.match(disguised)[0] == "fuzzy", disguised
+    assert toxicity.score(df.limit(0), model).count() == 0
     kept = {r.doc_id for r in toxicity.keep_clean(df, model).collect()}
     assert kept == {*range(150), 210}
     assert 0 < toxicity.train(df, labels.limit(0)).score("x") < 1
