@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import numbered
+
 #: Camera models that give one focal length before the principal point; all others give two.
 ONE_FOCAL = ("SIMPLE_PINHOLE", "SIMPLE_RADIAL", "RADIAL", "SIMPLE_RADIAL_FISHEYE", "RADIAL_FISHEYE")
 
@@ -215,3 +217,23 @@ def split_by_group(df: DataFrame, group: str, share: float, seed: int) -> DataFr
     """Add split: `val` for about a share of the groups, by an arithmetic hash of the group's number; a group is never divided."""
     mixed = F.pmod(F.col(group) * 2654435761 + seed, F.lit(4294967296))
     return df.withColumn("split", F.when(mixed < int(share * 4294967296), "val").otherwise("train"))
+
+
+def rescaled_camera(params: list[Column], real: list[Column], width: Column, height: Column) -> list[Column]:
+    """Focal lengths of a camera of a padded image for the real size, the principal point in the middle."""
+    ratio = F.greatest(*real) / F.greatest(width, height)
+    return [*[p * ratio for p in params], real[0] / 2, real[1] / 2]
+
+
+def located(items: DataFrame, queries: DataFrame, group: str, order: str, index: str) -> DataFrame:
+    """Queries by a place in all groups' items, one group after the other: with the group and the place within it."""
+    placed = numbered(items.select(group, order), [F.col(group), F.col(order)], "_place")
+    first = placed.groupBy(group).agg(F.min("_place").alias("_first"))
+    return queries.join(placed.select("_place", group), F.col(index) == F.col("_place")).join(first, group).withColumn("local", F.col("_place") - F.col("_first")).drop("_place", "_first")
+
+
+def consolidated_pairs(images: DataFrame, pairs: DataFrame, scene: str, image: str) -> DataFrame:
+    """Pairs (scene, src, dst) of images numbered within their scene, by numbers over all scenes in order."""
+    placed = numbered(images.select(scene, image), [F.col(scene), F.col(image)], "_place")
+    side = lambda c, n: placed.select(scene, F.col(image).alias(c), F.col("_place").alias(n))
+    return pairs.join(side("src", "first"), [scene, "src"]).join(side("dst", "second"), [scene, "dst"]).select(scene, "first", "second")

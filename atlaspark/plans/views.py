@@ -367,3 +367,46 @@ def best_threshold(spark, d):
 def macro_average(spark, d):
     """Mean over scenes of each scene's mean."""
     return metrics.macro(T.read(spark, d, "events").where("value > 5"), "value", ["event_type"]).select(r6(F.col("macro")).alias("macro"), "scenes")
+
+
+@query("""SELECT c_custkey, round((500 + c_acctbal / 100) * greatest(640 + c_nationkey, 480) / 518.0::DOUBLE, 6) AS fx, round((640 + c_nationkey) / 2.0::DOUBLE, 6) AS cx, 240.0::DOUBLE AS cy FROM customer""")
+def rescaled_cameras(spark, d):
+    """Cameras of square images at the real size."""
+    real = [F.col("c_nationkey") + 640, F.lit(480)]
+    fx, cx, cy = views.rescaled_camera([500 + F.col("c_acctbal") / 100], real, F.lit(518.0), F.lit(518.0))
+    return T.read(spark, d, "customer").select("c_custkey", r6(fx).alias("fx"), r6(cx).alias("cx"), cy.cast("double").alias("cy"))
+
+
+@query(f"""WITH {T.V_POINTS}, h AS (SELECT *, (l_orderkey * 2654435761 + 11) % 4294967296 AS h FROM v_points WHERE conf >= 4)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM h ORDER BY h, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice LIMIT 2000""")
+def export_points(spark, d):
+    """Certain points, at most two thousand in a seeded order."""
+    p = T.points(spark, d).where("conf >= 4")
+    mixed = F.pmod(F.col("l_orderkey") * 2654435761 + 11, F.lit(4294967296))
+    return p.orderBy(mixed, *T.POINT_ID).limit(2000).select(*T.POINT_ID)
+
+
+@query("""WITH i AS (SELECT c_nationkey, c_custkey, row_number() OVER (ORDER BY c_nationkey, c_custkey) - 1 AS place, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS local FROM customer)
+SELECT event_id, c_nationkey, local FROM events JOIN i ON place = event_id * 7 % 150""")
+def concatenated_lookup(spark, d):
+    """Data set and place in it of places in all data sets."""
+    q = T.read(spark, d, "events").select("event_id", (F.col("event_id") * 7 % 150).alias("at"))
+    return views.located(T.read(spark, d, "customer"), q, "c_nationkey", "c_custkey", "at").select("event_id", "c_nationkey", "local")
+
+
+@query("""WITH i AS (SELECT s_nationkey, s_suppkey, row_number() OVER (ORDER BY s_nationkey, s_suppkey) - 1 AS place FROM supplier) SELECT a.s_nationkey, a.place AS first, b.place AS second FROM i a JOIN i b ON a.s_nationkey = b.s_nationkey AND b.s_suppkey > a.s_suppkey""")
+def consolidated_pairs(spark, d):
+    """Pairs of all scenes by image numbers that run on from scene to scene."""
+    s = T.read(spark, d, "supplier").select("s_nationkey", "s_suppkey")
+    pairs = s.withColumnRenamed("s_suppkey", "src").join(s.withColumnRenamed("s_suppkey", "dst"), "s_nationkey").where("dst > src")
+    return views.consolidated_pairs(s, pairs, "s_nationkey", "s_suppkey")
+
+
+@query(f"""WITH {T.V_FRAMES}, n AS (SELECT DISTINCT printf('cam%d/%08d.jpg', cam, idx) AS name, cam, idx FROM v_frames), s AS (SELECT DISTINCT printf('cam%d/%08d.jpg', o_custkey % 4, o_orderkey % 800) AS name FROM orders)
+SELECT name, cam, idx FROM s JOIN n USING (name)""")
+def search_index(spark, d):
+    """Camera and time of the images that a search list names."""
+    name = lambda cam, idx: F.format_string("cam%d/%08d.jpg", cam, idx).alias("name")
+    n = T.frames(spark, d).select(name(F.col("cam"), F.col("idx")), "cam", "idx").distinct()
+    s = T.read(spark, d, "orders").select(name(F.col("o_custkey") % 4, F.col("o_orderkey") % 800)).distinct()
+    return s.join(n, "name")
