@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -14,8 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
-from .text import ChunkBytes
+from .common import materialize, table
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECE + ", sequence_id long, offset long"
@@ -59,29 +58,67 @@ class BestFit:
         return target, self.capacity - space
 
 
-class WordIds:
-    """Little-endian unsigned 32-bit ids of chunks of text, by a tokenizer file of the tokenizers library.
+def _byte_characters() -> dict[str, int]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
-    The file's pre-tokenizer must be byte level with its usual pattern: no token then spans two chunks.
-    """
 
-    def __init__(self, tokenizer_path: str):
-        # Tasks already use all cores; the library's own threads would each keep memory besides.
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+class TextIds:
+    """Ids of whole texts by a tokenizer file of the tokenizers library, special tokens only where a text spells them.
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.encode = ChunkBytes(self._learn).encode
+    A file of plain byte-level BPE whose merges stand in the order of their ids
+    is run by the tiktoken library, which gives the same ids in a sixth of the
+    time; any other file by the tokenizers library itself.
+    """
 
-    def _learn(self, chunks: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (x.ids for x in found)]
+    def __init__(self, tokenizer_path: str):
+        with open(tokenizer_path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.ranks = self._plain_ranks(spec)
+        if self.ranks is None:
+            # Tasks already use all cores; the library's own threads would each keep memory besides.
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        else:
+            import public_tokenizers
+            import tiktoken
+
+            added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+            self.coding = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens=added)
+
+    @staticmethod
+    def _plain_ranks(spec: dict) -> dict[bytes, int] | None:
+        model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+        options = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+        plain_added = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in spec["added_tokens"])
+        if model.get("type") != "BPE" or any(model.get(o) for o in options) or spec.get("normalizer") or not plain_added:
+            return None
+        if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+            return None
+        added, byte = {t["content"] for t in spec["added_tokens"]}, _byte_characters()
+        merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        if any(x >= y for x, y in zip(merged, merged[1:], strict=False)):
+            return None
+        return {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in added}
+
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        if self.ranks is None:
+            for found in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False):
+                yield np.array(found.ids, "<u4").tobytes()
+        else:
+            for t in texts:
+                yield self.coding.encode_to_numpy(t, allowed_special="all").astype("<u4", copy=False).tobytes() if t else b""
 
 
-@functools.lru_cache(maxsize=2)
-def word_ids(tokenizer_path: str) -> WordIds:
+@functools.lru_cache(maxsize=1)
+def text_ids(tokenizer_path: str) -> TextIds:
     """One tokenizer for each worker process."""
-    return WordIds(tokenizer_path)
+    return TextIds(tokenizer_path)
 
 
 def pieces(df: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text", texts_per_step: int = 256) -> DataFrame:
@@ -95,7 +132,7 @@ def pieces(df: DataFrame, tokenizer_path: str, capacity: int = 2048, separator:
     end = np.array([separator], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = word_ids(tokenizer_path)
+        own = text_ids(tokenizer_path)
         for batch in batches:
             for at in range(0, batch.num_rows, texts_per_step):
                 part, out = batch.slice(at, texts_per_step), ([], [], [], [], [])
@@ -112,14 +149,18 @@ def pieces(df: DataFrame, tokenizer_path: str, capacity: int = 2048, separator:
     return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, PIECE)
 
 
-def pack(parts: DataFrame, capacity: int = 2048, most_open: int = 1024) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = 2048, most_open: int = 1024, sequences_per_part: int = 16_384) -> DataFrame:
     """Add sequence_id and offset to pieces (length from 1 to capacity).
 
-    Pieces are dealt out evenly by a hash of all they are and packed in hash
-    order, so that the result does not depend on how the input was split and a
-    repeated task packs alike. Each partition leaves at most the last of its
-    open bins partly filled. Longer or empty pieces raise an error.
+    Pieces are written down, dealt out evenly by a hash of all they are to as
+    many parts as their total length asks for, and packed in hash order: the
+    result depends neither on how the input was split nor on the session's
+    partitions, and a repeated task packs alike. Each part leaves at most the
+    last of its open bins partly filled. Pieces that repeat are packed each; an
+    empty table gives no rows; longer or empty pieces raise an error.
     """
+    parts = materialize(parts)
+    total = parts.agg(F.sum("length")).first()[0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fit, first = BestFit(capacity, most_open), TaskContext.get().partitionId() << 40
@@ -132,7 +173,7 @@ def pack(parts: DataFrame, capacity: int = 2048, most_open: int = 1024) -> DataF
             yield pa.RecordBatch.from_arrays([*batch.columns, ids, offsets], names=[*batch.schema.names, "sequence_id", "offset"])
 
     order = F.xxhash64("doc_id", "piece", "start", "ids_crc32")
-    dealt = parts.repartition(order).sortWithinPartitions(order, "doc_id", "piece", "length")
+    dealt = parts.repartition(max(1, -(-total // (capacity * sequences_per_part))), order).sortWithinPartitions(order, "doc_id", "piece", "length")
     return dealt.mapInArrow(run, PACKED)
 
 
