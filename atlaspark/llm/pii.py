@@ -205,8 +205,18 @@ class Field:
         return belief / belief.sum(axis=1, keepdims=True)
 
 
+#: One or two digits; and features that only decide whether a pattern matches: learning also sees each labelled token without them.
+FEW = sum(1 << (1 + SIZES.index(n)) for n in (1, 2))
+MARKS = sum(1 << (2 + len(SIZES) + FLAGS.index(f)) for f in ("+", "luhn"))
+
+
 def _examples(texts: Iterator[str]) -> Counter:
-    """How often a token's label goes with its form, its neighbours' labels and its repetitions' labels."""
+    """How often a token's label goes with its form, its neighbours' labels and its repetitions' labels.
+
+    A labelled token counts once more with its evidence withheld (no neighbours,
+    no repetitions, no marks), so that mentions which the patterns miss can win
+    by what they look like; tokens of one or two digits look like nothing.
+    """
     seen: Counter = Counter()
     for text in texts:
         if not MARK.search(text):
@@ -219,6 +229,7 @@ def _examples(texts: Iterator[str]) -> Counter:
         np.add.at(near, (g.skip[:, 1], label[g.skip[:, 0]]), 1)
         np.add.at(near, (g.skip[:, 0], label[g.skip[:, 1]]), 1)
         seen.update(zip(label.tolist(), g.form.tolist(), left.tolist(), right.tolist(), map(tuple, np.minimum(near, 3).tolist()), strict=True))
+        seen.update((k, form & ~MARKS, -1, -1, (0,) * LABELS) for k, form in zip(label.tolist(), g.form.tolist(), strict=True) if k and not form & FEW)
     return seen
 
 
@@ -343,7 +354,11 @@ def redact(text: str, spans: list[tuple[int, int, int, bool]]) -> str:
 
 
 def redacted(df: DataFrame, field: Field, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """All rows and columns, personal data in the text replaced by its kind; length_col is the new text's length. Null texts stay null."""
+    """All rows and columns, personal data in the text replaced by its kind; length_col (if there is one) is the new text's length.
+
+    Null and empty texts stay as they are; rows that repeat are all returned; an
+    empty table gives no rows.
+    """
     shared = df.sparkSession.sparkContext.broadcast(field)
     at = df.columns.index(text_col)
 
