@@ -237,3 +237,9 @@ def consolidated_pairs(images: DataFrame, pairs: DataFrame, scene: str, image: s
     placed = numbered(images.select(scene, image), [F.col(scene), F.col(image)], "_place")
     side = lambda c, n: placed.select(scene, F.col(image).alias(c), F.col("_place").alias(n))
     return pairs.join(side("src", "first"), [scene, "src"]).join(side("dst", "second"), [scene, "dst"]).select(scene, "first", "second")
+
+
+def centred(df: DataFrame, coords: list[str]) -> DataFrame:
+    """Coordinates less their mean over all rows, which is one row."""
+    mean = df.agg(*[F.avg(c).alias(f"_{c}") for c in coords])
+    return df.crossJoin(F.broadcast(mean)).withColumns({c: F.col(c) - F.col(f"_{c}") for c in coords}).drop(*[f"_{c}" for c in coords])

@@ -134,11 +134,11 @@ def feature_average(spark, d):
 
 
 @query(f"""WITH {EDGE_ROWS}, s AS (SELECT src, dst, avg(conf_src) * avg(conf_dst) AS score FROM er WHERE src <> dst GROUP BY ALL)
-SELECT src, dst, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY least(src, dst), greatest(src, dst) ORDER BY round(score, 12) DESC, src) AS n FROM s) WHERE n = 1""")
+SELECT src, dst, round(score, 12) AS score FROM (SELECT *, row_number() OVER (PARTITION BY least(src, dst), greatest(src, dst) ORDER BY round(score, 12) DESC, src) AS n FROM s) WHERE n = 1""")
 def pair_direction(spark, d):
     """Of each two directions of a pair the one with more confidence."""
     s = _edge_rows(spark, d).where("src <> dst").groupBy("src", "dst").agg(F.round(F.avg("conf_src") * F.avg("conf_dst"), 12).alias("score"))
-    return views.best_direction(s).select("src", "dst", F.round("score", 9).alias("score"))
+    return views.best_direction(s)
 
 
 @query(f"WITH {T.V_EDGES} SELECT src, dst, round(score * (SELECT exp(0.5 - avg(ln(score))) FROM v_edges), 6) AS scaled FROM v_edges")
@@ -305,11 +305,11 @@ def scene_extent(spark, d):
     return T.points(spark, d).groupBy("l_suppkey").agg(r6(F.sqrt(spread("x") + spread("y") + spread("z"))).alias("extent"), F.round(disc("x"), 9).alias("cx"), F.round(disc("y"), 9).alias("cy"))
 
 
-@query(f"""WITH {T.V_POINTS}, m AS (SELECT avg(x) AS mx, avg(y) AS my FROM v_points) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, round(x - mx, 5) AS x, round(y - my, 5) AS y FROM v_points, m""")
+@query(f"""WITH {T.V_POINTS}, m AS (SELECT avg(x) AS mx, avg(y) AS my FROM v_points) SELECT frame_id, round(avg((x - mx) * (x - mx)), 6) AS x2, round(avg((y - my) * (y - my)), 6) AS y2 FROM v_points, m GROUP BY frame_id""")
 def centred_scene(spark, d):
-    """Points about the mean of all."""
-    p = T.points(spark, d)
-    return p.crossJoin(F.broadcast(p.agg(F.avg("x").alias("mx"), F.avg("y").alias("my")))).select(*T.POINT_ID, F.round(F.col("x") - F.col("mx"), 5).alias("x"), F.round(F.col("y") - F.col("my"), 5).alias("y"))
+    """How far each frame's points lie from the mean of all."""
+    p = views.centred(T.points(spark, d), ["x", "y"])
+    return p.groupBy("frame_id").agg(*[r6(F.avg(F.col(c) * F.col(c))).alias(f"{c}2") for c in "xy"])
 
 
 @query("SELECT user_id, count(CASE WHEN value <= 50 THEN value END) AS valid, count(*) AS n, round(avg(CASE WHEN value <= 50 THEN value END), 6) AS mean FROM events GROUP BY user_id")
