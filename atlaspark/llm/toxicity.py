@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 from .langid import fold
 
 WORD = re.compile(r"\w+(?:[*@$!#]+\w+)*")
@@ -298,8 +298,8 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000, id_col: s
     """
     wanted = labels.where("toxic IN (0, 1)").groupBy(id_col).agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64(id_col), id_col).limit(most_rows)
     text = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    # At most most_rows ids.
-    sample = text.join(F.broadcast(wanted), id_col).select("text", "toxic")
+    # At most most_rows ids; their documents are written down, so that the table is read once.
+    sample = materialize(text.join(F.broadcast(wanted), id_col).select("text", "toxic"))
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     prior = (n1 + 0.5) / (n1 + n0 + 1)
