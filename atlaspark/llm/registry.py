@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sharding", "warc", "merkle", "simhash", "bpe", "packing", "langid", "toxicity", "ann", "pii", "kneser", "phrases"]
+MODULES = ["sharding", "warc", "merkle", "simhash", "bpe", "packing", "langid", "toxicity", "ann", "pii", "kneser", "phrases", "audit"]
 
 
 def _gather(name: str) -> dict:
