@@ -70,26 +70,32 @@ class TextIds:
 
     A file of plain byte-level BPE whose merges stand in the order of their ids
     is run by the tiktoken library, which gives the same ids in a sixth of the
-    time; any other file by the tokenizers library itself.
+    time; any other file by the tokenizers library itself. So is a text that
+    tiktoken's pattern gives up on: one with a million spaces in a row, say.
     """
 
     def __init__(self, tokenizer_path: str):
+        self.path, self._library = tokenizer_path, None
         with open(tokenizer_path, encoding="utf-8") as f:
             spec = json.load(f)
         self.ranks = self._plain_ranks(spec)
-        if self.ranks is None:
-            # Tasks already use all cores; the library's own threads would each keep memory besides.
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
-
-            self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        else:
+        if self.ranks is not None:
             import public_tokenizers
             import tiktoken
 
             added = {t["content"]: t["id"] for t in spec["added_tokens"]}
             self.coding = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens=added)
 
+    @property
+    def library(self):
+        if self._library is None:
+            # Tasks already use all cores; the library's own threads would each keep memory besides.
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
+
     @staticmethod
     def _plain_ranks(spec: dict) -> dict[bytes, int] | None:
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
@@ -108,11 +114,16 @@ class TextIds:
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if self.ranks is None:
-            for found in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False):
+            for found in self.library.encode_batch_fast([t or "" for t in texts], add_special_tokens=False):
                 yield np.array(found.ids, "<u4").tobytes()
-        else:
-            for t in texts:
+            return
+        for t in texts:
+            try:
                 yield self.coding.encode_to_numpy(t, allowed_special="all").astype("<u4", copy=False).tobytes() if t else b""
+            except ValueError as error:
+                if "Regex error" not in str(error):
+                    raise
+                yield np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @functools.lru_cache(maxsize=1)
