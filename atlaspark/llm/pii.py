@@ -1,17 +1,19 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
 Patterns give the base spans. A document's tokens that hold a digit or an @
-form a graph: neighbours are joined by chain links, repeated or similar tokens
-by skip links, however far apart. Tokens of base spans are evidence; loopy
-message passing gives the others the label that their form, their neighbours
-and their repetitions call for.
+form a graph: neighbours are joined by chain links, mentions that may be of the
+same thing by skip links, however far apart: repeated, written otherwise, cut
+short or masked. Tokens of base spans are evidence; loopy message passing gives
+the others the label that their form, their neighbours and their other mentions
+call for. A number that fails its check digit, or one that is mostly masked, is
+found because of a mention that a pattern has found, and not by its form.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1
@@ -71,7 +73,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-FLAGS = ["@", "+", "(", ")", "-", ".", "=", "/", ":", "letters", "hex", "luhn", "four parts", "long"]
+#: Signs that stand for characters left out, two or more in a row (one after the last point of an address).
+MASK = re.compile("[*•#]{2,}|[xX]{2,}|[.][*•#xX]$")
+MASKED_GROUPS = re.compile("(?:[*•#xX]{2,}[\\x20-]?)+$")
+FLAGS = ["@", "+", "(", ")", "-", ".", "=", "/", ":", "letters", "hex", "luhn", "four parts", "long", "mask"]
 SIZES = (0, 1, 2, 3, 4, 6, 7, 9, 11, 15, 19)
 FEATURES = 1 + len(SIZES) + 1 + len(FLAGS)
 
@@ -86,11 +91,58 @@ def features(token: str) -> int:
         len(digits) >= 12 and luhn(digits),
         token.count(".") == 3 and not letters,
         len(token) > 24,
+        MASK.search(token) is not None,
     ]
     size = next((i for i, n in enumerate(SIZES) if len(digits) <= n), len(SIZES))
     return 1 | 1 << (1 + size) | sum(1 << (2 + len(SIZES) + i) for i, h in enumerate(holds) if h)
 
 
+GROUPS = re.compile("[0-9]+")
+
+
+def mention_keys(token: str, whole: bool = True) -> tuple[set[str], set[str], set[str]]:
+    """Under what a mention is met again: keys that any two mentions may share; keys of what it is in full, and keys of what it is a part or a masked form of.
+
+    Shared: all of it; its digits, and the last seven. In full and in part: the
+    first eight digits and a number of eight to eleven; the last four and a
+    masked number; an address and one with a masked name or without its domain;
+    the first three parts of an address of four and those before a masked one.
+    Some of a row of numbers (not whole) is met again as it is only.
+    """
+    if not whole:
+        digits = _digits(token)
+        return {x for x in (token.lower(), digits) if len(x) >= 6 and len(digits) * 2 >= len(token)}, set(), set()
+    low, digits, mask = token.lower(), _digits(token), MASK.search(token)
+    same, full, part = {low} if len(low) >= 6 and not mask else set(), set(), set()
+    if "@" in low[1:]:
+        local, _, domain = low.partition("@")
+        (part if mask else full).add(f"{local[0]}@{domain}")
+        full.add(f"{local}@")
+    elif mask:
+        groups = GROUPS.findall(token)
+        if len(groups) == 3 and MASK.search(token).group()[0] == ".":
+            part.add(".".join(groups))
+        elif len(digits) >= 4:
+            part.add(f"*{digits[-4:]}")
+    else:
+        groups = GROUPS.findall(token)
+        if len(groups) == 4 and all(len(g) <= 3 for g in groups):
+            same.add(".".join(groups))
+            full.add(".".join(groups[:3]))
+        if len(digits) >= 6 and len(digits) * 2 >= len(token):
+            same |= {digits, digits[-7:]}
+            if len(digits) >= 8:
+                full.add(f"*{digits[-4:]}")
+                (full if len(digits) > 11 else part).add(f"{digits[:8]}*")
+        if len(low) >= 4:
+            part.add(f"{low}@")
+    return same, full, part
+
+
+#: Tokens in a row that may be one number written in groups.
+MOST_GROUPS = 6
+
+
 @dataclass
 class Graph:
     """Tokens of one text with their forms and evidence (label 0: other, -1: open), and the links between them."""
@@ -104,7 +156,7 @@ class Graph:
     @classmethod
     def of(cls, text: str, base: list[tuple[int, int, int]]) -> Graph:
         spans, form, known, chain, skip = [], [], [], [], []
-        last: dict[str, int] = {}
+        cover: list[int] = []
         covers = sorted((a, b, k) for k, a, b in base)
         c, reach, m = 0, 0, MARK.search(text)
         while m:
@@ -118,28 +170,63 @@ class Graph:
                 a += 1
             while b > a and (text[b - 1] in EDGE or (text[b - 1] == ")" and "(" not in text[a:b])):
                 b -= 1
+            if a > start + 1 and set(text[start:a]) <= {"*", "#"}:
+                a = start
+            if b < stop and text[b - 1] == "." and text[b] in "*#":
+                b += 1
             while c < len(covers) and covers[c][1] <= a:
                 c += 1
-            label = next((k + 1 for x, y, k in covers[c : c + 4] if x < b and y > a), -1)
+            at = next((x for x in range(c, min(c + 4, len(covers))) if covers[x][0] < b and covers[x][1] > a), -1)
+            if at < 0 and b - a <= 6 and (before := MASKED_GROUPS.search(text, max(reach, a - 40), a)):
+                a = before.start()
             i = len(spans)
             if i and start - reach <= 2 and not text[reach:start].strip():
                 chain.append((i - 1, i))
-            token = text[a:b]
-            digits = _digits(token)
-            keys = {token.lower()} if len(token) >= 6 else set()
-            if len(digits) >= 6 and len(digits) * 2 >= len(token):
-                keys |= {digits, digits[-7:]}
-            for j in {last[k] for k in keys if k in last}:
-                skip.append((j, i))
-            last.update((k, i) for k in keys)
             spans.append((a, b))
-            form.append(features(token))
-            known.append(label)
+            form.append(features(text[a:b]))
+            cover.append(at)
+            known.append(covers[at][2] + 1 if at >= 0 else -1)
             reach = stop
             m = MARK.search(text, stop)
+        skip = cls._repetitions(text, spans, cover, covers, {i for _, i in chain})
         pairs = lambda x: np.array(x, np.int64).reshape(-1, 2)
         return cls(spans, np.array(form, np.int64), np.array(known, np.int64), pairs(chain), pairs(skip))
 
+    @staticmethod
+    def _repetitions(text: str, spans: list, cover: list[int], covers: list, chained: set[int]) -> list[tuple[int, int]]:
+        """Links between mentions that share a key: of others to the last base span and the last mention before, of a base span to all mentions since the last.
+
+        Mentions are base spans, other tokens, and up to MOST_GROUPS of those in
+        a row.
+        """
+        last: tuple[dict[str, list[int]], ...] = ({}, {}, {})
+        links: set[tuple[int, int]] = set()
+        i = 0
+        while i < len(spans):
+            j, is_base = i + 1, cover[i] >= 0
+            while j < len(spans) and (cover[j] == cover[i] if is_base else cover[j] < 0 and j in chained):
+                j += 1
+            if is_base:
+                mentions = [(i, j, mention_keys(text[covers[cover[i]][0] : covers[cover[i]][1]]))]
+            else:
+                rows = [(x, y) for x in range(i, j) for y in range(x + 1, min(j, x + MOST_GROUPS) + 1)]
+                mentions = [(x, y, mention_keys(text[spans[x][0] : spans[y - 1][1]], (x, y) == (i, j))) for x, y in rows]
+            for first, stop, found in mentions:
+                for own, others in ((found[0], last[0]), (found[1], last[2]), (found[2], last[1])):
+                    # By key: the last base span (-1: none), then other mentions since.
+                    for before in filter(None, map(others.get, own)):
+                        for t in before if is_base else {before[0], before[-1]}:
+                            links.update((t, x) for x in range(first, stop) if t >= 0)
+            for _, stop, found in mentions:
+                for own, others in zip(found, last, strict=True):
+                    for key in own:
+                        if is_base:
+                            others[key] = [stop - 1]
+                        else:
+                            others.setdefault(key, [-1]).append(stop - 1)
+            i = j
+        return sorted(links)
+
 
 def _onehot(form: np.ndarray) -> np.ndarray:
     return (form[:, None] >> np.arange(FEATURES) & 1).astype(float)
@@ -205,79 +292,133 @@ class Field:
         return belief / belief.sum(axis=1, keepdims=True)
 
 
-#: One or two digits; and features that only decide whether a pattern matches: learning also sees each labelled token without them.
-FEW = sum(1 << (1 + SIZES.index(n)) for n in (1, 2))
-MARKS = sum(1 << (2 + len(SIZES) + FLAGS.index(f)) for f in ("+", "luhn"))
+def _grouped(digits: str, sign: str) -> str:
+    return sign.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+
+
+def second_mentions(kind: int, text: str) -> list[str]:
+    """Other ways to write what a pattern has found, that no pattern finds."""
+    digits = _digits(text)
+    if kind == 0:
+        local, _, domain = text.partition("@")
+        return [f"{local[0]}***@{domain}", *[x for x in [local] if len(x) >= 4 and _digits(x)]]
+    if kind == 1:
+        parts = text.split(".")
+        return ["-".join(parts), ".".join([*parts[:3], "x"]), ".".join([*parts[:3], "*"])]
+    if kind == 2:
+        hidden = len(digits) - 4
+        return [_grouped(digits, "."), _grouped(digits, "/"), digits[:8], digits[:10], "*" * hidden + digits[-4:], _grouped("x" * hidden + digits[-4:], "-"), "xxxx " + digits[-4:]]
+    own = digits[-10:]
+    return [own, f"{own[:-7]}-{own[-7:-4]}-{own[-4:]}", f"{own[:-7]}.{own[-7:-4]}.{own[-4:]}", f"***-***-{digits[-4:]}"]
+
+
+LUHN = 1 << (2 + len(SIZES) + FLAGS.index("luhn"))
 
 
 def _examples(texts: Iterator[str]) -> Counter:
     """How often a token's label goes with its form, its neighbours' labels and its repetitions' labels.
 
-    A labelled token counts once more with its evidence withheld (no neighbours,
-    no repetitions, no marks), so that mentions which the patterns miss can win
-    by what they look like; tokens of one or two digits look like nothing.
+    What a pattern found also counts in the ways that no pattern finds (and, if
+    it passes a check digit, as one that fails it): with its own label beside a
+    mention of that label, and as nothing by itself. Tokens beside a found
+    mention of theirs that are not found themselves are left out, as their label
+    is not known.
     """
     seen: Counter = Counter()
     for text in texts:
         if not MARK.search(text):
             continue
-        g = Graph.of(text, base_spans(text))
+        base = base_spans(text)
+        g = Graph.of(text, base)
         label = np.maximum(g.known, 0)
         left, right = np.full(len(label), -1), np.full(len(label), -1)
         left[g.chain[:, 1]], right[g.chain[:, 0]] = label[g.chain[:, 0]], label[g.chain[:, 1]]
         near = np.zeros((len(label), LABELS), np.int64)
         np.add.at(near, (g.skip[:, 1], label[g.skip[:, 0]]), 1)
         np.add.at(near, (g.skip[:, 0], label[g.skip[:, 1]]), 1)
-        seen.update(zip(label.tolist(), g.form.tolist(), left.tolist(), right.tolist(), map(tuple, np.minimum(near, 3).tolist()), strict=True))
-        seen.update((k, form & ~MARKS, -1, -1, (0,) * LABELS) for k, form in zip(label.tolist(), g.form.tolist(), strict=True) if k and not form & FEW)
+        sure = (g.known >= 0) | (near[:, 1:].sum(axis=1) == 0)
+        rows = zip(label.tolist(), g.form.tolist(), left.tolist(), right.tolist(), map(tuple, np.minimum(near, 3).tolist()), strict=True)
+        seen.update(row for row, ok in zip(rows, sure.tolist(), strict=True) if ok)
+        own = {(k, f) for k, f in zip(label.tolist(), g.form.tolist(), strict=True) if k}
+        none = (0,) * LABELS
+        for kind, a, b in base:
+            forms = {features(x) for x in second_mentions(kind, text[a:b])}
+            if kind == 2:
+                forms.add(features(_digits(text[a:b])) & ~LUHN)
+            beside = tuple(int(x == kind + 1) for x in range(LABELS))
+            for f in forms:
+                if (kind + 1, f) not in own:
+                    seen[kind + 1, f, -1, -1, beside] += 1
+                    seen[0, f, -1, -1, none] += 1
     return seen
 
 
 #: Counted examples whose features are held at a time while fitting.
-EXAMPLES = 1 << 17
-
-
-def fit(examples: list[tuple], rounds: int = 400, rate: float = 0.1, ridge: float = 1.0, skip: float = 3.0) -> Field:
-    """Potentials by pseudo-likelihood, with a ridge around 0 and, for repetitions, around `skip`."""
-    field = Field(np.zeros((FEATURES, LABELS)), np.zeros((LABELS, LABELS)), skip)
-    if not examples:
-        field.form[0, 0] = 5.0
-        return field
-    y, form, left, right = (np.array([e[i] for e in examples], np.int64) for i in range(4))
-    near, n = np.array([e[4] for e in examples], float), np.array([e[5] for e in examples], float)
-    weight = n / n.sum()
-
-    def design(at: int) -> tuple:
-        own = slice(at, at + EXAMPLES)
-        sides = (np.where(s[own, None] >= 0, np.eye(LABELS)[s[own]], 0.0) for s in (left, right))
-        return _onehot(form[own]), np.eye(LABELS)[y[own]], *sides, near[own], weight[own, None]
-
-    starts = range(0, len(y), EXAMPLES)
-    ready = [design(0)] if len(starts) == 1 else None
-    moments = [np.zeros_like(field.form), np.zeros_like(field.chain), 0.0]
-    keep = ridge / n.sum()
+EXAMPLES = 1 << 11
+#: Parameters: of a form with a label, of two neighbours' labels, of agreement.
+SIZE = FEATURES * LABELS + LABELS * LABELS + 1
+
+
+def slope(examples: list[tuple], theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Pseudo-log-likelihood of counted examples, its gradient and (negative) curvature."""
+    value, first, second = 0.0, np.zeros(SIZE), np.zeros((SIZE, SIZE))
+    for at in range(0, len(examples), EXAMPLES):
+        part = examples[at : at + EXAMPLES]
+        y, form, left, right = (np.array([e[i] for e in part], np.int64) for i in range(4))
+        near, n, rows = np.array([e[4] for e in part], float), np.array([e[5] for e in part], float), np.arange(len(part))
+        x = np.zeros((len(part), LABELS, SIZE))
+        for k in range(LABELS):
+            x[:, k, k : FEATURES * LABELS : LABELS] = _onehot(form)
+            has = left >= 0
+            x[rows[has], k, FEATURES * LABELS + left[has] * LABELS + k] += 1
+            has = right >= 0
+            x[rows[has], k, FEATURES * LABELS + k * LABELS + right[has]] += 1
+        x[:, :, -1] = near
+        logits = x @ theta
+        logits -= logits.max(axis=1, keepdims=True)
+        p = np.exp(logits)
+        value += float(n @ (logits[rows, y] - np.log(p.sum(axis=1))))
+        p /= p.sum(axis=1, keepdims=True)
+        mean = np.einsum("nk,nks->ns", p, x)
+        first += n @ (x[rows, y] - mean)
+        spread, mean = (np.sqrt(n[:, None] * p)[:, :, None] * x).reshape(-1, SIZE), np.sqrt(n)[:, None] * mean
+        second += spread.T @ spread - mean.T @ mean
+    return value, first, second
+
+
+def fit(sums: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]], rounds: int = 60, ridge: float = 1.0, skip: float = 3.0) -> Field:
+    """Potentials by pseudo-likelihood with a ridge around 0 (for repetitions: around `skip`), from what slope() sums over all examples, by Newton's steps."""
+    start = np.zeros(SIZE)
+    start[-1] = skip
+    theta = best = start
+    before, step = -np.inf, start
     for _ in range(rounds):
-        steps = [-keep * field.form, -keep * field.chain, -keep * (field.skip - skip)]
-        for x, truth, has_left, has_right, near_, share in ready or map(design, starts):
-            logits = x @ field.form + has_left @ field.chain + has_right @ field.chain.T + field.skip * near_
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            gap = (truth - p) * share
-            for i, s in enumerate((x.T @ gap, has_left.T @ gap + gap.T @ has_right, (gap * near_).sum())):
-                steps[i] = steps[i] + s
-        for i, s in enumerate(steps):
-            moments[i] = 0.9 * moments[i] + s
-        field.form += rate * 20 * moments[0]
-        field.chain += rate * 20 * moments[1]
-        field.skip += rate * 20 * moments[2]
-    return field
+        value, first, second = sums(theta)
+        value -= ridge / 2 * float(((theta - start) ** 2).sum())
+        if value < before - 1e-9 * abs(before):
+            step = step / 2
+            theta = best + step
+            continue
+        best, before = theta, value
+        step = np.linalg.solve(second + ridge * np.eye(SIZE), first - ridge * (theta - start))
+        if np.abs(step).max() < 1e-5:
+            break
+        theta = best + step
+    form, chain = best[: FEATURES * LABELS].reshape(FEATURES, LABELS).copy(), best[FEATURES * LABELS : -1].reshape(LABELS, LABELS)
+    if not before:
+        form[0, 0] = 5.0  # nothing to learn from: everything is other
+    return Field(form, chain, float(best[-1]))
+
+
+EXAMPLE = "y int, form long, l int, r int, near array<int>, n long"
 
 
 def train(df: DataFrame, text_col: str = "text") -> Field:
     """Potentials from the tokens of all texts, labelled by the base spans.
 
-    Tokens are counted by form and surroundings, of which there are few; all
-    that occur go into the fit.
+    Tokens are counted by form and surroundings; all that occur go into the fit.
+    The counts stay in Spark: each step of the fit sums a gradient and a
+    curvature (SIZE and SIZE * SIZE numbers) over them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,9 +430,22 @@ def train(df: DataFrame, text_col: str = "text") -> Field:
             kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["y", "form", "l", "r", "near", "n"])
 
-    found = df.select(F.col(text_col).cast("string")).mapInArrow(run, "y int, form long, l int, r int, near array<int>, n long")
-    counted = found.groupBy("y", "form", "l", "r", "near").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "y", "form", "l", "r", "near")
-    return fit([(r.y, r.form, r.l, r.r, tuple(r.near), r.n) for r in counted.collect()])
+    found = df.select(F.col(text_col).cast("string")).mapInArrow(run, EXAMPLE)
+    counted = materialize(found.groupBy("y", "form", "l", "r", "near").agg(F.sum("n").alias("n")))
+
+    def sums(theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(1 + SIZE + SIZE * SIZE)
+            for batch in batches:
+                examples = [(y, form, left, right, tuple(near), n) for y, form, left, right, near, n in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+                total += np.concatenate([np.ravel(x) for x in slope(examples, theta)])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+        # A row of fixed size for each of the counts' partitions.
+        total = sum((np.frombuffer(r.sums) for r in counted.mapInArrow(add, "sums binary").toLocalIterator()), np.zeros(1 + SIZE + SIZE * SIZE))
+        return float(total[0]), total[1 : 1 + SIZE], total[1 + SIZE :].reshape(SIZE, SIZE)
+
+    return fit(sums)
 
 
 def find_spans(text: str, field: Field, least: float = 0.5) -> list[tuple[int, int, int, bool]]:

@@ -83,6 +83,13 @@ def test_packing_covers_every_token_once(spark):
     assert packing.pack(packing.pieces(documents(spark, ODD).limit(0), path)).count() == 0
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\t" * 2_000_000, "\n" * 2_000_000, "z" * 2_000_000, "a b" + " " * 1_200_000 + "c <|endoftext|>"])
+def test_ids_of_long_runs_are_the_tokenizers(text):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = np.frombuffer(next(packing.TextIds(path).encode([text])), "<u4")
+    assert ids.tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 # Search
 
 
@@ -194,17 +201,24 @@ def test_evidence_travels_along_a_long_skip_chain():
         exact = exact @ agree / (exact @ agree).sum()
 
 
-def test_rare_examples_are_fitted(spark, monkeypatch):
-    seen, fit = [], pii.fit
-    monkeypatch.setattr(pii, "_examples", lambda texts: pii.Counter({(0, 1 + 2 * (i % 5000), i // 5000 - 1, 0, (0,) * 5): 1 + (i < 20_000) for i in range(25_000)}) if list(texts) else pii.Counter())
-    monkeypatch.setattr(pii, "fit", lambda rows: seen.extend(rows))
-    pii.train(documents(spark, ["x 1"]).coalesce(1))
-    assert len(seen) == 25_000
+def test_the_fit_sums_all_examples_in_blocks_and_tasks(spark, monkeypatch):
     few = [(i % 5, 1 + 2 * (i % 64), i % 6 - 1, i % 4 - 1, (i % 2, 0, 1, 0, 0), 1 + i % 7) for i in range(300)]
-    whole = fit(few, rounds=30)
+    counted = pii.Counter({e[:5]: 0 for e in few})
+    for e in few:
+        counted[e[:5]] += e[5]
+    whole = pii.fit(lambda theta: pii.slope(few, theta))
     monkeypatch.setattr(pii, "EXAMPLES", 64)
-    parts = fit(few, rounds=30)
-    assert np.allclose(whole.form, parts.form) and np.allclose(whole.chain, parts.chain) and np.isclose(whole.skip, parts.skip)
+    parts = pii.fit(lambda theta: pii.slope(few, theta))
+    monkeypatch.setattr(pii, "_examples", lambda texts: pii.Counter(counted) if list(texts) else pii.Counter())
+    tasks = pii.train(documents(spark, ["x 1"]).coalesce(1))
+    for other in (parts, tasks):
+        assert np.allclose(whole.form, other.form) and np.allclose(whole.chain, other.chain) and np.isclose(whole.skip, other.skip)
+    theta = np.concatenate((whole.form.ravel(), whole.chain.ravel(), [whole.skip]))
+    _, first, second = pii.slope(few, theta)
+    start = np.append(np.zeros(pii.SIZE - 1), 3.0)
+    assert np.abs(first - (theta - start)).max() < 1e-3
+    move = np.random.default_rng(1).normal(size=pii.SIZE) * 1e-4
+    assert np.allclose(pii.slope(few, theta + move)[1] - first, -second @ move, rtol=1e-2, atol=1e-4)
 
 
 def test_repeated_personal_data_is_found_and_redacted(spark):
@@ -231,6 +245,47 @@ def test_mentions_that_the_patterns_miss_are_found(spark):
     assert all(pii.find_spans(f"see version 2.{i} there", field) == [] for i in range(9))
 
 
+def planted_mentions(n):
+    """Texts with a found mention, other ways to write it, and look-alikes that belong to nothing: (text, wanted spans)."""
+    r, out = random.Random(12), []
+    number = lambda k: "".join(str(r.randint(0, 9)) for _ in range(k))
+
+    def card(valid):
+        while True:
+            x = "4" + number(15)
+            if pii.luhn(x) == valid:
+                return x
+
+    for i in range(n):
+        own = card(True)
+        phone = f"+1 ({number(3)}) {r.randint(200, 999)}-{number(4)}"
+        host, mail = f"{r.randint(11, 250)}.{r.randint(11, 250)}.{r.randint(11, 250)}.{r.randint(11, 250)}", f"jo.{number(3)}@mail{i}.example.com"
+        first = [(2, " ".join(own[j : j + 4] for j in range(0, 16, 4))), (3, phone), (1, host), (0, mail)]
+        kind, found = first[i % 4]
+        second = r.choice([x for x in pii.second_mentions(kind, found) if not x.isalpha()])
+        strays = [card(False), "*" * 12 + number(4), f"{r.randint(251, 255)}.{number(2)}.9.x", f"k***@mail{i + 1000}.example.com", f"version 2.{i}", str(r.randint(1900, 2030))]
+        r.shuffle(strays)
+        parts = [found, second] if i % 3 else [second, found]
+        out.append((f"{prose(i, 5)} {parts[0]} {prose(i + 1, 6)} {strays[0]} {prose(i + 2, 4)} {parts[1]} {prose(i + 3, 5)} {strays[1]} of", kind, found, second))
+    return out
+
+
+def test_only_links_find_other_ways_to_write_what_a_pattern_found(spark):
+    planted = planted_mentions(400)
+    strays = [f"{prose(i, 8)} {4 * 10**15 + 7919 * i} {prose(i, 5)}" for i in range(200)]
+    field = pii.train(documents(spark, [*(p[0] for p in planted[:200]), *strays]))
+    off = pii.Field(field.form, field.chain, 0.0)
+    right = found = 0
+    for text, kind, first, second in planted[200:]:
+        added = [(k, text[a:b]) for k, a, b, base in pii.find_spans(text, field) if not base]
+        found += len(added)
+        right += sum(k == kind and x.strip("*x- ") in second for k, x in added)
+        assert [x for *x, base in pii.find_spans(text, field) if base] == [list(x) for x in sorted(pii.base_spans(text))]
+        assert not [x for x in pii.find_spans(text, off) if not x[3]]
+    assert right >= 190 and right >= 0.97 * found
+    assert not any(pii.find_spans(x, field) for x in strays[::2] if not pii.base_spans(x))
+
+
 # WARC
 
 
