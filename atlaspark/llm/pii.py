@@ -432,6 +432,7 @@ def train(df: DataFrame, text_col: str = "text") -> Field:
 
     found = df.select(F.col(text_col).cast("string")).mapInArrow(run, EXAMPLE)
     counted = materialize(found.groupBy("y", "form", "l", "r", "near").agg(F.sum("n").alias("n")))
+    counted = counted.coalesce(1 + counted.count() // (EXAMPLES * 16))
 
     def sums(theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
