@@ -172,8 +172,8 @@ class Graph:
                 b -= 1
             if a > start + 1 and set(text[start:a]) <= {"*", "#"}:
                 a = start
-            if b < stop and text[b - 1] == "." and text[b] in "*#":
-                b += 1
+            if text[b : b + 2] in (".*", ".#"):
+                b += 2
             while c < len(covers) and covers[c][1] <= a:
                 c += 1
             at = next((x for x in range(c, min(c + 4, len(covers))) if covers[x][0] < b and covers[x][1] > a), -1)
