@@ -228,15 +228,7 @@ def shortest_paths(edges: DataFrame, source: int, cost: str = "cost", small: int
             beside = defaultdict(list)
             for u, v, w in zip(rows.src.tolist(), rows.dst.tolist(), rows.w.tolist(), strict=True):
                 beside[u].append((v, w))
-            done: dict = {}
-            heap: list = [(0.0, 0, -1, source)]
-            while heap:
-                d, hops, before, u = heapq.heappop(heap)
-                if u not in done:
-                    done[u] = (d, hops, before)
-                    for v, w in beside[u]:
-                        if v not in done:
-                            heapq.heappush(heap, (d + w, hops + 1, u, v))
+            done = reached(beside, source)
             out = pd.DataFrame([(u, *rest) for u, rest in done.items()], columns=["node", "cost", "hops", "previous"])
             return out.assign(previous=out.previous.astype("Int64").where(out.node != source))
 
@@ -253,6 +245,20 @@ def shortest_paths(edges: DataFrame, source: int, cost: str = "cost", small: int
             return best
 
 
+def reached(beside: dict, source: int) -> dict:
+    """{node: (cost, hops, previous)} by the neighbours (node, cost) of each node; the source's previous is -1."""
+    done: dict = {}
+    heap: list = [(0.0, 0, -1, source)]
+    while heap:
+        d, hops, before, u = heapq.heappop(heap)
+        if u not in done:
+            done[u] = (d, hops, before)
+            for v, w in beside.get(u, ()):
+                if v not in done:
+                    heapq.heappush(heap, (d + w, hops + 1, u, v))
+    return done
+
+
 def path_nodes(tree: DataFrame, targets: DataFrame) -> DataFrame:
     """(target, place, node): the nodes on the path to each target (node), its source at place 0, of what shortest_paths returns.
 

@@ -53,15 +53,23 @@ def frame_pairs(frames: DataFrame, scheme: str, size: int = 3, cyclic: bool = Tr
     return pairs
 
 
+#: Cells further out count as these, so that they are numbers of 64 bits; equal cells only make candidates.
+FARTHEST = float(1 << 61)
+
+
+def _cell(c: Column, size: float) -> Column:
+    return F.floor(F.greatest(F.least(c / size, F.lit(FARTHEST)), F.lit(-FARTHEST))).cast("long")
+
+
 def _near_cells(df: DataFrame, coords: list[str], size: float, reach: int) -> DataFrame:
     """Rows repeated for each cell within reach of their own."""
     steps = F.array(*[F.struct(*[F.lit(s).cast("long").alias(f"s{a}") for a, s in enumerate(step)]) for step in itertools.product(range(-reach, reach + 1), repeat=len(coords))])
     spread = df.withColumn("_s", F.explode(steps))
-    return spread.withColumns({f"_c{a}": F.floor(F.col(c) / size).cast("long") + F.col(f"_s.s{a}") for a, c in enumerate(coords)}).drop("_s")
+    return spread.withColumns({f"_c{a}": _cell(F.col(c), size) + F.col(f"_s.s{a}") for a, c in enumerate(coords)}).drop("_s")
 
 
 def _own_cell(df: DataFrame, coords: list[str], size: float) -> DataFrame:
-    return df.withColumns({f"_c{a}": F.floor(F.col(c) / size).cast("long") for a, c in enumerate(coords)})
+    return df.withColumns({f"_c{a}": _cell(F.col(c), size) for a, c in enumerate(coords)})
 
 
 def radius_join(left: DataFrame, right: DataFrame, left_coords: list[str], right_coords: list[str], radius: float) -> DataFrame:
@@ -76,29 +84,47 @@ def radius_join(left: DataFrame, right: DataFrame, left_coords: list[str], right
     return pairs.withColumn("d2", d2).where(F.col("d2") <= radius * radius).drop(*keys)
 
 
+#: Rows that nearest() compares with all others.
+FEW = 256
+
+
 def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_coords: list[str], right_coords: list[str], size: float) -> DataFrame:
     """(left id, right id, d2): the nearest row of right for each row of left, ties to the smaller right id.
 
     Looks in the cells around each point, with cells twice as wide in each
     round, until the best found is nearer than anything outside can be; only
     rows not settled go into the next round, and they are repeated for the
-    cells around them, so that a round costs as much as it has open rows.
-    Rounds go on until all are settled. Rows with a coordinate that is no finite
-    number take no part; without any right row there is no result.
+    cells around them, so that a round costs as much as it has open rows. A
+    round that settles none goes on at the gap between both tables' extents.
+    The last FEW rows meet all of right at once. Rows with a coordinate that is
+    no finite number take no part; without any right row there is no result.
     """
     finite = lambda coords: is_finite(*coords)
     open_, found = materialize(left.where(finite(left_coords)).select(left_id, *left_coords)), None
     right = materialize(right.where(finite(right_coords)).select(right_id, *right_coords))
-    keys, radius, some = [f"_c{a}" for a in range(len(left_coords))], size, not right.isEmpty()
+    keys, radius = [f"_c{a}" for a in range(len(left_coords))], size
     d2 = sum(((F.col(a) - F.col(b)) * (F.col(a) - F.col(b)) for a, b in zip(left_coords, right_coords, strict=True)), F.lit(0.0))
-    while True:
+    best_of = lambda pairs: pairs.groupBy(left_id).agg(F.min(F.struct("d2", right_id)).alias("b")).select(left_id, F.col(f"b.{right_id}").alias(right_id), F.col("b.d2").alias("d2"))
+    extent = lambda df, coords: df.agg(*[f(c).cast("double") for c in coords for f in (F.min, F.max)]).first()
+    around = extent(right, right_coords)
+    if around[0] is None:
+        return best_of(open_.crossJoin(right.limit(0)).withColumn("d2", d2))
+    n = open_.count()
+    while n > FEW:
         pairs = _near_cells(open_, left_coords, radius, 1).join(_own_cell(right, right_coords, radius), keys).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
-        best = materialize(pairs.groupBy(left_id).agg(F.min(F.struct("d2", right_id)).alias("b")).select(left_id, F.col(f"b.{right_id}").alias(right_id), F.col("b.d2").alias("d2")))
+        best = materialize(best_of(pairs))
         found = best if found is None else found.unionByName(best)
         open_ = materialize(open_.join(best, left_id, "left_anti"))
-        if not some or open_.isEmpty():
-            return found
+        before, n = n, open_.count()
         radius *= 2
+        if n == before:
+            own = extent(open_, left_coords)
+            radius = max(radius, *(max(own[a] - around[a + 1], around[a] - own[a + 1]) for a in range(0, len(own), 2)))
+    if n:
+        # FEW rows at most.
+        last = best_of(right.crossJoin(F.broadcast(open_)).withColumn("d2", d2))
+        found = last if found is None else found.unionByName(last)
+    return found if found is not None else best_of(open_.crossJoin(right.limit(0)).withColumn("d2", d2))
 
 
 def reciprocal(forth: DataFrame, back: DataFrame, p: str, q: str) -> DataFrame:
