@@ -53,6 +53,14 @@ def frame_pairs(frames: DataFrame, scheme: str, size: int = 3, cyclic: bool = Tr
     return pairs
 
 
+def frame_combinations(frames: DataFrame, step: int, most: int, by: str = "cam", idx: str = "idx") -> DataFrame:
+    """(by, src, dst): pairs of a group's frames that are a multiple of `step` and at most `most` apart, both ways."""
+    i = frames.select(by, F.col(idx).alias("src")).distinct()
+    ahead = i.select(by, "src", F.explode(F.array(*[F.col("src") + s for s in range(step, most + 1, step)])).alias("dst"))
+    found = ahead.join(i.withColumnRenamed("src", "dst"), [by, "dst"]).select(by, "src", "dst")
+    return found.unionByName(found.select(by, F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
 #: Cells further out count as these, so that they are numbers of 64 bits; equal cells only make candidates.
 FARTHEST = float(1 << 61)
 

@@ -64,6 +64,14 @@ def tile_starts(length: int, tile: int, overlap: float) -> list[int]:
     return [round(i * (length - tile) / (n - 1)) for i in range(n)]
 
 
+def tiles(df: DataFrame, length: str, tile: int, overlap: float) -> DataFrame:
+    """Each row with the numbers and starts of tile_starts() for its length; a null length gives no rows."""
+    left, step = F.col(length) - tile, max(1, int(tile * (1 - overlap)))
+    spread = df.withColumn("_n", F.when(left <= 0, 1).otherwise(1 + F.ceil(left / step)).cast("int"))
+    spread = spread.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    return spread.withColumn("start", F.when(F.col("_n") == 1, 0).otherwise(F.bround(F.col("tile") * left / (F.greatest(F.col("_n"), F.lit(2)) - 1))).cast("int")).drop("_n")
+
+
 def blend_tiles(tiles: DataFrame, value: str = "value", conf: str = "conf", by: tuple[str, ...] = ("v", "u")) -> DataFrame:
     """Overlapping predictions of a pixel averaged by confidence."""
     return tiles.groupBy(*by).agg((F.sum(F.col(value) * F.col(conf)) / F.sum(conf)).alias(value))

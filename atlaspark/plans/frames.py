@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import frames, graph, raster
+from ..operators import frames, graph, joins, raster
 from ..sources import tables as T
 from .spatial import BEV_CELLS, _bev, r6
 
@@ -45,12 +45,10 @@ def scene_split(spark, d):
     return T.read(spark, d, "orders").groupBy(split.alias("split")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT CAST(a.range AS INTEGER) AS src, CAST(b.range AS INTEGER) AS dst FROM range(100) a, range(100) b WHERE abs(a.range - b.range) BETWEEN 1 AND 30 AND (a.range - b.range) % 5 = 0")
+@query(f"WITH {T.V_FRAMES}, i AS (SELECT DISTINCT cam, idx FROM v_frames) SELECT a.cam, a.idx AS src, b.idx AS dst FROM i a JOIN i b ON a.cam = b.cam AND abs(a.idx - b.idx) BETWEEN 1 AND 30 AND (a.idx - b.idx) % 5 = 0")
 def frame_combinations(spark, d):
-    """Pairs of frames a multiple of five apart, up to thirty."""
-    i = spark.range(100).select(F.col("id").cast("int").alias("src"))
-    steps = F.array(*[F.lit(s) for s in range(-30, 31, 5) if s])
-    return i.select("src", F.explode(steps).alias("s")).select("src", (F.col("src") + F.col("s")).alias("dst")).where("dst BETWEEN 0 AND 99")
+    """Pairs of a camera's frames a multiple of five apart, up to thirty."""
+    return joins.frame_combinations(T.frames(spark, d), 5, 30)
 
 
 @query(f"""WITH {BEV_CELLS}, ok AS (SELECT v, u FROM bev WHERE value = 100), q AS (SELECT a.v, a.u FROM ok a JOIN ok b ON b.v = a.v AND b.u = a.u + 1 JOIN ok c ON c.v = a.v + 1 AND c.u = a.u JOIN ok e ON e.v = a.v + 1 AND e.u = a.u + 1)
@@ -134,7 +132,10 @@ def fourier_features(spark, d):
     return e.select("event_id", r6(F.col("f")[0]).alias("s0"), r6(F.col("f")[2]).alias("s2"), r6(F.col("f")[4]).alias("c1"))
 
 
-@query("SELECT CAST(i AS INTEGER) AS tile, CAST(round_even(i * (100 - 30) / 4.0::DOUBLE, 0) AS INTEGER) AS start FROM range(5) t(i)")
+@query(f"""WITH {T.V_FRAMES}, l AS (SELECT cam, max(idx) + 1 AS length FROM v_frames GROUP BY cam),
+n AS (SELECT cam, length, CASE WHEN length <= 30 THEN 1 ELSE 1 + (length - 30 + 17) // 18 END AS n FROM l), t AS (SELECT cam, length, n, unnest(range(n)) AS i FROM n)
+SELECT cam, CAST(i AS INTEGER) AS tile, CASE WHEN n = 1 THEN 0 ELSE CAST(round_even(i * (length - 30) / (n - 1)::DOUBLE, 0) AS INTEGER) END AS start FROM t""")
 def tile_starts(spark, d):
-    """Starts of overlapping tiles along an edge of a hundred."""
-    return spark.createDataFrame(list(enumerate(raster.tile_starts(100, 30, 0.4))), "tile int, start int")
+    """Starts of overlapping tiles of thirty along each camera's frames."""
+    lengths = T.frames(spark, d).groupBy("cam").agg((F.max("idx") + 1).alias("length"))
+    return raster.tiles(lengths, "length", 30, 0.4).select("cam", "tile", "start")

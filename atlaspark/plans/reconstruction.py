@@ -88,10 +88,14 @@ def weiszfeld_scale(spark, d):
     return s.select("l_suppkey", r6(F.col("scale")).alias("scale"))
 
 
-@query(f"""WITH {T.V_POINTS} SELECT count(*) AS n, 1.7::DOUBLE AS scale, 1.0::DOUBLE AS r10, 1.0::DOUBLE AS tx, 3.0::DOUBLE AS tz FROM v_points""")
+@query(f"""WITH {T.V_POINTS}, m AS (SELECT x, y, z, 1.7 * (0.8 * x - 0.6 * y) + 1 AS qx, 1.7 * (0.6 * x + 0.8 * y) + 2 AS qy, 1.7 * z + 3 AS qz FROM v_points),
+a AS (SELECT avg(x) AS x, avg(y) AS y, avg(z) AS z, avg(qx) AS qx, avg(qy) AS qy, avg(qz) AS qz, count(*) AS n FROM m),
+s AS (SELECT max(a.n) AS n, sqrt(sum((m.qx - a.qx) ^ 2 + (m.qy - a.qy) ^ 2 + (m.qz - a.qz) ^ 2) / sum((m.x - a.x) ^ 2 + (m.y - a.y) ^ 2 + (m.z - a.z) ^ 2)) AS scale,
+  atan2(sum((m.x - a.x) * (m.qy - a.qy) - (m.y - a.y) * (m.qx - a.qx)), sum((m.x - a.x) * (m.qx - a.qx) + (m.y - a.y) * (m.qy - a.qy))) AS turn FROM m, a)
+SELECT s.n, round(scale, 6) AS scale, round(sin(turn), 6) AS r10, round(a.qx - scale * (cos(turn) * a.x - sin(turn) * a.y), 6) AS tx, round(a.qz - scale * a.z, 6) AS tz FROM s, a""")
 def similarity_fit(spark, d):
     """The transform of moved points, found again."""
     p = T.points(spark, d)
-    moved = p.select("x", "y", "z", *[c.alias(f"q{a}") for a, c in zip("xyz", align.linear([[0.0, -1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]], [F.col(a) for a in "xyz"], [1.0, 2.0, 3.0], 1.7), strict=True)])
+    moved = p.select("x", "y", "z", *[c.alias(f"q{a}") for a, c in zip("xyz", align.linear([[0.8, -0.6, 0.0], [0.6, 0.8, 0.0], [0.0, 0.0, 1.0]], [F.col(a) for a in "xyz"], [1.0, 2.0, 3.0], 1.7), strict=True)])
     s = align.similarity(moved, ["x", "y", "z"], ["qx", "qy", "qz"])
     return p.agg(F.count("*").alias("n")).select("n", F.lit(round(s.scale, 6)).alias("scale"), F.lit(round(float(s.rotation[1, 0]), 6)).alias("r10"), F.lit(round(float(s.shift[0]), 6)).alias("tx"), F.lit(round(float(s.shift[2]), 6)).alias("tz"))

@@ -67,32 +67,36 @@ def voxel_set_iou(spark, d):
     return metrics.set_iou(c, c.withColumn("j", F.col("j") + 1), ["i", "j", "k"])
 
 
-def _frame_ids(spark, n=24):
-    return spark.range(n).select(F.col("id").cast("int").alias("idx"))
+def _hours(spark, d):
+    """The hours of the day that frames have, as frames of one cycle."""
+    return T.frames(spark, d).select((F.col("idx") % 24).alias("idx")).distinct()
 
 
-@query("SELECT CAST(a.range AS INTEGER) AS src, CAST(b.range AS INTEGER) AS dst FROM range(24) a, range(24) b WHERE a.range <> b.range")
+HOURS = f"WITH {T.V_FRAMES}, h AS (SELECT DISTINCT idx % 24 AS f FROM v_frames), n AS (SELECT max(f) + 1 AS n FROM h)"
+
+
+@query(f"{HOURS} SELECT a.f AS src, b.f AS dst FROM h a, h b WHERE a.f <> b.f")
 def pair_complete(spark, d):
-    """All ordered pairs of frames."""
-    return joins.frame_pairs(_frame_ids(spark), "complete", symmetric=True)
+    """All ordered pairs of hours."""
+    return joins.frame_pairs(_hours(spark, d), "complete", symmetric=True)
 
 
-@query("SELECT DISTINCT CAST(least(a.range, (a.range + s.range + 1) % 24) AS INTEGER) AS src, CAST(greatest(a.range, (a.range + s.range + 1) % 24) AS INTEGER) AS dst FROM range(24) a, range(3) s")
+@query(f"{HOURS} SELECT DISTINCT CAST(least(f, (f + s.range + 1) % n) AS INTEGER) AS src, CAST(greatest(f, (f + s.range + 1) % n) AS INTEGER) AS dst FROM h, n, range(3) s")
 def pair_swin(spark, d):
-    """Pairs within a sliding window around the cycle."""
-    return joins.frame_pairs(_frame_ids(spark), "swin", 3)
+    """Pairs of hours within a sliding window around the cycle."""
+    return joins.frame_pairs(_hours(spark, d), "swin", 3)
 
 
-@query("SELECT CAST(a.range AS INTEGER) AS src, CAST(a.range + (1 << s.range) AS INTEGER) AS dst FROM range(24) a, range(4) s WHERE a.range + (1 << s.range) < 24")
+@query(f"{HOURS} SELECT f AS src, CAST(f + (1 << s.range) AS INTEGER) AS dst FROM h, n, range(4) s WHERE f + (1 << s.range) < n")
 def pair_logwin(spark, d):
-    """Pairs at distances of powers of two, not around the cycle."""
-    return joins.frame_pairs(_frame_ids(spark), "logwin", 4, cyclic=False)
+    """Pairs of hours at distances of powers of two, not around the cycle."""
+    return joins.frame_pairs(_hours(spark, d), "logwin", 4, cyclic=False)
 
 
-@query("SELECT CAST(3 AS INTEGER) AS src, CAST(range AS INTEGER) AS dst FROM range(24) WHERE range <> 3")
+@query(f"{HOURS} SELECT CAST(3 AS INTEGER) AS src, f AS dst FROM h WHERE f <> 3")
 def pair_oneref(spark, d):
-    """Pairs with one reference frame."""
-    return joins.frame_pairs(_frame_ids(spark), "oneref", 3)
+    """Pairs with one reference hour."""
+    return joins.frame_pairs(_hours(spark, d), "oneref", 3)
 
 
 @query(f"WITH {T.V_EDGES} SELECT src, dst, round(score, 9) AS score FROM v_edges WHERE least(abs(src - dst), abs(src + 24 - dst), abs(src - 24 - dst)) <= 4")

@@ -114,16 +114,19 @@ def bev_resample(spark, d):
     return out.select("id", r6(F.col("value")).alias("value"))
 
 
-@query(f"""WITH {T.V_CELLS}, b AS (SELECT a.range AS i, b.range AS j, c.range AS k FROM range(10) a, range(10) b, range(6) c), o AS (SELECT DISTINCT i, j, k FROM v_cells WHERE epoch = 3),
-x AS (SELECT b.*, CASE WHEN o.i IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS p FROM b LEFT JOIN o USING (i, j, k)),
-w AS (SELECT b.i, b.j, b.k, least(greatest(b.i + s.range - 1, 0), 9) AS ii, least(greatest(b.j + t.range - 1, 0), 9) AS jj, least(greatest(b.k + u.range - 1, 0), 5) AS kk FROM b, range(3) s, range(3) t, range(3) u)
-SELECT w.i, w.j, w.k, round(sum(x.p) / 27, 6) AS p FROM w JOIN x ON x.i = ii AND x.j = jj AND x.k = kk GROUP BY ALL""")
+@query(f"""WITH {T.V_CELLS}, t AS (SELECT max(i) + 1 AS ni, max(j) + 1 AS nj, max(k) + 1 AS nk FROM v_cells), o AS (SELECT i, j, k, max(tax) AS p FROM v_cells GROUP BY ALL),
+b AS (SELECT a.range AS i, b.range AS j, c.range AS k FROM t, range(t.ni) a, range(t.nj) b, range(t.nk) c),
+w AS (SELECT b.i, b.j, b.k, least(greatest(b.i + s.range - 1, 0), ni - 1) AS ii, least(greatest(b.j + r.range - 1, 0), nj - 1) AS jj, least(greatest(b.k + u.range - 1, 0), nk - 1) AS kk FROM b, t, range(3) s, range(3) r, range(3) u)
+SELECT w.i, w.j, w.k, round(sum(coalesce(o.p, 0)) / 27, 6) AS p FROM w LEFT JOIN o ON o.i = ii AND o.j = jj AND o.k = kk GROUP BY ALL""")
 def box_blur(spark, d):
-    """A block of occupancy averaged over neighbours."""
+    """The whole block of cells, each with the mean of its neighbourhood's highest values."""
+    cells = T.cells(spark, d)
+    top = cells.agg(F.max("i"), F.max("j"), F.max("k")).first()
+    size = [0 if t is None else t + 1 for t in top]
     axes = lambda n, c: spark.range(n).select(F.col("id").alias(c))
-    dense = axes(10, "i").crossJoin(axes(10, "j")).crossJoin(axes(6, "k"))
-    seen = T.cells(spark, d).where("epoch = 3").select("i", "j", "k").distinct().withColumn("p", F.lit(1.0))
-    return raster.box_blur(dense.join(seen, ["i", "j", "k"], "left").fillna(0.0, ["p"]), "p", [10, 10, 6]).select("i", "j", "k", r6(F.col("p")).alias("p"))
+    dense = axes(size[0], "i").crossJoin(axes(size[1], "j")).crossJoin(axes(size[2], "k"))
+    seen = cells.groupBy("i", "j", "k").agg(F.max("tax").alias("p"))
+    return raster.box_blur(dense.join(seen, ["i", "j", "k"], "left").fillna(0.0, ["p"]), "p", size).select("i", "j", "k", r6(F.col("p")).alias("p"))
 
 
 @query(f"""WITH {T.V_CELLS} SELECT j AS v, i AS u, round(sum(k * tax) / sum(tax), 6) AS value FROM v_cells WHERE tax > 0 GROUP BY ALL""")

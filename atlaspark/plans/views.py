@@ -387,11 +387,12 @@ def export_points(spark, d):
 
 
 @query("""WITH i AS (SELECT c_nationkey, c_custkey, row_number() OVER (ORDER BY c_nationkey, c_custkey) - 1 AS place, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS local FROM customer)
-SELECT event_id, c_nationkey, local FROM events JOIN i ON place = event_id * 7 % 150""")
+SELECT event_id, c_nationkey, local FROM events JOIN i ON place = event_id * 7 % (SELECT count(*) FROM customer)""")
 def concatenated_lookup(spark, d):
     """Data set and place in it of places in all data sets."""
-    q = T.read(spark, d, "events").select("event_id", (F.col("event_id") * 7 % 150).alias("at"))
-    return views.located(T.read(spark, d, "customer"), q, "c_nationkey", "c_custkey", "at").select("event_id", "c_nationkey", "local")
+    customers = T.read(spark, d, "customer")
+    q = T.read(spark, d, "events").select("event_id", (F.col("event_id") * 7 % F.lit(customers.count())).alias("at"))
+    return views.located(customers, q, "c_nationkey", "c_custkey", "at").select("event_id", "c_nationkey", "local")
 
 
 @query("""WITH i AS (SELECT s_nationkey, s_suppkey, row_number() OVER (ORDER BY s_nationkey, s_suppkey) - 1 AS place FROM supplier) SELECT a.s_nationkey, a.place AS first, b.place AS second FROM i a JOIN i b ON a.s_nationkey = b.s_nationkey AND b.s_suppkey > a.s_suppkey""")
