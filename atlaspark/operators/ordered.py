@@ -32,19 +32,39 @@ def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFra
     return rows.join(shift, "_part").withColumn(name, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
 
 
-def quantiles_by(df: DataFrame, by: list[str], value: str, qs: list[float]) -> DataFrame:
+#: Different values (by group) of which one task each group's percentiles may take.
+FEW = 1_000_000
+
+
+def quantiles_by(df: DataFrame, by: list[str], value: str, qs: list[float], few: int = FEW) -> DataFrame:
     """(by.., q0, q1, ..): exact quantiles of the values that are numbers, on the straight line between neighbours.
 
-    All rows are put in one order of (by, value), so that neither a group nor
-    the whole table meets in one task; null and NaN values are left out, and so
-    are groups without any other.
+    Equal values are counted first, so that a value that very many rows have is
+    one row. Up to `few` different ones go into percentiles by count; more are
+    put in one order of (by, value), with how many rows stand before each, so
+    that neither a group nor the whole table meets in one task. Null and NaN
+    values are left out, and so are groups without any other.
     """
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*by, F.col(value).cast("double").alias("_v"))
-    placed = numbered(rows, [*[F.col(c) for c in by], F.col("_v")], "_i")
-    groups = placed.groupBy(*by).agg(F.min("_i").alias("_first"), F.count("*").alias("_n")).where("_n > 0")
-    at = F.posexplode(F.array(*[F.lit(float(q)) for q in qs])).alias("_q", "_x")
-    wanted = groups.select(*by, "_first", "_n", at).withColumn("_p", F.col("_x") * (F.col("_n") - 1)).withColumn("_low", F.floor("_p"))
-    wanted = wanted.select(*by, "_q", F.explode(F.array(F.struct((F.col("_first") + F.col("_low")).alias("i"), (1 - (F.col("_p") - F.col("_low"))).alias("w")), F.struct((F.col("_first") + F.ceil("_p")).alias("i"), (F.col("_p") - F.col("_low")).alias("w")))).alias("_e"))
-    found = wanted.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_q", F.col("_e.i").alias("_i"), F.col("_e.w").alias("_w")).join(placed.select("_i", "_v"), "_i")
-    value_of = [F.sum(F.when(F.col("_q") == k, F.when(F.col("_w") == 0, 0.0).otherwise(F.col("_w") * F.col("_v")))).alias(f"q{k}") for k in range(len(qs))]
-    return found.groupBy(*[F.col(f"_by_{c}").alias(c) for c in by]).agg(*value_of)
+    counts = materialize(rows.groupBy(*by, "_v").agg(F.count("*").alias("_n")))
+    names = [f"q{k}" for k in range(len(qs))]
+    if counts.count() <= few:
+        found = counts.groupBy(*by).agg(F.percentile("_v", F.array(*[F.lit(float(q)) for q in qs]), F.col("_n")).alias("_q")).where("_q IS NOT NULL")
+        return found.select(*by, *[F.get("_q", F.lit(k)).alias(c) for k, c in enumerate(names)])
+    placed = ranged(counts, [*[F.col(c) for c in by], F.col("_v")])
+    parts = placed.groupBy("_part").agg(F.sum("_n").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # One row for each range, of which there are as many as partitions.
+    shift = F.broadcast(parts.select("_part", before.alias("_shift")))
+    own = F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = materialize(placed.withColumn("_own", own).join(shift, "_part").withColumn("_i", F.col("_own") + F.col("_shift")).select(*by, "_v", "_n", "_i"))
+    groups = placed.groupBy(*by).agg(F.min("_i").alias("_first"), F.sum("_n").alias("_total"))
+    joined = placed.alias("p").join(groups.alias("g"), [F.col(f"p.{c}").eqNullSafe(F.col(f"g.{c}")) for c in by]) if by else placed.alias("p").crossJoin(F.broadcast(groups.alias("g")))  # one row
+    at = F.col("_i") - F.col("_first")
+    holds = lambda place: (place >= at) & (place < at + F.col("_n"))
+    sums = []
+    for q, name in zip(qs, names, strict=True):
+        place = (F.col("_total") - 1) * float(q)
+        low, share = F.floor(place), place - F.floor(place)
+        sums.append(F.sum(F.when(holds(low), F.col("_v") * (1 - share)).otherwise(0.0) + F.when(holds(F.ceil(place)) & (share > 0), F.col("_v") * share).otherwise(0.0)).alias(name))
+    return joined.groupBy(*[F.col(f"p.{c}") for c in by]).agg(*sums)

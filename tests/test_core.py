@@ -156,7 +156,10 @@ def test_quantiles_are_exact_in_any_number_of_ranges(spark):
     r = np.random.default_rng(0)
     values = [(i % 3, float(v)) for i, v in enumerate(r.integers(0, 50, 500))] + [(0, None), (1, float("nan")), (4, None)]
     df = spark.createDataFrame(values, "g int, v double").repartition(7)
-    got = {x.g: (x.q0, x.q1) for x in ordered.quantiles_by(df, ["g"], "v", [0.1, 0.77]).collect()}
+    numbers = [v for _, v in values if v is not None and v == v]
     want = {g: tuple(np.quantile([v for k, v in values if k == g and v is not None and v == v], [0.1, 0.77])) for g in range(3)}
-    assert got.keys() == want.keys() and all(np.allclose(got[g], want[g]) for g in want)
+    for few in (0, ordered.FEW):
+        got = {x.g: (x.q0, x.q1) for x in ordered.quantiles_by(df, ["g"], "v", [0.1, 0.77], few).collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[g], want[g]) for g in want)
+        assert np.allclose(list(ordered.quantiles_by(df, [], "v", [0.0, 0.31, 1.0], few).first()), np.quantile(numbers, [0.0, 0.31, 1.0]))
     assert [x.n for x in ordered.numbered(df.select("v"), [df.v.asc_nulls_last()], "n").orderBy("n").select("n").collect()] == list(range(503))
