@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["spatial", "relational", "reconstruction", "frames", "epochs", "views", "selection"]
+MODULES = ["spatial", "relational", "reconstruction", "frames", "epochs", "views", "selection", "latent"]
 
 
 def _gather(name: str) -> dict:
