@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import linear
+from ..functions.geometry import is_finite, linear
 from ..plans.storage import materialize
 from .joins import nearest
 from .windows import mixed
@@ -54,6 +54,36 @@ def similarity(pairs: DataFrame, p: list[str], q: list[str], weight: Column | No
     return Similarity(scale, rotation, mq - scale * rotation @ mp)
 
 
+def spacing(poses: DataFrame, centre: list[str], pose_id: str = "pose_id", sample: int = 2000) -> float | None:
+    """The median distance of two centres, over all pairs of up to `sample` poses (the first by hash, so always the same); null below two poses."""
+    few = poses.select(pose_id, *[F.col(c).cast("double").alias(f"_{c}") for c in centre]).orderBy(F.xxhash64(pose_id), pose_id).limit(sample)
+    a, b = few.alias("a"), F.broadcast(few.alias("b"))  # `sample` rows
+    d = F.sqrt(sum(((F.col(f"a._{c}") - F.col(f"b._{c}")) ** 2 for c in centre), F.lit(0.0)))
+    return a.join(b, F.col(f"a.{pose_id}") < F.col(f"b.{pose_id}")).agg(F.percentile(d, F.lit(0.5))).first()[0]
+
+
+def pose_sets(source: DataFrame, target: DataFrame, pose_id: str = "pose_id", centre: tuple[str, ...] = ("x", "y", "z"), axis: tuple[str, ...] = ("zx", "zy", "zz")) -> Similarity:
+    """The similarity that takes one set of poses to another of the same ids: over their centres and a point along each one's axis.
+
+    The points lie a hundredth of the set's own median spacing ahead, so that
+    axes only decide what centres leave open. One pose, or poses all in one
+    place, have no spacing: their points lie one ahead, the turn comes from the
+    axes, and the scale is 1. Poses that only one set has, and those with a null
+    or non-finite number, take no part.
+    """
+    columns = [*centre, *axis]
+    known = lambda df: df.select(pose_id, *[F.col(c).cast("double") for c in columns]).where(is_finite(*columns))
+    both = known(source).join(known(target).toDF(pose_id, *[f"t_{c}" for c in columns]), pose_id)
+    both = materialize(both)
+    ahead = [spacing(both, [f"{p}{c}" for c in centre], pose_id) for p in ("", "t_")]
+    flat = any(not d for d in ahead)
+    steps = [1.0 if flat else d / 100 for d in ahead]
+    at = lambda p, k: [F.col(f"{p}{c}") + k * F.col(f"{p}{a}") for c, a in zip(centre, axis, strict=True)]
+    names = [*[f"_p{i}" for i in range(3)], *[f"_q{i}" for i in range(3)]]
+    rows = [both.select(*[c.alias(n) for n, c in zip(names, [*at("", k * steps[0]), *at("t_", k * steps[1])], strict=True)]) for k in (0.0, 1.0)]
+    return similarity(rows[0].unionByName(rows[1]), names[:3], names[3:], with_scale=not flat)
+
+
 def icp(cloud: DataFrame, target: DataFrame, radius: float, size: float, rounds: int = 10, best: float = 1.0, tolerance: float = 1e-6) -> Similarity:
     """Align cloud (p, x, y, z) to target (q, qx, qy, qz): nearest pairs within the radius, the best share of them, again and again.
 

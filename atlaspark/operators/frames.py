@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import materialize
 from .ordered import carried, numbered, ranged
 
 
@@ -66,6 +71,99 @@ def interpolate(queries: DataFrame, samples: DataFrame, at: str, value: str, id_
     return out.select(F.col("_id").alias(id_col), F.col("_t").alias(at), line.alias(value))
 
 
+def _brackets(samples: DataFrame, at: str, columns: list[str]) -> DataFrame:
+    """Each sample with the one before it and the two after, as structs (t, columns) b, s, n and m."""
+    placed = materialize(numbered(samples.select(F.col(at).cast("double").alias("t"), *columns), [F.col("t")], "i"))
+    row = F.struct("t", *columns)
+    own = placed.select("i", row.alias("s"))
+    for name, step in (("b", 1), ("n", -1), ("m", -2)):
+        own = own.join(placed.select((F.col("i") + step).alias("i"), row.alias(name)), "i", "left")
+    return own
+
+
+def _multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    w, x, y, z = a.T
+    p, q, r, s = b.T
+    return np.stack([w * p - x * q - y * r - z * s, w * q + x * p + y * s - z * r, w * r - x * s + y * p + z * q, w * s + x * r - y * q + z * p], 1)
+
+
+def _logarithm(q: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(q[:, 1:], axis=1)
+    factor = np.where(size > 0, np.arctan2(size, q[:, 0]) / np.where(size > 0, size, 1), 0)
+    return np.column_stack((np.log(np.linalg.norm(q, axis=1)), q[:, 1:] * factor[:, None]))
+
+
+def _power(q: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(q[:, 1:], axis=1)
+    factor = np.where(size > 0, np.sin(size) / np.where(size > 0, size, 1), 1)
+    return np.exp(q[:, :1]) * np.column_stack((np.cos(size), q[:, 1:] * factor[:, None]))
+
+
+def _between(a: np.ndarray, b: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """The turn from a to b, by shares of it."""
+    return _multiply(_power(_logarithm(_multiply(b, a * [1, -1, -1, -1])) * share[:, None]), a)
+
+
+def squad(t: np.ndarray, times: np.ndarray, turns: np.ndarray) -> np.ndarray:
+    """Spherical spline at t between the second and third of four unit quaternions (rows, 4, wxyz) at their times; a first or fourth without a time is none."""
+    before, own, after, later = (turns[:, i] for i in range(4))
+    back = lambda q: q * [1, -1, -1, -1]
+    span = times[:, 2] - times[:, 1]
+    forth = _logarithm(_multiply(back(own), after))
+    left = _logarithm(_multiply(back(before), own)) * (span / (times[:, 1] - times[:, 0]))[:, None]
+    right = _logarithm(_multiply(back(after), later)) * (span / (times[:, 3] - times[:, 2]))[:, None]
+    a = np.where(np.isnan(times[:, :1]), own, _multiply(own, _power((left - forth) / 4)))
+    b = np.where(np.isnan(times[:, 3:]), after, _multiply(after, _power((forth - right) / 4)))
+    share = (t - times[:, 1]) / span
+    return _between(_between(own, after, share), _between(a, b, share), 2 * share * (1 - share))
+
+
+def interpolate_turns(queries: DataFrame, samples: DataFrame, at: str, turn: tuple[str, str, str, str] = ("qw", "qx", "qy", "qz"), id_col: str = "id") -> DataFrame:
+    """(id, at, turn): unit quaternions at times between samples, by spherical splines over the two samples on either side.
+
+    Samples are scaled to unit length, and each takes the sign nearer to the one
+    before it within its bracket. At the ends of the samples the missing one is
+    left out; outside them, and with fewer than two, the result is null. Samples
+    with a null number or no length take no part; of samples at one time the
+    first by value counts.
+    """
+    columns = list(turn)
+    length = F.sqrt(sum((F.col(c) * F.col(c) for c in columns), F.lit(0.0)))
+    unit = samples.select(F.col(at).cast("double").alias("_t"), *[F.col(c).cast("double") for c in columns]).withColumn("_l", length).where("_t IS NOT NULL AND _l > 0")
+    unit = unit.select("_t", *[(F.col(c) / F.col("_l")).alias(c) for c in columns]).groupBy("_t").agg(F.min(F.struct(*columns)).alias("q")).select(F.col("_t").alias(at), *[f"q.{c}" for c in columns])
+    bracket = _brackets(unit, at, columns).select(F.col("s.t").alias("_t"), F.struct("b", "s", "n", "m").alias("_b"))
+    both = queries.select(F.col(id_col).alias("_id"), F.col(at).cast("double").alias("_t")).withColumn("_b", F.lit(None).cast(bracket.schema["_b"].dataType)).withColumn("_q", F.lit(1))
+    rows = ranged(both.unionByName(bracket.withColumn("_id", F.lit(None).cast(queries.schema[id_col].dataType)).withColumn("_q", F.lit(0))), [F.col("_t"), F.col("_q")])
+    parts = rows.groupBy("_part").agg(F.max_by("_b", F.when(F.col("_b").isNotNull(), F.col("_at"))).alias("_last"))
+    left = F.broadcast(parts.select("_part", carried(parts, F.col("_last")).alias("_left")))  # one row a range
+    # The last sample at or before a time; a sample itself is its own.
+    last = F.last("_b", True).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    found = rows.withColumn("_own", last).join(left, "_part").where("_q = 1").select("_id", "_t", F.coalesce("_own", "_left").alias("_b"))
+    kinds = ["b", "s", "n", "m"]
+    flat = found.select("_id", "_t", *[F.col(f"_b.{k}.t").alias(f"t{k}") for k in kinds], *[F.col(f"_b.{k}.{c}").alias(f"{k}{c}") for k in kinds for c in columns])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            times = rows[[f"t{k}" for k in kinds]].to_numpy(float)
+            turns = np.stack([rows[[f"{k}{c}" for c in columns]].to_numpy(float) for k in kinds], 1)
+            for i, j in ((2, 1), (0, 1), (3, 2)):
+                flip = (turns[:, i] * turns[:, j]).sum(axis=1) < 0
+                turns[flip, i] *= -1
+            t = rows["_t"].to_numpy(float)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                out = squad(t, times, turns)
+            exact = t == times[:, 1]
+            out[exact] = turns[exact, 1]
+            frame = rows[["_id", "_t"]].copy()
+            for k, c in enumerate(columns):
+                frame[c] = out[:, k]
+            yield frame
+
+    kind = queries.schema[id_col].dataType.simpleString()
+    done = flat.mapInPandas(run, f"_id {kind}, _t double, {', '.join(f'{c} double' for c in columns)}")
+    return done.select(F.col("_id").alias(id_col), F.col("_t").alias(at), *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in columns])
+
+
 def mesh_faces(pixels: DataFrame, valid: str) -> DataFrame:
     """Two triangles (a, b, c as v * 2^20 + u) for each square of a pixel grid whose corners are all valid."""
     ok = pixels.where(F.col(valid)).select("v", "u")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import graph, growth, spectral
+from ..operators import align, frames, graph, growth, spectral, steps
 from ..sources import tables as T
+from . import relational
 from .spatial import r6
 
 QUERIES, ORACLES = {}, {}
@@ -108,3 +110,43 @@ def spectral_groups(spark, d):
     """Groups of the scored frames by the smallest eigenvectors of their graph."""
     mean = T.edges(spark, d).agg(F.avg("score")).first()[0] or 0.0
     return spectral.spectral_groups(T.edges(spark, d), FRAMES, mean, 3)
+
+
+@query(f"""WITH {T.V_FRAMES}, tree AS ({relational.ORACLES["spanning_tree"]}), ends AS (SELECT src AS node, dst AS other, src, dst, score FROM tree UNION ALL SELECT dst, src, src, dst, score FROM tree),
+heads AS (SELECT * FROM ends QUALIFY row_number() OVER (PARTITION BY node ORDER BY score DESC, other) = 1),
+asked AS (SELECT DISTINCT idx AS epoch, event_id % 24 AS node FROM v_frames), turns AS (SELECT epoch, row_number() OVER (ORDER BY epoch) - 1 AS turn FROM (SELECT DISTINCT epoch FROM asked)),
+wanted AS (SELECT epoch, src, dst, min(asked.node) AS first FROM asked JOIN heads ON heads.node = asked.node GROUP BY ALL),
+runs AS (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY first, src, dst) - 1 AS place FROM wanted)
+SELECT epoch, CAST(place AS INTEGER) AS place, src, dst, turn - coalesce(lag(turn) OVER (PARTITION BY src, dst ORDER BY turn) + 1, 0) AS age FROM runs JOIN turns USING (epoch) WHERE place < 5""")
+def pair_schedule(spark, d):
+    """The pairs that each hour runs for the frames that changed in it, four and one more, and how long each had not run."""
+    changes = T.frames(spark, d).select(F.col("idx").alias("epoch"), (F.col("event_id") % 24).alias("node"))
+    return steps.schedule(T.edges(spark, d), changes, 4)
+
+
+@query("""WITH p AS (SELECT event_id AS pose_id, value AS x, user_id / 10.0::DOUBLE AS y, CAST(props->>'$.k' AS DOUBLE) AS z FROM events),
+m AS (SELECT x, y, z, 0.5 * (0.6 * x - 0.8 * y) + 4 AS qx, 0.5 * (0.8 * x + 0.6 * y) - 1 AS qy, 0.5 * z + 2 AS qz FROM p),
+a AS (SELECT avg(x) AS x, avg(y) AS y, avg(z) AS z, avg(qx) AS qx, avg(qy) AS qy, avg(qz) AS qz FROM m),
+s AS (SELECT sqrt(sum((m.qx - a.qx) ^ 2 + (m.qy - a.qy) ^ 2 + (m.qz - a.qz) ^ 2) / sum((m.x - a.x) ^ 2 + (m.y - a.y) ^ 2 + (m.z - a.z) ^ 2)) AS scale,
+  atan2(sum((m.x - a.x) * (m.qy - a.qy) - (m.y - a.y) * (m.qx - a.qx)), sum((m.x - a.x) * (m.qx - a.qx) + (m.y - a.y) * (m.qy - a.qy))) AS turn FROM m, a)
+SELECT round(scale, 6) AS scale, round(degrees(turn), 5) AS turn, round(a.qx - scale * (cos(turn) * a.x - sin(turn) * a.y), 5) AS tx, round(a.qz - scale * a.z, 5) AS tz FROM s, a""")
+def pose_set_registration(spark, d):
+    """The similarity between a set of poses and the same poses turned, halved and moved, found over centres and axis points."""
+    e = T.read(spark, d, "events")
+    k = F.get_json_object("props", "$.k").cast("double")
+    turn = e.select(F.col("event_id").alias("pose_id"), F.col("value").alias("x"), (F.col("user_id") / 10.0).alias("y"), k.alias("z"), F.sin("event_id").alias("zx"), F.cos("event_id").alias("zy"), F.lit(0.0).alias("zz"))
+    r = [[0.6, -0.8, 0.0], [0.8, 0.6, 0.0], [0.0, 0.0, 1.0]]
+    centre = align.linear(r, [F.col(c) for c in "xyz"], [4.0, -1.0, 2.0], 0.5)
+    axis = align.linear(r, [F.col(f"z{c}") for c in "xyz"], [0.0, 0.0, 0.0], 1.0)
+    moved = turn.select("pose_id", *[c.alias(n) for n, c in zip("xyz", centre, strict=True)], *[c.alias(f"z{n}") for n, c in zip("xyz", axis, strict=True)])
+    s = align.pose_sets(turn, moved)
+    angle = float(np.degrees(np.arctan2(s.rotation[1, 0], s.rotation[0, 0])))
+    return spark.createDataFrame([(round(s.scale, 6), round(angle, 5), round(float(s.shift[0]), 5), round(float(s.shift[2]), 5))], "scale double, turn double, tx double, tz double")
+
+
+@query(None)
+def turn_interpolation(spark, d):
+    """Turns at the times of a part of the events, by splines over those of the others."""
+    e = T.read(spark, d, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("t"), (F.col("value") / 50).alias("a"))
+    samples = e.where("event_id % 3 > 0").select("t", F.cos("a").alias("qw"), F.lit(0.0).alias("qx"), F.sin("a").alias("qy"), (F.sin("a") / 3).alias("qz"))
+    return frames.interpolate_turns(e.where("event_id % 3 = 0").select("event_id", "t"), samples, "t", id_col="event_id")
