@@ -44,7 +44,7 @@ def shortest_path_nodes(spark, d):
     s = F.col("score")
     tree = graph.shortest_paths(T.edges(spark, d).select("src", "dst", (1 / (s * s * s + 1e-6)).alias("cost")), 0)
     targets = spark.range(FRAMES).select(F.col("id").alias("node"))
-    return graph.path_nodes(tree, targets).select("target", "place", "node")
+    return graph.path_nodes(tree, targets).select(F.col("target").cast("int").alias("target"), "place", F.col("node").cast("int").alias("node"))
 
 
 @query(f"""WITH {BOTH}, {_relaxed('(-ln(b.score + 1e-6))')}, t AS (SELECT * FROM d6 WHERE node % 7 = 5 ORDER BY cost, node LIMIT 1)
@@ -53,7 +53,7 @@ def nearest_target_path(spark, d):
     """The way from frame 0 to the cheapest of some target frames, by the negative logarithm of scores, without the target."""
     edges = T.edges(spark, d).select("src", "dst", (-F.log(F.col("score") + 1e-6)).alias("cost"))
     targets = spark.range(FRAMES).select(F.col("id").alias("node")).where("node % 7 = 5")
-    return graph.nearest_target(edges, 0, targets).select("target", r6(F.col("cost")).alias("cost"), "place", "node")
+    return graph.nearest_target(edges, 0, targets).select(F.col("target").cast("int").alias("target"), r6(F.col("cost")).alias("cost"), "place", F.col("node").cast("int").alias("node"))
 
 
 def _growth_sql(picks: int, least: float) -> str:
@@ -83,7 +83,7 @@ def coverage_growth(spark, d):
     """Frames chosen greedily, with the ways to them, until all frames are covered by 0.35 on average, in six steps at most."""
     frames = spark.range(FRAMES).select(F.col("id").alias("node"))
     grown = growth.grow(frames, T.edges(spark, d), 0.35, most_steps=6)
-    return grown.select("step", "place", "node", r6(F.col("gain")).alias("gain"))
+    return grown.select("step", "place", F.col("node").cast("int").alias("node"), r6(F.col("gain")).alias("gain"))
 
 
 def _farthest_sql(picks: int) -> str:

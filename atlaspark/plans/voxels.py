@@ -179,7 +179,11 @@ def finalise(state: DataFrame, epoch: int, params: MapSettings, floor: float = 0
 
 
 def run_epochs(seen: DataFrame, epochs: list[int], params: MapSettings) -> DataFrame:
-    """The map after epochs of observations (epoch, key, kind, bits): each is integrated and finalised; the state is written down after each."""
+    """The map after epochs of observations (epoch, key, kind, bits): each is integrated and finalised; the state is written down after each.
+
+    The observations are written down once before, so that rays are worked out once and not for each epoch.
+    """
+    seen = materialize(seen.where(F.col("epoch").isin(epochs)))
     state = seen.sparkSession.createDataFrame([], STATE)
     for epoch in epochs:
         state = materialize(finalise(integrate(state, seen.where(F.col("epoch") == epoch), epoch, params), epoch, params))
