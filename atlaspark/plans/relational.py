@@ -8,6 +8,7 @@ from ..functions import geometry as G
 from ..operators import filters, graph, joins, metrics, ordered, windows
 from ..sources import tables as T
 from .spatial import r6
+from .storage import materialize
 
 QUERIES, ORACLES = {}, {}
 
@@ -354,6 +355,7 @@ def jaccard_prune(spark, d):
 def connected_components(spark, d):
     """Smallest frame that each frame reaches."""
     n = _neighbours(spark, d)
+    n = materialize(n)
     return graph.components(n.select(F.col("src").alias("node")).distinct(), n)
 
 
