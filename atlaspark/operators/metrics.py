@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import is_finite
+from ..plans.storage import materialize
+from .joins import nearest
 from .ordered import quantiles_by
 
 
@@ -16,6 +19,51 @@ def cloud_scores(forth: DataFrame, back: DataFrame, tau: float, eps: float = 1e-
     return both.select((F.col("precision_d2") + F.col("recall_d2")).alias("chamfer"), "precision", "recall", (2 * p * r / (p + r + eps)).alias("fscore"))
 
 
+def compare_clouds(truth: DataFrame, found: DataFrame, tau: float, size: float, z_gate: float | None = None, flat: bool = False, last_only: bool = False, z_band: tuple[float, float] | None = None, eps: float = 1e-9) -> DataFrame:
+    """One row of scores of two clouds (id, x, y, z): chamfer, precision, recall, fscore, tp, fp, fn, n_truth, n_found.
+
+    Nearest neighbours are looked for in space, or on the floor if flat; chamfer
+    is the sum of both mean squared distances, always in space. A point is
+    covered if its neighbour is at most tau away and, with z_gate, at most so
+    far up or down; with last_only only the last point (by id) of those with the
+    same neighbour counts, a one-sided stand-in for reciprocity. precision is
+    the covered share of truth, recall that of found; tp and fp count truth, fn
+    uncovered found. z_band keeps only points within it, ends included. Without
+    any point on both sides all is perfect; without any on one side its own
+    share is 0, the other's too, and chamfer infinite. Points with a coordinate
+    that is no finite number take no part; `size` is where the search starts.
+    """
+    axes = ["x", "y"] if flat else ["x", "y", "z"]
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(F.col("id").alias(name), *[F.col(c).cast("double").alias(f"{name}{c}") for c in "xyz"]).where(is_finite(*[f"{name}{c}" for c in "xyz"]))
+        return materialize(rows if z_band is None else rows.where(F.col(f"{name}z").between(*z_band)))
+
+    p, q = kept(truth, "p"), kept(found, "q")
+
+    def side(a: DataFrame, b: DataFrame, m: str, n: str) -> DataFrame:
+        near = nearest(a, b, m, n, [f"{m}{c}" for c in axes], [f"{n}{c}" for c in axes], size).join(a, m).join(b, n)
+        far = sum(((F.col(f"{m}{c}") - F.col(f"{n}{c}")) * (F.col(f"{m}{c}") - F.col(f"{n}{c}")) for c in "xyz"), F.lit(0.0))
+        covered = F.sqrt("d2") <= tau
+        if z_gate is not None:
+            covered &= F.abs(F.col(f"{m}z") - F.col(f"{n}z")) <= z_gate
+        if last_only:
+            last = near.groupBy(n).agg(F.max(m).alias("_last"))
+            near, covered = near.join(last, n), covered & (F.col(m) == F.col("_last"))
+        sums = near.agg(F.count("*").alias("_near"), F.coalesce(F.sum(covered.cast("long")), F.lit(0)).alias(f"{m}_covered"), F.avg(far).alias(f"{m}_far"))
+        return a.agg(F.count("*").alias(f"{m}_n")).crossJoin(sums.drop("_near"))  # one row each
+
+    both = side(p, q, "p", "q").crossJoin(side(q, p, "q", "p"))
+    share = lambda m, other: F.when(F.col(f"{m}_n") > 0, F.col(f"{m}_covered") / F.greatest(F.col(f"{m}_n"), F.lit(1))).otherwise((F.col(f"{other}_n") == 0).cast("double"))
+    none = F.when((F.col("p_n") == 0) & (F.col("q_n") == 0), 0.0).otherwise(float("inf"))
+    scored = both.select(
+        F.coalesce(F.col("p_far") + F.col("q_far"), none).alias("chamfer"), share("p", "q").alias("precision"), share("q", "p").alias("recall"), F.col("p_covered").alias("tp"),
+        (F.col("p_n") - F.col("p_covered")).alias("fp"), (F.col("q_n") - F.col("q_covered")).alias("fn"), F.col("p_n").alias("n_truth"), F.col("q_n").alias("n_found"),
+    )
+    f = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + eps)
+    return scored.select("chamfer", "precision", "recall", f.alias("fscore"), "tp", "fp", "fn", "n_truth", "n_found")
+
+
 def confusion_sweep(df: DataFrame, score: Column, truth: Column, thresholds: list[float], eps: float = 1e-9) -> DataFrame:
     """Counts and ratios of `score >= t` against a boolean truth, for each threshold t."""
     t = df.select(score.alias("s"), truth.alias("y"), F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))

@@ -320,6 +320,21 @@ def chamfer_fscore(spark, d):
     return s.select(*[r6(F.col(c)).alias(c) for c in s.columns])
 
 
+@query("""WITH v AS (SELECT event_id AS id, value / 100.0::DOUBLE AS x, user_id / 100.0::DOUBLE AS y, CAST(props->>'$.k' AS DOUBLE) / 10 AS z FROM events),
+p AS (SELECT * FROM v WHERE id % 5 < 2 AND z BETWEEN 0.1 AND 0.8), q AS (SELECT * FROM v WHERE id % 5 = 2 AND z BETWEEN 0.1 AND 0.8),
+d AS (SELECT p.id AS p, q.id AS q, (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) AS d2, abs(p.z - q.z) AS dz, (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z) AS d3 FROM p, q),
+f AS (SELECT p, arg_min(struct_pack(q := q, d2 := d2, dz := dz, d3 := d3), (d2, q)) AS b FROM d GROUP BY p), g AS (SELECT q, arg_min(struct_pack(p := p, d2 := d2, dz := dz, d3 := d3), (d2, p)) AS b FROM d GROUP BY q),
+a AS (SELECT count(*) AS n, sum((sqrt(b.d2) <= 0.1 AND b.dz <= 0.2 AND last)::INT)::BIGINT AS c, avg(b.d3) AS far FROM (SELECT p, b, p = max(p) OVER (PARTITION BY b.q) AS last FROM f)),
+e AS (SELECT count(*) AS n, sum((sqrt(b.d2) <= 0.1 AND b.dz <= 0.2 AND last)::INT)::BIGINT AS c, avg(b.d3) AS far FROM (SELECT q, b, q = max(q) OVER (PARTITION BY b.p) AS last FROM g))
+SELECT round(a.far + e.far, 6) AS chamfer, round(a.c / a.n, 6) AS precision, round(e.c / e.n, 6) AS recall, round(2 * (a.c / a.n) * (e.c / e.n) / (a.c / a.n + e.c / e.n + 1e-9), 6) AS fscore,
+a.c AS tp, a.n - a.c AS fp, e.n - e.c AS fn, a.n AS n_truth, e.n AS n_found FROM a, e""")
+def cloud_comparison(spark, d):
+    """Scores of two clouds within a height band: neighbours on the floor, gated by height, the last of equal neighbours only."""
+    v = T.read(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("value") / 100.0).alias("x"), (F.col("user_id") / 100.0).alias("y"), (F.get_json_object("props", "$.k").cast("double") / 10).alias("z"))
+    s = metrics.compare_clouds(v.where("id % 5 < 2"), v.where("id % 5 = 2"), 0.1, 0.05, 0.2, True, True, (0.1, 0.8))
+    return s.select(*[r6(F.col(c)).alias(c) if c in ("chamfer", "precision", "recall", "fscore") else c for c in s.columns])
+
+
 @query("""WITH l AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events WHERE event_type = 'click'), r AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, min(value) AS value FROM events WHERE event_type <> 'click' GROUP BY ALL),
 x AS (SELECT l.event_id, l.user_id, l.t, r.t AS f, r.value, row_number() OVER (PARTITION BY l.event_id ORDER BY abs(l.t - r.t), r.t) AS n FROM l JOIN r USING (user_id))
 SELECT l.user_id, l.event_id, l.t, x.f AS t_found, x.value FROM l LEFT JOIN x ON x.event_id = l.event_id AND x.n = 1""")

@@ -67,6 +67,21 @@ def test_perfect_clouds(spark):
     assert s.chamfer == 0 and math.isclose(s.fscore, 2 / (2 + 1e-9))
 
 
+def test_clouds_that_are_empty_or_gated(spark):
+    cloud = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 1.0, 0.0, 0.0), (2, float("nan"), 0.0, 0.0), (3, 0.0, 0.0, None)], "id int, x double, y double, z double")
+    raised = spark.createDataFrame([(7, 0.0, 0.0, 0.5), (8, 1.0, 0.0, 0.05), (9, 1.05, 0.0, 0.0)], "id int, x double, y double, z double")
+    none = cloud.limit(0)
+    row = lambda *a, **k: metrics.compare_clouds(*a, 0.1, 0.5, **k).first()
+    s = row(cloud, raised, z_gate=0.2, flat=True)
+    assert (s.tp, s.fp, s.fn, s.n_truth, s.n_found) == (1, 1, 1, 2, 3) and math.isclose(s.chamfer, (0.25 + 0.0025) / 2 + (0.25 + 0.0025 + 0.0025) / 3)
+    assert row(cloud, raised, flat=True).precision == 1 and row(cloud, raised).precision == 0.5
+    assert row(cloud, raised, flat=True, last_only=True).fn == 1 and row(cloud, raised, z_band=(0.05, 0.5)).n_truth == 0
+    s = row(none, none)
+    assert (s.chamfer, s.precision, s.recall, s.tp, s.fn) == (0, 1, 1, 0, 0)
+    s = row(cloud, none)
+    assert (s.chamfer, s.precision, s.recall, s.tp, s.fp, s.n_found) == (math.inf, 0, 0, 0, 2, 0)
+
+
 def test_bev(spark):
     df = spark.createDataFrame([(0, 0, 5), (0, 0, 1), (1, 0, 1)], "u long, v long, n int")
     out = {(r.v, r.u): r.value for r in raster.bev_ternary(df, F.col("u"), F.col("v"), F.col("n") >= 3, F.col("n") < 3, 3, 1).collect()}
