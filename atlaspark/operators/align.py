@@ -84,13 +84,18 @@ def pose_sets(source: DataFrame, target: DataFrame, pose_id: str = "pose_id", ce
     return similarity(rows[0].unionByName(rows[1]), names[:3], names[3:], with_scale=not flat)
 
 
-def icp(cloud: DataFrame, target: DataFrame, radius: float, size: float, rounds: int = 10, best: float = 1.0, tolerance: float = 1e-6) -> Similarity:
+def icp(cloud: DataFrame, target: DataFrame, radius: float, size: float, rounds: int = 10, best: float = 1.0, tolerance: float = 1e-6, huber: float | None = None, conf: str | None = None) -> Similarity:
     """Align cloud (p, x, y, z) to target (q, qx, qy, qz): nearest pairs within the radius, the best share of them, again and again.
 
-    Stops when the root mean square distance settles or fewer than three pairs are left.
+    With huber, pairs further apart than that weigh less, by huber / distance;
+    with conf, a column of cloud, each pair weighs by its point's confidence
+    (null, NaN and negative ones: 0). Stops when the root mean square distance
+    settles or fewer than three pairs with any weight are left.
     """
     now, last = Similarity(1.0, np.eye(3), np.zeros(3)), np.inf
-    source = materialize(cloud.select("p", *[F.col(a).alias(f"o{a}") for a in AXES]))
+    own = F.lit(1.0) if conf is None else F.coalesce(F.greatest(F.when(~F.isnan(F.col(conf).cast("double")), F.col(conf).cast("double")), F.lit(0.0)), F.lit(0.0))
+    source = materialize(cloud.select("p", *[F.col(a).alias(f"o{a}") for a in AXES], own.alias("_w")).where("_w > 0"))
+    weight = F.col("_w") if huber is None else F.col("_w") * F.least(F.lit(1.0), huber / F.greatest(F.sqrt("d2"), F.lit(1e-300)))
     target = materialize(target)
     for _ in range(rounds):
         moved = source.select("p", *[c.alias(f"p{a}") for a, c in zip(AXES, now.apply([F.col(f"o{a}") for a in AXES]), strict=True)])
@@ -100,7 +105,7 @@ def icp(cloud: DataFrame, target: DataFrame, radius: float, size: float, rounds:
         s = pairs.agg(F.count("*").alias("n"), F.sqrt(F.avg("d2")).alias("rms")).first()
         if s.n < 3 or abs(last - s.rms) < tolerance:
             break
-        now, last = similarity(pairs, [f"o{a}" for a in AXES], [f"q{a}" for a in AXES]), s.rms
+        now, last = similarity(pairs, [f"o{a}" for a in AXES], [f"q{a}" for a in AXES], weight), s.rms
     return now
 
 

@@ -27,6 +27,23 @@ def test_icp_finds_a_small_motion(spark):
     assert np.allclose(s.shift, [0.05, -0.03, 0.02], atol=1e-6) and np.isclose(s.scale, 1)
 
 
+def test_icp_weighs_far_pairs_and_uncertain_points_less(spark):
+    r = np.random.default_rng(5)
+    p = np.array([[x, y, z] for x in range(4) for y in range(4) for z in range(3)], float) + r.uniform(-0.1, 0.1, (48, 3))
+    q = p + [0.05, -0.03, 0.02]
+    q[::6] += [0.25, 0.25, 0.0]
+    conf = [0.0 if i % 6 == 0 else 1.0 for i in range(48)]
+    conf[6], conf[12], conf[18] = None, float("nan"), -1.0
+    a = spark.createDataFrame([(i, *map(float, v), c) for i, (v, c) in enumerate(zip(p, conf, strict=True))], "p int, x double, y double, z double, c double")
+    b = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(q)], "q int, qx double, qy double, qz double")
+    def away(**k):
+        s = align.icp(a, b, 0.6, 0.5, 4, **k)
+        return np.abs(s.scale * s.rotation @ p[1] + s.shift - q[1]).max()
+
+    plain, robust, sure = away(), away(huber=0.02), away(conf="c")
+    assert sure < 1e-6 and robust < plain / 2
+
+
 def test_floor_plane(spark):
     r = np.random.default_rng(2)
     floor = np.column_stack([r.uniform(0, 4, 300), r.uniform(0, 4, 300), r.normal(0.5, 0.002, 300)])
