@@ -174,6 +174,25 @@ def mesh_faces(pixels: DataFrame, valid: str) -> DataFrame:
     return squares.select(F.explode(faces).alias("f")).select(F.col("f")[0].alias("a"), F.col("f")[1].alias("b"), F.col("f")[2].alias("c"))
 
 
+def surface_faces(pixels: DataFrame, valid: str, colour: str) -> DataFrame:
+    """(a, b, c, colour): the triangles of a pixel grid whose three corners are valid, each from both sides; corners as v * 2^20 + u.
+
+    Each square has two triangles: its first corner's and its last one's, whose
+    colours they take. A pixel is counted for the six triangles around it, so
+    that a triangle is a group of three rows and no pixel is joined with its
+    neighbours. Pixels that repeat count once, with their lowest colour.
+    """
+    ok = pixels.where(F.col(valid)).groupBy("v", "u").agg(F.min(colour).alias("_k"))
+    # Of which square (steps back) and triangle (0: first corner's, 1: last one's) a pixel is a corner; where it gives the colour.
+    places = [(0, 0, 0, True), (0, 1, 0, False), (0, 1, 1, False), (1, 0, 0, False), (1, 0, 1, False), (1, 1, 1, True)]
+    part = F.explode(F.array(*[F.struct((F.col("v") - dv).alias("v"), (F.col("u") - du).alias("u"), F.lit(t).alias("t"), F.when(F.lit(own), F.col("_k")).alias("k")) for dv, du, t, own in places]))
+    whole = ok.select(part.alias("p")).groupBy("p.v", "p.u", "p.t").agg(F.count("*").alias("n"), F.max("p.k").alias("k")).where("n = 3")
+    corner = lambda dv, du: (F.col("v") + dv) * (1 << 20) + F.col("u") + du
+    first, last = [corner(0, 0), corner(0, 1), corner(1, 0)], [corner(0, 1), corner(1, 0), corner(1, 1)]
+    sides = F.when(F.col("t") == 0, F.array(F.array(*first), F.array(*first[::-1]))).otherwise(F.array(F.array(*last), F.array(*last[::-1])))
+    return whole.select(F.explode(sides).alias("f"), "k").select(F.col("f")[0].alias("a"), F.col("f")[1].alias("b"), F.col("f")[2].alias("c"), F.col("k").alias(colour))
+
+
 def nearest_bucket(width: Column, height: Column, ratios: list[float]) -> Column:
     """Index of the aspect ratio nearest to a landscape image's (the inverse for portraits), the first of equals."""
     own = F.greatest(width, height) / F.least(width, height)

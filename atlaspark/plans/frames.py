@@ -58,6 +58,16 @@ def mesh_faces(spark, d):
     return frames.mesh_faces(_bev(spark, d).withColumn("ok", F.col("value") == 100), "ok")
 
 
+@query(f"""WITH {BEV_CELLS}, ok AS (SELECT v, u, (v * 31 + u * 17) % 256 AS shade, v * 1048576 + u AS i FROM bev WHERE value = 100),
+x AS (SELECT a.i AS a, b.i AS b, c.i AS c, a.shade FROM ok a JOIN ok b ON b.v = a.v AND b.u = a.u + 1 JOIN ok c ON c.v = a.v + 1 AND c.u = a.u),
+y AS (SELECT a.i AS a, b.i AS b, c.i AS c, c.shade FROM ok c JOIN ok a ON a.v = c.v - 1 AND a.u = c.u JOIN ok b ON b.v = c.v AND b.u = c.u - 1),
+z AS (SELECT * FROM x UNION ALL SELECT * FROM y) SELECT a, b, c, shade FROM z UNION ALL SELECT c, b, a, shade FROM z""")
+def mesh_surface(spark, d):
+    """Triangles over the occupied cells of the floor plan by their own three corners, from both sides, with a colour."""
+    cells = _bev(spark, d).withColumn("ok", F.col("value") == 100).withColumn("shade", (F.col("v") * 31 + F.col("u") * 17) % 256)
+    return frames.surface_faces(cells, "ok", "shade")
+
+
 @query("""WITH r AS (SELECT o_orderkey * 3 AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 5 <> 0), l AS (SELECT o_orderkey AS id, o_orderkey * 3 + CAST(o_orderkey % 3 AS BIGINT) - 1 AS k FROM orders)
 SELECT l.id, l.k, coalesce(a.v, b.v, c.v) AS v FROM l LEFT JOIN r a ON a.k = l.k LEFT JOIN r b ON b.k = l.k - 1 LEFT JOIN r c ON c.k = l.k + 1""")
 def tolerance_lookup(spark, d):

@@ -82,6 +82,23 @@ def test_clouds_that_are_empty_or_gated(spark):
     assert (s.chamfer, s.precision, s.recall, s.tp, s.fp, s.n_found) == (math.inf, 0, 0, 0, 2, 0)
 
 
+def test_surface_triangles_stand_on_their_own_corners(spark):
+    from atlaspark.operators import frames
+
+    rows = [(v, u, (v, u) != (1, 1), 10 * v + u) for v in range(3) for u in range(3)] + [(0, 0, True, 99)]
+    df = spark.createDataFrame(rows, "v long, u long, ok boolean, shade int")
+    at = lambda v, u: v * (1 << 20) + u
+    valid, want = {(v, u): s for v, u, ok, s in rows[:9] if ok}, []
+    for v in range(2):
+        for u in range(2):
+            a, b, c, e = (v, u), (v, u + 1), (v + 1, u), (v + 1, u + 1)
+            for face, own in (((a, b, c), a), ((b, c, e), e)):
+                if all(x in valid for x in face):
+                    want += [(*(at(*x) for x in f), valid[own]) for f in (face, face[::-1])]
+    assert sorted((r.a, r.b, r.c, r.shade) for r in frames.surface_faces(df, "ok", "shade").collect()) == sorted(want) and len(want) == 4
+    assert frames.surface_faces(df.limit(0), "ok", "shade").count() == 0
+
+
 def test_bev(spark):
     df = spark.createDataFrame([(0, 0, 5), (0, 0, 1), (1, 0, 1)], "u long, v long, n int")
     out = {(r.v, r.u): r.value for r in raster.bev_ternary(df, F.col("u"), F.col("v"), F.col("n") >= 3, F.col("n") < 3, 3, 1).collect()}
