@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -106,13 +106,18 @@ def near(a: np.ndarray, b: np.ndarray, radius: int, block_pairs: int = 1 << 16)
         yield at + r, c, far[r, c]
 
 
-def local_links(a: np.ndarray, b: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray, radius: int, block_pairs: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what lies within radius between two tiles (a row for each fingerprint).
+def local_links(
+    a: np.ndarray, b: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray, radius: int, block_pairs: int = 1 << 16, may: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what lies within radius between two tiles (a row for each fingerprint), of rows that `may` link if given.
 
     As many links as joined nodes at most, however many pairs lie within the radius.
     """
     us, vs = [ids_a[:0]], [ids_a[:0]]
     for r, c, _ in near(a, b, radius, block_pairs):
+        if may is not None and len(r):
+            both = may(r, c)
+            r, c = r[both], c[both]
         if len(r):
             u, v = _parts(ids_a[r], ids_b[c])
             us.append(u)
@@ -145,30 +150,58 @@ def _steps(counts: int, radius: int, width: int) -> list[int]:
     return found
 
 
-def links(distinct: DataFrame, words: int, radius: int, tile_rows: int) -> DataFrame:
+#: Columns of sketches(): how many shingles fall into each of 16 parts of the hashes, a byte each, 255 for more.
+COUNTS = ["c0", "c1"]
+
+
+def may_share(sizes_a: np.ndarray, counts_a: np.ndarray, sizes_b: np.ndarray, counts_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether two different sets can share `similarity` of their union; no for none that do.
+
+    What their counts of any part differ by is in one of them only, and that is (1 - s) / (1 + s) of both sizes at most;
+    different sets have one such shingle at least, those of one size two.
+    """
+    apart = np.maximum(np.abs(counts_a.astype(np.int16) - counts_b).sum(axis=1), 2 - (sizes_a + sizes_b) % 2)
+    fits = np.minimum(sizes_a, sizes_b) >= similarity * np.maximum(sizes_a, sizes_b) - 1e-6
+    return fits & (apart * (1 + similarity) <= (1 - similarity) * (sizes_a + sizes_b) + 1e-6)
+
+
+#: Tiles into which sketches are dealt at least; a tile grows with the table until it has MOST_ROWS, so that tiles are sent in proportion to the rows.
+TILES, MOST_ROWS = 200, 1 << 16
+
+
+def links(distinct: DataFrame, words: int, radius: int, tile_rows: int, similarity: float | None = None) -> DataFrame:
     """Links (u, v) that connect all of `distinct` (node, w0..) whose fingerprints differ in at most `radius` bits.
 
     Fingerprints with the same population counts make a cell, dealt by hash into
     tiles of about tile_rows. A tile is compared with those of its own cell and
     of the cells whose counts differ by no more than the radius: what two
     fingerprints' counts differ by, their bits do too, so no other tile can hold
-    a link.
+    a link. With `similarity` (and columns size and COUNTS) only pairs that can
+    share so much are linked, and cells are made by size instead: four cells
+    reach as far as sizes of such pairs do.
     """
-    counts, width = _cell(words, radius)
-    packed = counts[0].cast("int")
-    for i, c in enumerate(counts[1:], 1):
-        packed = packed + F.shiftleft(c.cast("int"), 8 * i)
     names = [f"w{w}" for w in range(words)]
-    rows = distinct.where("node IS NOT NULL").select("node", *names, packed.alias("cell"))
+    if similarity is None:
+        counts, width = _cell(words, radius)
+        packed = counts[0].cast("int")
+        for i, c in enumerate(counts[1:], 1):
+            packed = packed + F.shiftleft(c.cast("int"), 8 * i)
+        columns, steps = names, _steps(len(counts), radius, width)
+    else:
+        # A little wider than a quarter, so that no rounding carries a pair over five cells.
+        packed = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / (-math.log(similarity) / 4 * (1 + 1e-9))).cast("int")
+        columns, steps = [*names, "size", *COUNTS], range(5)
+        tile_rows = max(tile_rows, min(MOST_ROWS, -(-distinct.count() // TILES)))
+    rows = distinct.where("node IS NOT NULL").select("node", *columns, packed.alias("cell"))
     # A row for each cell there can be: 17 ** 4 at most.
     sizes = F.broadcast(rows.groupBy("cell").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("n")))
     tiles = materialize(
         rows.join(sizes, "cell")
         .withColumn("sub", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
         .groupBy("cell", "sub")
-        .agg(F.collect_list("node").alias("node"), *[F.collect_list(w).alias(w) for w in names])
+        .agg(F.collect_list("node").alias("node"), *[F.collect_list(w).alias(w) for w in columns])
     )
-    left = tiles.select(F.col("cell").alias("cell_a"), F.col("sub").alias("sub_a"), F.col("node").alias("node_a"), *[F.col(w).alias(f"{w}_a") for w in names], F.explode(F.array(*[F.lit(s) for s in _steps(len(counts), radius, width)])).alias("step"))
+    left = tiles.select(F.col("cell").alias("cell_a"), F.col("sub").alias("sub_a"), F.col("node").alias("node_a"), *[F.col(w).alias(f"{w}_a") for w in columns], F.explode(F.array(*[F.lit(s) for s in steps])).alias("step"))
     known = left.withColumn("cell", F.col("cell_a") + F.col("step")).join(sizes, "cell").withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     pairs = known.where("step > 0 OR sub_a <= sub").join(tiles, ["cell", "sub"])
 
@@ -177,11 +210,15 @@ def links(distinct: DataFrame, words: int, radius: int, tile_rows: int) -> DataF
             for i in range(batch.num_rows):
                 get = lambda name, i=i: batch.column(name)[i].values.to_numpy(zero_copy_only=False)
                 a, b = (np.stack([get(f"{w}{side}").view(np.uint64) for w in names], axis=1) for side in ("_a", ""))
-                u, v = local_links(a, b, get("node_a"), get("node"), radius)
+                may = None
+                if similarity is not None:
+                    (m, x), (n, y) = ((get(f"size{side}"), np.stack([get(f"{c}{side}") for c in COUNTS], axis=1).view(np.uint8)) for side in ("_a", ""))
+                    may = lambda r, c, m=m, x=x, n=n, y=y: may_share(m[r], x[r], n[c], y[c], similarity)
+                u, v = local_links(a, b, get("node_a"), get("node"), radius, may=may)
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    return pairs.select("node_a", *[f"{w}_a" for w in names], "node", *names).mapInArrow(compare, "u long, v long")
+    return pairs.select("node_a", *[f"{w}_a" for w in columns], "node", *columns).mapInArrow(compare, "u long, v long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 64, radius: int = 2, tile_rows: int = 2048) -> DataFrame:
@@ -230,20 +267,21 @@ def radius_of(similarity: float, bits: int) -> int:
 
 
 def sketches(df: DataFrame, words: int, bits: int) -> DataFrame:
-    """(id, digest, key, size, w0..) of (id, text, digest): a digest of the distinct shingles, how many there are, and their majority."""
+    """(id, digest, key, size, w0.., c0, c1) of (id, text, digest): a digest of the distinct shingles, how many there are, their majority, and COUNTS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, out = [], [], np.empty((bits // 64, batch.num_rows), np.uint64)
+            keys, sizes, out, counts = [], [], np.empty((bits // 64, batch.num_rows), np.uint64), np.empty((batch.num_rows, 16), np.uint8)
             for i, text in enumerate(batch.column("text")):
                 h = shingle_set(text.as_py(), words)
                 keys.append(xxhash.xxh3_128_digest(h.tobytes()))
                 sizes.append(len(h))
+                counts[i] = np.minimum(np.bincount((h >> np.uint64(60)).astype(np.int64), minlength=16), 255)
                 out[:, i] = majority((h[at : at + CHUNK] for at in range(0, len(h), CHUNK)), bits // 64)
-            columns = [batch.column("id"), batch.column("digest"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), *[pa.array(x.view(np.int64)) for x in out]]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "key", "size", *[f"w{k}" for k in range(bits // 64)]])
+            columns = [batch.column("id"), batch.column("digest"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), *[pa.array(x.view(np.int64)) for x in [*out, *np.ascontiguousarray(counts.view(np.int64).T)]]]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "key", "size", *[f"w{k}" for k in range(bits // 64)], *COUNTS])
 
-    return df.mapInArrow(run, "id long, digest binary, key binary, size long" + "".join(f", w{k} long" for k in range(bits // 64)))
+    return df.mapInArrow(run, "id long, digest binary, key binary, size long" + "".join(f", {c} long" for c in [*[f"w{k}" for k in range(bits // 64)], *COUNTS]))
 
 
 def similar_links(prints: np.ndarray, sets: list[np.ndarray], first: int, radius: int, similarity: float) -> list[tuple[int, int]]:
@@ -315,8 +353,8 @@ def keep_one(df: DataFrame, words: int = 5, similarity: float = 0.8, bits: int =
     """One document of each group of near-duplicates, with all its columns: the one with the smallest id, then digest of the text.
 
     Equal sets of distinct word shingles are one node. Nodes whose fingerprints
-    differ in at most radius_of() bits are found by tiles and joined to
-    candidate groups; within these, nodes are linked if and only if they are so
+    differ in at most radius_of() bits, and whose sizes and counts by hash allow
+    `similarity`, are found by tiles and joined to candidate groups; within these, nodes are linked if and only if they are so
     near and share `similarity` or more of their union, and documents are
     grouped over links. Null, empty and white texts are one group; a null id
     comes after all others; different texts with one id are different
@@ -329,12 +367,12 @@ def keep_one(df: DataFrame, words: int = 5, similarity: float = 0.8, bits: int =
     names, radius = [f"w{k}" for k in range(bits // 64)], radius_of(similarity, bits)
     prints = materialize(sketches(df.select(id_, text, digest.alias("digest")), words, bits))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("first")
-    nodes = materialize(prints.groupBy("key", "size", *names).agg(first).select("first.*", "size", *names, F.monotonically_increasing_id().alias("node")))
+    nodes = materialize(prints.groupBy("key", "size", *names, *COUNTS).agg(first).select("first.*", "size", *names, *COUNTS, F.monotonically_increasing_id().alias("node")))
 
-    candidates = components(links(nodes, len(names), radius, tile_rows))
+    candidates = components(links(nodes, len(names), radius, tile_rows, similarity))
     groups = candidates.union(candidates.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("component", "group")
     same = lambda left, right: left["id"].eqNullSafe(right["id"]) & left["digest"].eqNullSafe(right["digest"])
-    wanted = nodes.join(groups, "node")
+    wanted = nodes.drop(*COUNTS).join(groups, "node")
     texts = df.select(id_, digest.alias("digest"), text)
     found = texts.join(wanted, same(texts, wanted)).groupBy("node", "group", "size", *names).agg(F.first("text").alias("text"))
     parts = components(checked(found, words, radius, similarity))

@@ -487,6 +487,18 @@ def test_one_of_each_group_stays(spark):
     assert simhash.keep_one(shared.limit(0)).count() == 0
 
 
+def test_unrelated_short_texts_make_no_candidate_group(spark, monkeypatch):
+    """Majorities of few shingles are near each other by chance; sizes and counts tell that they cannot share enough."""
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(words[(7 * i + 11 * j * j) % 3000] for j in range(6 + i % 3 * 2)) for i in range(300)]
+    texts += ["a b c d e f g h i j k l m n", "a b c d e f g h i j k l m"]
+    seen = []
+    own = simhash.checked
+    monkeypatch.setattr(simhash, "checked", lambda members, *rest: seen.append(members.count()) or own(members, *rest))
+    assert simhash.keep_one(documents(spark, texts), tile_rows=64).count() == 301
+    assert seen == [2]
+
+
 def test_a_group_of_many_tiles_is_checked_as_a_whole(spark):
     texts = [f"{prose(7, 60)} copy {i} of many" for i in range(40)] + [prose(30 + i, 60) for i in range(10)]
     rows = [(i, 0, len(simhash.shingle_set(t, 5)), t, *simhash.majority([simhash.shingle_set(t, 5)], 2).view(np.int64).tolist()) for i, t in enumerate(texts)]
