@@ -57,9 +57,9 @@ def linear(rows: list[list[float]], p: list[Column], t: list[float], scale: floa
 
 
 def projective(rows: list[list[float]], t: list[float], p_row: list[float], p: list[Column], least: float = 1e-3) -> list[Column]:
-    """(A p + t) / (p_row p + 1), the divisor kept at least `least` from zero with its sign."""
+    """(A p + t) / (p_row p + 1), the divisor kept at least `least` from zero with its sign; zero counts as positive."""
     den = reduce(lambda a, b: a + b, [F.lit(r) * x for r, x in zip(p_row, p, strict=True)]) + F.lit(1.0)
-    safe = F.signum(den) * F.greatest(F.abs(den), F.lit(least))
+    safe = F.when(den == 0, F.lit(least)).otherwise(F.signum(den) * F.greatest(F.abs(den), F.lit(least)))
     return [c / safe for c in linear(rows, p, t)]
 
 

@@ -39,6 +39,12 @@ def test_rotation_round_trip(spark):
     assert (x, y) == (0.0, 0.0) and math.isclose(z, math.sin(angle / 2)) and math.isclose(w, math.cos(angle / 2))
 
 
+def test_projective_divisor_of_zero(spark):
+    df = spark.createDataFrame([(-1.0,), (0.0,), (None,), (-1.0005,)], "x double")
+    a = G.projective([[0.0]], [2.0], [1.0], [F.col("x")])[0]
+    assert [r.a for r in df.select(a.alias("a")).collect()] == [2000.0, 2.0, None, -2000.0]
+
+
 def test_sync_and_stride(spark):
     cams = {1: [0, 1, 2, 4], 2: [1, 2, 3, 4], 3: [1, 2, 4, 5]}
     df = spark.createDataFrame([(c, i) for c, ids in cams.items() for i in ids], "cam int, idx int")
