@@ -274,13 +274,37 @@ def path_nodes(tree: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.join(tree.select("node", F.col("hops").alias("place")), "node").select("target", "place", "node")
 
 
-def nearest_target(edges: DataFrame, source: int, targets: DataFrame, cost: str = "cost", small: int = SMALL) -> DataFrame:
+def cheapest_walks(edges: DataFrame, source: int, most: int, cost: str = "cost") -> DataFrame:
+    """(node, cost, path) of the cheapest walk of at most `most` edges from a node to each that it reaches, edges running both ways.
+
+    Costs may be below 0, so that a walk may pass a node more than once; NaN and
+    null take no part. Round by round every node keeps the cheapest of its own
+    walk and its neighbours' with one edge more; ties go to fewer edges, then to
+    the smaller nodes from the start.
+    """
+    links = both_ways(edges.select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col(cost).cast("double").alias("w"))).where("src <> dst AND NOT isnan(w)")
+    links = materialize(links.groupBy("src", "dst").agg(F.min("w").alias("w")))
+    best = edges.sparkSession.createDataFrame([(source, 0.0, [source])], "node long, cost double, path array<long>")
+    for _ in range(most):
+        step = best.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.concat("path", F.array("dst")).alias("path"))
+        least = F.min(F.struct("cost", F.size("path").alias("hops"), "path")).alias("b")
+        best = materialize(best.unionByName(step).groupBy("node").agg(least).select("node", "b.cost", "b.path"))
+    return best
+
+
+def nearest_target(edges: DataFrame, source: int, targets: DataFrame, cost: str = "cost", small: int = SMALL, most: int | None = None) -> DataFrame:
     """(target, cost, place, node): the cheapest to reach of the targets (node; ties to the smaller) with the path there, without the target itself.
 
-    No rows if none is reached or the source is one of them.
+    No rows if none is reached or the source is one of them. With `most`, walks
+    of at most so many edges count, and costs may be below 0.
     """
-    tree = materialize(shortest_paths(edges, source, cost, small))
-    first = tree.join(targets.select("node").distinct(), "node", "left_semi").agg(F.min(F.struct("cost", "node")).alias("b")).select("b.node", "b.cost").where("node IS NOT NULL")
+    tree = cheapest_walks(edges, source, most, cost) if most is not None else materialize(shortest_paths(edges, source, cost, small))
+    found = tree.join(targets.select("node").distinct(), "node", "left_semi")
+    if most is not None:
+        best = found.agg(F.min(F.struct("cost", "node", "path")).alias("b")).select("b.*").where("node IS NOT NULL")
+        way = best.select(F.col("node").alias("target"), "cost", F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("place", "node"))
+        return way.select("target", "cost", F.col("place").cast("long").alias("place"), "node")
+    first = found.agg(F.min(F.struct("cost", "node")).alias("b")).select("b.node", "b.cost").where("node IS NOT NULL")
     first = materialize(first)  # one row
     return path_nodes(tree, first).join(F.broadcast(first.select(F.col("node").alias("target"), "cost")), "target").where("node <> target").select("target", "cost", "place", "node")
 

@@ -150,3 +150,22 @@ def test_lone_frames_join_the_next_group(spark, sizes):
         want[node] = c
     df = spark.createDataFrame(rows, "node int, component int")
     assert {r.node: r.component for r in graph.merge_singletons(df, i).collect()} == want
+
+
+def test_walks_may_cost_less_than_nothing(spark):
+    rows = [(0, 1, -1e-6), (1, 2, -1e-6), (0, 2, -1e-6), (2, 3, 0.5), (0, 3, 1.0), (3, 4, float("nan"))]
+    edges = spark.createDataFrame(rows, "src int, dst int, cost double")
+    beside = [(u, v, w) for a, b, w in rows if w == w for u, v in ((a, b), (b, a))]
+    best = {0: (0.0, 1, [0])}
+    for _ in range(4):
+        found = dict(best)
+        for u, v, w in beside:
+            if u in best:
+                step = (best[u][0] + w, best[u][1] + 1, [*best[u][2], v])
+                found[v] = min(found.get(v, step), step)
+        best = found
+    got = {r.node: (r.cost, len(r.path), r.path) for r in graph.cheapest_walks(edges, 0, 4).collect()}
+    assert got == best and best[3][2] == [0, 1, 0, 2, 3]
+    way = graph.nearest_target(edges, 0, spark.createDataFrame([(3,), (4,)], "node long"), most=4)
+    assert sorted((r.target, r.place, r.node) for r in way.collect()) == [(3, 0, 0), (3, 1, 1), (3, 2, 0), (3, 3, 2)]
+    assert graph.nearest_target(edges, 9, spark.createDataFrame([(3,)], "node long"), most=4).count() == 0
