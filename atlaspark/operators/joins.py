@@ -92,47 +92,81 @@ def radius_join(left: DataFrame, right: DataFrame, left_coords: list[str], right
     return pairs.withColumn("d2", d2).where(F.col("d2") <= radius * radius).drop(*keys)
 
 
-#: Rows that nearest() compares with all others.
-FEW = 256
+#: Rows that nearest() compares with all others; open rows whose cells it broadcasts; right rows that a cell is to hold where the search starts.
+FEW, FEW_OPEN, CELL_ROWS = 256, 50_000, 8
+
+#: Rows of one place list.
+LIST_ROWS = 256
+
+
+def _ball_cells(df: DataFrame, coords: list[str], radius: float) -> DataFrame:
+    """Rows repeated for each cell, twice as wide as the radius, that lies within it: two an axis."""
+    for a, c in enumerate(coords):
+        df = df.withColumn(f"_c{a}", F.explode(F.sequence(_cell(F.col(c) - radius, 2 * radius), _cell(F.col(c) + radius, 2 * radius))))
+    return df
 
 
 def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_coords: list[str], right_coords: list[str], size: float) -> DataFrame:
     """(left id, right id, d2): the nearest row of right for each row of left, ties to the smaller right id.
 
-    Looks in the cells around each point, with cells twice as wide in each
-    round, until the best found is nearer than anything outside can be; only
-    rows not settled go into the next round, and they are repeated for the
-    cells around them, so that a round costs as much as it has open rows. A
-    round that settles none goes on at the gap between both tables' extents.
-    The last FEW rows meet all of right at once. Rows with a coordinate that is
-    no finite number take no part; without any right row there is no result.
+    Of right rows in one place only that with the smallest id can be found, so
+    that copies count once. The search starts with cells of `size`, or smaller
+    ones where these hold more than CELL_ROWS on average, and looks in the
+    cells that a ball around each point touches, twice as wide in each round
+    (four times once few rows are open), until the best found is nearer than anything outside can be; only rows not
+    settled go into the next round. A cell's right rows are lists, so that a
+    round passes on one row for each point and list. A round that settles none
+    goes on at the gap between both tables' extents. The last FEW rows meet all
+    of right at once. Rows with a coordinate that is no finite number take no
+    part; without any right row there is no result.
     """
     finite = lambda coords: is_finite(*coords)
     open_, found = materialize(left.where(finite(left_coords)).select(left_id, *left_coords)), None
-    right = materialize(right.where(finite(right_coords)).select(right_id, *right_coords))
-    keys, radius = [f"_c{a}" for a in range(len(left_coords))], size
-    d2 = sum(((F.col(a) - F.col(b)) * (F.col(a) - F.col(b)) for a, b in zip(left_coords, right_coords, strict=True)), F.lit(0.0))
-    best_of = lambda pairs: pairs.groupBy(left_id).agg(F.min(F.struct("d2", right_id)).alias("b")).select(left_id, F.col(f"b.{right_id}").alias(right_id), F.col("b.d2").alias("d2"))
+    right = materialize(right.where(finite(right_coords)).groupBy(*right_coords).agg(F.min(right_id).alias(right_id)))
+    keys, radius = [f"_c{a}" for a in range(len(left_coords))], size / 2
+    far = lambda get: sum(((F.col(a) - get(b)) * (F.col(a) - get(b)) for a, b in zip(left_coords, right_coords, strict=True)), F.lit(0.0))
+    none = open_.crossJoin(right.limit(0)).select(left_id, right_id, far(F.col).alias("d2"))
     extent = lambda df, coords: df.agg(*[f(c).cast("double") for c in coords for f in (F.min, F.max)]).first()
     around = extent(right, right_coords)
     if around[0] is None:
-        return best_of(open_.crossJoin(right.limit(0)).withColumn("d2", d2))
-    n = open_.count()
+        return none
+    loads = lambda cells: cells.groupBy(*keys).count().agg(F.max("count"), F.sum(F.col("count") * F.col("count")) / F.sum("count")).first()
+    n, most, mean = open_.count(), None, None
     while n > FEW:
-        pairs = _near_cells(open_, left_coords, radius, 1).join(_own_cell(right, right_coords, radius), keys).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
-        best = materialize(best_of(pairs))
+        most, mean = loads(_own_cell(right, right_coords, 2 * radius))
+        if mean <= CELL_ROWS:
+            break
+        smaller = radius * max((CELL_ROWS / 2 / mean) ** (1 / len(keys)), 1e-3)
+        if 2 * smaller < 1e-12 * max(map(abs, around)) or smaller == 0:
+            break
+        radius = smaller
+    # Squares of larger ones are no numbers.
+    while n > FEW and radius < 1e150:
+        asked, cells = _ball_cells(open_, left_coords, radius), _own_cell(right, right_coords, 2 * radius)
+        if n <= FEW_OPEN:
+            cells = cells.join(F.broadcast(asked.select(*keys).distinct()), keys, "left_semi")
+        if most is None:
+            most = loads(cells)[0] or 1
+        # Lists of a cell by hash, so that the fullest one's have about LIST_ROWS.
+        lists = cells.groupBy(*keys, F.pmod(F.xxhash64(right_id), F.lit(-(-most // LIST_ROWS))).alias("_l")).agg(F.collect_list(F.struct(right_id, *right_coords)).alias("_near"))
+        nearest_of = F.array_min(F.transform("_near", lambda r: F.struct(far(lambda c: r[c]).alias("d2"), r[right_id].alias(right_id))))
+        # A little less than the radius, so that no rounding of cells hides a nearer one.
+        best = asked.join(lists, keys).select(left_id, nearest_of.alias("b")).where(F.col("b.d2") <= (radius * (1 - 1e-6)) ** 2)
+        best = materialize(best.groupBy(left_id).agg(F.min("b").alias("b")).select(left_id, F.col(f"b.{right_id}").alias(right_id), F.col("b.d2").alias("d2")))
         found = best if found is None else found.unionByName(best)
         open_ = materialize(open_.join(best, left_id, "left_anti"))
         before, n = n, open_.count()
-        radius *= 2
+        radius, most = radius * (4 if n <= FEW_OPEN else 2), None
         if n == before:
             own = extent(open_, left_coords)
             radius = max(radius, *(max(own[a] - around[a + 1], around[a] - own[a + 1]) for a in range(0, len(own), 2)))
     if n:
-        # FEW rows at most.
-        last = best_of(right.crossJoin(F.broadcast(open_)).withColumn("d2", d2))
+        # FEW rows at most, unless they lie beyond any square: first the least distance, then the smallest id at it, as sums by hash.
+        few = F.broadcast if n <= FEW else lambda df: df
+        least = materialize(right.crossJoin(few(open_)).withColumn("d2", far(F.col)).groupBy(left_id).agg(F.min("d2").alias("_least")))
+        last = right.crossJoin(few(open_.join(least, left_id))).withColumn("d2", far(F.col)).where("d2 = _least").groupBy(left_id).agg(F.min(right_id).alias(right_id), F.min("d2").alias("d2"))
         found = last if found is None else found.unionByName(last)
-    return found if found is not None else best_of(open_.crossJoin(right.limit(0)).withColumn("d2", d2))
+    return found if found is not None else none
 
 
 def reciprocal(forth: DataFrame, back: DataFrame, p: str, q: str) -> DataFrame:

@@ -201,3 +201,24 @@ def test_quantiles_are_exact_in_any_number_of_ranges(spark):
         assert got.keys() == want.keys() and all(np.allclose(got[g], want[g]) for g in want)
         assert np.allclose(list(ordered.quantiles_by(df, [], "v", [0.0, 0.31, 1.0], few).first()), np.quantile(numbers, [0.0, 0.31, 1.0]))
     assert [x.n for x in ordered.numbered(df.select("v"), [df.v.asc_nulls_last()], "n").orderBy("n").select("n").collect()] == list(range(503))
+
+
+def test_nearest_of_dense_clouds_and_copies(spark, monkeypatch):
+    """Cells shrink until few rows lie in one, copies count once, and the lists of a full cell are many."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    where = lambda n: np.concatenate((np.round(r.normal(0, 0.01, (n, 2)), 3), r.integers(-40, 40, (n // 9, 2)), [[1e6, 0.0]] * 3)).tolist()
+    p, q = ([(i, *c) for i, c in enumerate(where(900))] for _ in range(2))
+    left, right = spark.createDataFrame(p, "p long, px double, py double"), spark.createDataFrame(q + [(i + 5000, x, y) for i, x, y in q], "q long, qx double, qy double")
+    want = {}
+    for i, x, y in p:
+        want[i] = min(((x - a) * (x - a) + (y - b) * (y - b), j) for j, a, b in q)
+    sizes, own = [], joins._own_cell
+    monkeypatch.setattr(joins, "_own_cell", lambda df, coords, size: sizes.append(size) or own(df, coords, size))
+    monkeypatch.setattr(joins, "FEW", 8)
+    monkeypatch.setattr(joins, "LIST_ROWS", 3)
+    for open_rows in (0, 50_000):
+        monkeypatch.setattr(joins, "FEW_OPEN", open_rows)
+        got = {x.p: (x.d2, x.q) for x in joins.nearest(left, right, "p", "q", ["px", "py"], ["qx", "qy"], 4.0).collect()}
+        assert got == want and min(sizes) < 0.4
