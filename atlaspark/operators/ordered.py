@@ -32,6 +32,17 @@ def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFra
     return rows.join(shift, "_part").withColumn(name, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
 
 
+def rows_before(counts: DataFrame, order: list[Column], size: str) -> DataFrame:
+    """counts with _i: the sum of `size` over all rows before in order; written down."""
+    placed = ranged(counts, order)
+    parts = placed.groupBy("_part").agg(F.sum(size).alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # One row for each range, of which there are as many as partitions.
+    shift = F.broadcast(parts.select("_part", before.alias("_shift")))
+    own = F.coalesce(F.sum(size).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return materialize(placed.withColumn("_own", own).join(shift, "_part").withColumn("_i", F.col("_own") + F.col("_shift")).select(*counts.columns, "_i"))
+
+
 #: Different values (by group) of which one task each group's percentiles may take.
 FEW = 1_000_000
 
@@ -51,13 +62,7 @@ def quantiles_by(df: DataFrame, by: list[str], value: str, qs: list[float], few:
     if counts.count() <= few:
         found = counts.groupBy(*by).agg(F.percentile("_v", F.array(*[F.lit(float(q)) for q in qs]), F.col("_n")).alias("_q")).where("_q IS NOT NULL")
         return found.select(*by, *[F.get("_q", F.lit(k)).alias(c) for k, c in enumerate(names)])
-    placed = ranged(counts, [*[F.col(c) for c in by], F.col("_v")])
-    parts = placed.groupBy("_part").agg(F.sum("_n").alias("_rows"))
-    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # One row for each range, of which there are as many as partitions.
-    shift = F.broadcast(parts.select("_part", before.alias("_shift")))
-    own = F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = materialize(placed.withColumn("_own", own).join(shift, "_part").withColumn("_i", F.col("_own") + F.col("_shift")).select(*by, "_v", "_n", "_i"))
+    placed = rows_before(counts, [*[F.col(c) for c in by], F.col("_v")], "_n")
     groups = placed.groupBy(*by).agg(F.min("_i").alias("_first"), F.sum("_n").alias("_total"))
     joined = placed.alias("p").join(groups.alias("g"), [F.col(f"p.{c}").eqNullSafe(F.col(f"g.{c}")) for c in by]) if by else placed.alias("p").crossJoin(F.broadcast(groups.alias("g")))  # one row
     at = F.col("_i") - F.col("_first")
@@ -68,3 +73,32 @@ def quantiles_by(df: DataFrame, by: list[str], value: str, qs: list[float], few:
         low, share = F.floor(place), place - F.floor(place)
         sums.append(F.sum(F.when(holds(low), F.col("_v") * (1 - share)).otherwise(0.0) + F.when(holds(F.ceil(place)) & (share > 0), F.col("_v") * share).otherwise(0.0)).alias(name))
     return joined.groupBy(*[F.col(f"p.{c}") for c in by]).agg(*sums)
+
+
+def first_rows(df: DataFrame, by: list[str], order: list[str], fraction: float, least: int = 3) -> DataFrame:
+    """The first floor(fraction * n) rows of each group in ascending order, `least` at least.
+
+    Rows are counted by the first column of the order, which tells where each
+    group is cut; only rows at a cut are put in order among each other, so that
+    no group meets in one task.
+    """
+    counts = materialize(df.groupBy(*by, F.col(order[0]).alias("_v")).agg(F.count("*").alias("_n")))
+    placed = rows_before(counts, [*[F.col(c) for c in by], F.col("_v")], "_n")
+    groups = placed.groupBy(*by).agg(F.min("_i").alias("_first"), F.sum("_n").alias("_total"))
+    wanted = groups.select(*by, "_first", F.least(F.greatest(F.floor(F.lit(fraction) * F.col("_total")), F.lit(least)), F.col("_total")).alias("_k"))
+    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by]
+    into = F.col("_i") - F.col("_first")
+    cuts = placed.alias("p").join(wanted.alias("w"), same("p", "w")).where((into < F.col("_k")) & (F.col("_k") <= into + F.col("_n")))
+    cuts = materialize(cuts.select(*[F.col(f"p.{c}") for c in by], F.col("_v").alias("_cut"), (F.col("_k") - into).alias("_left")))
+    cuts = F.broadcast(cuts) if cuts.count() <= FEW_GROUPS else cuts
+    rows, at = df.alias("p").join(cuts.alias("w"), same("p", "w")).select("p.*", "_cut", "_left"), F.col(order[0]).eqNullSafe(F.col("_cut"))
+    below = rows.where(~at & (F.col(order[0]).isNull() | (F.col(order[0]) < F.col("_cut")))).select(*df.columns)
+    ties = materialize(numbered(rows.where(at), [F.col(c) for c in [*by, *order]], "_place"))
+    first = ties.groupBy(*by).agg(F.min("_place").alias("_start"))
+    first = F.broadcast(first) if first.count() <= FEW_GROUPS else first
+    kept = ties.alias("p").join(first.alias("w"), same("p", "w")).where("_place - _start < _left").select(*[F.col(f"p.{c}") for c in df.columns])
+    return below.unionByName(kept)
+
+
+#: Groups whose cuts are broadcast.
+FEW_GROUPS = 100_000

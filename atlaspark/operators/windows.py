@@ -35,7 +35,7 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str =
 
 
 def best_fraction(df: DataFrame, by: list[str], order: list[Column], fraction: float, least: int = 3) -> DataFrame:
-    """The first floor(fraction * n) rows of each group, `least` at least."""
+    """The first floor(fraction * n) rows of each group, `least` at least; a group is one task (ordered.first_rows: for large ones)."""
     w = Window.partitionBy(*by)
     n = F.greatest(F.floor(F.lit(fraction) * F.count("*").over(w)), F.lit(least))
     return df.withColumn("_n", n).withColumn("_r", F.row_number().over(w.orderBy(*order))).where("_r <= _n").drop("_n", "_r")

@@ -184,7 +184,7 @@ def top_neighbours(spark, d):
 SELECT frame_id, count(*) AS kept, max(y) AS far FROM r WHERE r <= greatest(floor(0.7 * n), 3) GROUP BY frame_id""")
 def trimmed_fraction(spark, d):
     """Nearest seven tenths of each frame's points."""
-    p = windows.best_fraction(T.points(spark, d), ["frame_id"], [F.col("y"), *[F.col(c) for c in T.POINT_ID]], 0.7)
+    p = ordered.first_rows(T.points(spark, d), ["frame_id"], ["y", *T.POINT_ID], 0.7)
     return p.groupBy("frame_id").agg(F.count("*").alias("kept"), F.max("y").alias("far"))
 
 

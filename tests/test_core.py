@@ -222,3 +222,15 @@ def test_nearest_of_dense_clouds_and_copies(spark, monkeypatch):
         monkeypatch.setattr(joins, "FEW_OPEN", open_rows)
         got = {x.p: (x.d2, x.q) for x in joins.nearest(left, right, "p", "q", ["px", "py"], ["qx", "qy"], 4.0).collect()}
         assert got == want and min(sizes) < 0.4
+
+
+def test_first_rows_of_groups_without_one_task(spark):
+    from atlaspark.operators import ordered
+
+    rows = [(i % 3, float(i * 7 % 5), i) for i in range(200)] + [(7, 1.0, 900), (7, None, 901), (8, 1.0, 902), (None, 2.0, 903)]
+    df = spark.createDataFrame(rows, "g int, y double, id int").repartition(5)
+    want = sorted(r.id for r in windows.best_fraction(df, ["g"], [F.col("y"), F.col("id")], 0.7).collect())
+    got = ordered.first_rows(df, ["g"], ["y", "id"], 0.7)
+    assert sorted(r.id for r in got.collect()) == want and got.columns == df.columns
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    assert ordered.first_rows(df.limit(0), ["g"], ["y", "id"], 0.7).count() == 0
