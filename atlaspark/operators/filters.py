@@ -39,14 +39,15 @@ def sequence_gap(src: Column, dst: Column, n: Column | int | None = None) -> Col
     return F.least(gap, F.abs(src + n - dst), F.abs(src - n - dst))
 
 
-def denoise(df: DataFrame, q: float = 0.99, coords: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
-    """Points nearer to the median point than the q-th quantile of such distances."""
+def denoise(df: DataFrame, q: float = 0.99, coords: tuple[str, ...] = ("x", "y", "z"), distance_name: str | None = None) -> DataFrame:
+    """Points nearer to the median point than the q-th quantile of such distances; the distance stays as a column if it is named."""
     far = df
     for c in coords:
         far = far.crossJoin(F.broadcast(quantiles_by(df, [], c, [0.5]).withColumnRenamed("q0", f"_{c}")))
     far = far.withColumn("_d", distance([F.col(c) for c in coords], [F.col(f"_{c}") for c in coords]))
     cut = quantiles_by(far, [], "_d", [q]).withColumnRenamed("q0", "_cut")
-    return far.crossJoin(F.broadcast(cut)).where("_d < _cut").drop("_d", "_cut", *[f"_{c}" for c in coords])
+    kept = far.crossJoin(F.broadcast(cut)).where("_d < _cut").drop("_cut", *[f"_{c}" for c in coords])
+    return kept.withColumnRenamed("_d", distance_name) if distance_name else kept.drop("_d")
 
 
 def occupied(lt: Column, st: Column, threshold: float, margin: float) -> Column:

@@ -66,10 +66,8 @@ def aabb_block(spark, d):
 SELECT count(*) AS n, round(max(dist), 6) AS far FROM e WHERE dist < (SELECT quantile_cont(dist, 0.99) FROM e)""")
 def denoised(spark, d):
     """How many points are left, and how far out, without the farthest hundredth."""
-    p = filters.denoise(T.points(spark, d))
-    m = T.points(spark, d).agg(*[F.percentile(c, F.lit(0.5)).alias(f"m{c}") for c in "xyz"])
-    far = G.distance([F.col(c) for c in "xyz"], [F.col(f"m{c}") for c in "xyz"])
-    return p.crossJoin(F.broadcast(m)).agg(F.count("*").alias("n"), r6(F.max(far)).alias("far"))
+    p = filters.denoise(T.points(spark, d), distance_name="far")
+    return p.agg(F.count("*").alias("n"), r6(F.max("far")).alias("far"))
 
 
 BEV_CELLS = f"""{T.V_CELLS}, occ AS (SELECT i, j, k, count(*) AS n FROM v_cells WHERE epoch = 1 GROUP BY ALL),

@@ -234,3 +234,9 @@ def test_first_rows_of_groups_without_one_task(spark):
     assert sorted(r.id for r in got.collect()) == want and got.columns == df.columns
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
     assert ordered.first_rows(df.limit(0), ["g"], ["y", "id"], 0.7).count() == 0
+
+
+def test_denoise_keeps_the_distance_where_named(spark):
+    df = spark.createDataFrame([(float(i), 0.0, 0.0) for i in range(101)], "x double, y double, z double")
+    kept = filters.denoise(df, 0.9, distance_name="far")
+    assert kept.columns == ["x", "y", "z", "far"] and kept.agg(F.max("far")).first()[0] == 44.0
