@@ -64,6 +64,9 @@ def frame_combinations(frames: DataFrame, step: int, most: int, by: str = "cam",
 #: Cells further out count as these, so that they are numbers of 64 bits; equal cells only make candidates.
 FARTHEST = float(1 << 61)
 
+#: Cells are this much wider than the radius, so that no rounding hides a pair exactly that far apart.
+WIDER = 1 + 1e-6
+
 
 def _cell(c: Column, size: float) -> Column:
     return F.floor(F.greatest(F.least(c / size, F.lit(FARTHEST)), F.lit(-FARTHEST))).cast("long")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import images, latent
 from ..sources import tables as T
+from .storage import materialize
 
 QUERIES, ORACLES = {}, {}
 
@@ -78,8 +79,7 @@ def latent_update(spark, d):
     mean = F.array(*[F.avg(F.get("f", F.lit(i))) for i in range(3)])
     voxels = p.where("epoch <= 3").select(*cell, "f").groupBy("i", "j", "k").agg(mean.alias("z_latent"))
     state = voxels.select((F.col("i") * 1000000 + F.col("j") * 1000 + F.col("k")).alias("key"), *[((F.col(k) + 0.5) * SIZE).alias(f"c{c}") for c, k in zip("xyz", "ijk", strict=True)], "z_latent")
-    points = p.select(F.struct(*T.POINT_ID).alias("point_id"), "x", "y", "z", "f")
-    new = latent.update(points, state, W, 3, RADIUS, TAU, MOST)
+    new = latent.update(p.select("x", "y", "z", "f"), materialize(state), W, 3, RADIUS, TAU, MOST)
     return new.select("key", *[F.round(F.get("z_latent", F.lit(i)), 5).alias(f"z{i}") for i in range(3)])
 
 

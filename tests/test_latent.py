@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from atlaspark.operators import images, latent
 
@@ -51,6 +52,37 @@ def test_update_is_the_plain_one(spark):
     assert {x.key: x.z_latent for x in latent.update(p.limit(0), v, w, d, radius).collect()} == {x[0]: x[4] for x in voxels}
 
 
+def pairs_by_brute_force(points, voxels, radius, most):
+    near = {i: sorted((sum((a - b) ** 2 for a, b in zip(p, v[1:4], strict=True)), v[0]) for v in voxels) for i, *p in points}
+    return {(i, k) for i, found in near.items() for k in [k for d2, k in found if d2 <= radius * radius][:most]}
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_points_are_not_exchanged_by_point(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(latent, "FEW_OPEN", 0)
+    r = np.random.default_rng(9)
+    voxels = [(k, *r.uniform(-2, 2, 3).tolist(), [1.0, 0.5]) for k in range(40)]
+    points = [(i, *r.uniform(-2, 2, 3).tolist()) for i in range(60)]
+    p = spark.createDataFrame(points, "point_id int, x double, y double, z double")
+    v = spark.createDataFrame(voxels, "key long, cx double, cy double, cz double, z_latent array<double>")
+    found = latent.near_voxels(p, v, 1.3, 2)
+    assert {(x.point_id, x.key) for x in found.collect()} == pairs_by_brute_force(points, voxels, 1.3, 2)
+    w = weights(2, r)
+    sent = latent.messages(p.withColumn("f", F.array("x", "y")), v, w, 2, 1.3, 0.5, 2)
+    plan = sent._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning(point_id" not in plan and ("Exchange hashpartitioning(_c0" not in plan) == few
+    assert {x.key for x in sent.collect()} == {k for _, k in pairs_by_brute_force(points, voxels, 1.3, 2)}
+
+
+def test_copies_of_a_point_are_points_of_their_own(spark):
+    r = np.random.default_rng(3)
+    v = spark.createDataFrame([(k, k * 0.5, 0.0, 0.0, r.normal(size=2).tolist()) for k in range(3)], "key long, cx double, cy double, cz double, z_latent array<double>")
+    p = spark.createDataFrame([(7, 0.4, 0.0, 0.0, [1.0, 2.0])] * 2 + [(8, 0.1, 0.0, 0.0, [1.0, None]), (9, 0.1, 0.0, 0.0, [1.0])], "point_id int, x double, y double, z double, f array<double>")
+    one, both = ({x.key: x.message for x in latent.messages(q, v, weights(2, np.random.default_rng(1)), 2, 1.0, 1.0, 2).collect()} for q in (p.where("point_id = 7").limit(1), p))
+    assert one.keys() == both.keys() == {0, 1} and all(np.allclose(np.array(one[k]) * 2, both[k]) for k in one)
+
+
 def flood(mask, diagonal):
     part = {}
     for p in sorted(mask):
