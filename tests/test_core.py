@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -254,3 +255,18 @@ def test_denoise_keeps_the_distance_where_named(spark):
     df = spark.createDataFrame([(float(i), 0.0, 0.0) for i in range(101)], "x double, y double, z double")
     kept = filters.denoise(df, 0.9, distance_name="far")
     assert kept.columns == ["x", "y", "z", "far"] and kept.agg(F.max("far")).first()[0] == 44.0
+
+
+def test_radius_join_settles_copies_as_one_place(spark, monkeypatch):
+    monkeypatch.setattr(joins, "LIST_ROWS", 10)
+    r, cuts = random.Random(8), 0
+    places = [(r.uniform(-1, 1), r.uniform(-1, 1)) for _ in range(12)]
+    left = [(i, *places[i % 12]) for i in range(60)] + [(100, None, 0.0), (101, float("nan"), 0.0), (102, float("inf"), 0.0), (103, -0.0, 5.0)]
+    right = [(i, *places[i % 3]) for i in range(90)] + [(i, *places[i % 12]) for i in range(90, 120)] + [(200, None, 0.0), (201, float("nan"), 0.0), (202, float("inf"), 0.0), (203, 0.0, 5.0)]
+    p, q = spark.createDataFrame(left, "p int, px double, py double"), spark.createDataFrame(right, "q int, qx double, qy double")
+    want = sorted((a[0], b[0]) for a in left for b in right if a[1] is not None and b[1] is not None and (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2 <= 0.36)
+    found = joins.radius_join(p, q, ["px", "py"], ["qx", "qy"], 0.6)
+    assert found.columns == ["p", "px", "py", "q", "qx", "qy", "d2"] and sorted((x.p, x.q) for x in found.collect()) == want
+    near = joins.near_places(p, q, ["px", "py"], ["qx", "qy"], 0.6).collect()
+    assert len(near) < len(want) / 5 and sum(len(x["_left"]) * len(x["_right"]) for x in near) == len(want)
+    assert max(len(x["_right"]) for x in near) < 33
