@@ -270,3 +270,37 @@ def test_radius_join_settles_copies_as_one_place(spark, monkeypatch):
     near = joins.near_places(p, q, ["px", "py"], ["qx", "qy"], 0.6).collect()
     assert len(near) < len(want) / 5 and sum(len(x["_left"]) * len(x["_right"]) for x in near) == len(want)
     assert max(len(x["_right"]) for x in near) < 33
+
+
+def test_radius_join_deals_one_place_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(joins, "LIST_ROWS", 16)
+    monkeypatch.setattr(joins, "TASK_ROWS", 300, raising=False)
+    p = spark.createDataFrame([(i, 2.0 - (i % 2) * 0.25, 0.0) for i in range(1000)], "p int, px double, py double")
+    q = spark.createDataFrame([(i, 2.0, 0.5) for i in range(1100)], "q int, qx double, qy double")
+    found = joins.place_rows(joins.near_places(p, q, ["px", "py"], ["qx", "qy"], 0.5)).groupBy(F.spark_partition_id().alias("task"))
+    found = found.agg(F.count("*").alias("n"), F.countDistinct("p", "q").alias("pairs"), F.countDistinct("p").alias("p"), F.countDistinct("q").alias("q")).collect()
+    assert sum(x.n for x in found) == sum(x.pairs for x in found) == 500 * 1100
+    assert len(found) >= 3 and max(x.n for x in found) < 500 * 1100 / 2
+
+
+def test_radius_join_writes_copies_in_few_bytes(spark, tmp_path):
+    # 357 copies of each of 6 places, an odd number, which hashes cut into uneven lists.
+    cloud = lambda n: spark.range(6 * 357).select(F.col("id").alias(n), (F.col("id") % 6).cast("double").alias(f"{n}x"))
+    joins.place_rows(joins.near_places(cloud("p"), cloud("q"), ["px"], ["qx"], 0.5)).select("p", "q", "d2").coalesce(1).write.parquet(str(tmp_path / "pairs"))
+    assert spark.read.parquet(str(tmp_path / "pairs")).distinct().count() == 6 * 357 * 357
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.2 * 6 * 357 * 357
+
+
+def test_near_places_keep_all_columns_nulls_and_edges(spark, monkeypatch):
+    monkeypatch.setattr(joins, "LIST_ROWS", 8)
+    monkeypatch.setattr(joins, "TASK_ROWS", 40, raising=False)
+    r = random.Random(3)
+    at = lambda: tuple(r.choice([-0.5, -0.25, 0.0, 0.25, 0.5, 1e19, -3.7]) for _ in range(3))
+    left = [(i if i % 5 else None, "a" if i % 3 else None, *at()) for i in range(300)]
+    right = [(i, *at(), i % 2 == 0) for i in range(280)] + [(i, 0.0, 0.25, 0.5, None) for i in range(280, 380)]
+    p, q = spark.createDataFrame(left, "p int, s string, px double, py double, pz double"), spark.createDataFrame(right, "q int, qx double, qy double, qz double, t boolean")
+    want = [(a, b) for a in left for b in right if sum((x - y) ** 2 for x, y in zip(a[2:], b[1:4], strict=True)) <= 0.0625]
+    found = joins.radius_join(p, q, ["px", "py", "pz"], ["qx", "qy", "qz"], 0.25)
+    assert found.columns == ["p", "s", "px", "py", "pz", "q", "qx", "qy", "qz", "t", "d2"]
+    assert sorted(map(str, (tuple(x)[:10] for x in found.collect()))) == sorted(str((*a, *b)) for a, b in want)
+    assert joins.radius_join(p.limit(0), q, ["px", "py", "pz"], ["qx", "qy", "qz"], 0.25).count() == 0
